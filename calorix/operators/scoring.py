@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,3 +146,7 @@ def score_two_branch(
         id_col, net(l1_normalise(vector), F.array(*scaled)).alias("prediction")
     )
     return with_decision(raw, threshold)
+
+
+# Workers need the helpers above even where the package itself is not installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

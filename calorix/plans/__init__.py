@@ -1 +1,6 @@
+"""Registered queries; importing this package fills the registry."""
 
+from calorix.plans import events, ingest, samples
+from calorix.plans.base import REGISTRY
+
+__all__ = ["REGISTRY", "events", "ingest", "samples"]
