@@ -47,7 +47,11 @@ def sample_head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def describe_folds(df: DataFrame, fold: str, metrics: Sequence[str]) -> DataFrame:
-    """Mean, sample spread, minimum, maximum and median of each metric per fold, in long form."""
+    """Mean, sample spread, minimum, maximum and median of each metric per fold, in long form.
+
+    The input is a table of runs, a few per fold; for groups of any size take the quantiles from
+    :func:`exact_quantiles`.
+    """
     aggs, names = [], []
     for m in metrics:
         v = F.col(m).cast("double")
@@ -86,27 +90,62 @@ def best_init_stats(
     )
 
 
+def exact_quantiles(
+    df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float]
+) -> DataFrame:
+    """Exact interpolated quantiles per group, for groups of any size.
+
+    Values are counted first; the counts are summed in value order range by range, and each
+    quantile is read off the two values that hold its neighbouring ranks. No group is gathered
+    in one task.
+    """
+    v = F.col(value).cast("double")
+    counts = (
+        df.where(v.isNotNull() & ~F.isnan(v))
+        .groupBy(*group, v.alias("_v"))
+        .agg(F.count("*").alias("_c"))
+    )
+    summed = with_running_totals(counts, [*group, "_v"], {"_c": "_upto"})
+    sizes = summed.groupBy(*group).agg(
+        F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_before")
+    )
+    same = [F.col(f"s.{g}").eqNullSafe(F.col(f"g.{g}")) for g in group]
+    ranked = summed.alias("s").join(sizes.alias("g"), same).select(
+        *[F.col(f"s.{g}") for g in group],
+        "_v",
+        "_n",
+        (F.col("_upto") - F.col("_c") - F.col("_before")).alias("_first"),
+        (F.col("_upto") - F.col("_before") - 1).alias("_last"),
+    )
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))
+
+    aggs = []
+    for name, q in quantiles.items():
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        aggs += [
+            value_at(F.floor(at)).alias(f"_lo_{name}"),
+            value_at(F.ceil(at)).alias(f"_hi_{name}"),
+            F.max(at - F.floor(at)).alias(f"_w_{name}"),
+        ]
+    found = ranked.groupBy(*group).agg(*aggs)
+    return found.select(
+        *group,
+        *[
+            (
+                F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
+            ).alias(n)
+            for n in quantiles
+        ],
+    )
+
+
 def fold_quartiles(df: DataFrame, fold: str, metric: str, mode: str = "max") -> DataFrame:
     """Box-plot numbers of a metric per fold and the best value."""
-    v = F.col(metric).cast("double")
-    best = F.max(v) if mode == "max" else F.min(v)
-    quartiles = F.percentile(v, [0.25, 0.5, 0.75])
-    return (
-        df.groupBy(fold)
-        .agg(
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-            quartiles.alias("_q"),
-            best.alias("best"),
-        )
-        .select(
-            fold,
-            "min",
-            *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))],
-            "max",
-            "best",
-        )
-    )
+    points = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    out = exact_quantiles(df, [fold], metric, points)
+    return out.withColumn("best", F.col("max" if mode == "max" else "min"))
 
 
 def metric_diff(df: DataFrame, order: str, metrics: Sequence[str]) -> DataFrame:

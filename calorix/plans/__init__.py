@@ -1,6 +1,25 @@
 """Registered queries; importing this package fills the registry."""
 
-from calorix.plans import events, ingest, samples
+from calorix.plans import (
+    clustering,
+    evaluation,
+    events,
+    ingest,
+    models,
+    profiles,
+    samples,
+    streams,
+)
 from calorix.plans.base import REGISTRY
 
-__all__ = ["REGISTRY", "events", "ingest", "samples"]
+__all__ = [
+    "REGISTRY",
+    "clustering",
+    "evaluation",
+    "events",
+    "ingest",
+    "models",
+    "profiles",
+    "samples",
+    "streams",
+]
