@@ -108,18 +108,14 @@ def _jensenshannon(v, c):
 
 
 def _truth_table(v: Column, c: Center) -> tuple[Column, Column, Column, Column]:
-    """Counts of positions that are non-zero in both, only the row, only the centre, neither."""
+    """Counts of positions that are non-zero in both, only the row, only the centre, neither.
 
-    def count(row_set: bool, center_set: bool) -> Column:
-        return _pairwise(
-            v,
-            c,
-            lambda x, y: _one_if(
-                ((x != 0) if row_set else (x == 0)) & ((y != 0) if center_set else (y == 0))
-            ),
-        )
-
-    return count(True, True), count(True, False), count(False, True), count(False, False)
+    Two sums over the row are enough: the centre's own count is known beforehand.
+    """
+    n, center_set = float(len(c)), float(sum(1 for x in c if x != 0))
+    row_set = _fold(F.transform(v, lambda x: _one_if(x != 0)))
+    both = _pairwise(v, [1.0 if x != 0 else 0.0 for x in c], lambda x, y: _one_if(x != 0) * y)
+    return both, row_set - both, center_set - both, n - row_set - center_set + both
 
 
 def _boolean(formula: Callable[..., Column]) -> DistanceBuilder:
@@ -141,7 +137,7 @@ def seuclidean(variances: Sequence[float]) -> DistanceBuilder:
     """Euclidean distance with each position divided by its variance."""
 
     def build(v, c):
-        terms = F.zip_with(v, _lit(c), lambda x, y: (x.cast("double") - y) * (x - y))
+        terms = F.zip_with(v, _lit(c), lambda x, y: F.pow(x.cast("double") - y, 2))
         return F.sqrt(_fold(F.zip_with(terms, _lit(variances), lambda t, s: t / s)))
 
     return build

@@ -75,10 +75,14 @@ def _sample(energies: Column, *names: str) -> Column:
 def first_layer_fraction(energies) -> Column:
     """Share of the energy in the first sampling; -1 when the total is practically zero."""
     e = col(energies)
-    total = vector_sum(e)
-    return F.when(F.abs(total) > 1e-5, _sample(e, "EMB1", "EME1") / total).otherwise(
-        F.lit(MISSING_RATIO)
+    # the total sits in a one-element array, so that it is summed once per row
+    share = F.transform(
+        F.array(vector_sum(e)),
+        lambda total: F.when(F.abs(total) > 1e-5, _sample(e, "EMB1", "EME1") / total).otherwise(
+            F.lit(MISSING_RATIO)
+        ),
     )
+    return F.get(share, F.lit(0))
 
 
 def third_layer_fraction(energies) -> Column:

@@ -81,16 +81,41 @@ def link_by_position(links: Column, target: Column) -> Column:
     return F.when(links >= 0, F.get(target, links))
 
 
-def first_match_or_empty(items: Column, matches, field: str, empty: Column) -> Column:
-    """``field`` of the first element that matches, else an empty value."""
-    return F.coalesce(F.get(F.filter(items, matches), F.lit(0)).getField(field), empty)
-
-
 def valid_position(link: Column, target: Column) -> Column:
     """The link itself if it points at an element, else NULL."""
     return F.when((link >= 0) & (link < F.size(target)), link)
 
 
+def first_match_or_empty(n: Column, links: Column, values: Column, empty: Column) -> Column:
+    """For positions ``0 … n-1``: the value of the first entry linked to it, else ``empty``."""
+    positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        positions,
+        lambda i: F.coalesce(
+            F.get(values, F.array_position(links, i).cast("int") - 1), empty
+        ),
+    )
+
+
+def _explode_with(
+    df: DataFrame, key: str, container: str, drop: Sequence[str], **columns: Column
+) -> DataFrame:
+    """Explode a container together with arrays resolved next to it, element by element.
+
+    The resolved arrays are zipped to the container, so a row carries its own element only and
+    not a copy of the event.
+    """
+    fields = df.schema[container].dataType.elementType.names
+    zipped = F.arrays_zip(F.col(container), *[c.alias(n) for n, c in columns.items()])
+    rows = df.select(key, F.posexplode(zipped).alias("pos", "_z"))
+    return rows.select(
+        key,
+        "pos",
+        *[F.col(f"_z.{container}.{f}").alias(f) for f in fields if f not in drop],
+        *[F.col(f"_z.{n}").alias(n) for n in columns],
+    )
+
+
 def seed_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     seeds = explode_children(df, [key], SEEDS)
     return seeds.withColumnRenamed("id", "sid")
@@ -98,18 +123,17 @@ def seed_table(df: DataFrame, key: str = "event_id") -> DataFrame:
 
 def cluster_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Clusters with their seed's position and their first ring set (empty if none)."""
-    no_rings = F.array().cast("array<float>")
-    resolved = F.transform(
-        CLUSTERS,
-        lambda c, i: c.withField("seed_pos", valid_position(c["seed_link"], F.col(SEEDS)))
-        .withField(
-            "rings",
-            first_match_or_empty(F.col(RINGS), lambda r: r["cluster_link"] == i, "rings", no_rings),
-        )
-        .dropFields("cell_links"),
+    seeds = F.transform(
+        F.col(f"{CLUSTERS}.seed_link"), lambda link: valid_position(link, F.col(SEEDS))
+    )
+    rings = first_match_or_empty(
+        F.size(CLUSTERS),
+        F.col(f"{RINGS}.cluster_link"),
+        F.col(f"{RINGS}.rings"),
+        F.array().cast("array<float>"),
     )
-    return explode_children(df.select(key, resolved.alias("_clusters")), [key], "_clusters").drop(
-        "seed_link"
+    return _explode_with(
+        df, key, CLUSTERS, ["seed_link", "cell_links"], seed_pos=seeds, rings=rings
     )
 
 
@@ -151,13 +175,10 @@ def cell_table(df: DataFrame, key: str = "event_id") -> DataFrame:
 
 def electron_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Electrons with their cluster's position; a dangling link is NULL."""
-    resolved = F.transform(
-        ELECTRONS,
-        lambda e: e.withField(
-            "cluster_pos", valid_position(e["cluster_link"], F.col(CLUSTERS))
-        ).dropFields("cluster_link"),
+    clusters = F.transform(
+        F.col(f"{ELECTRONS}.cluster_link"), lambda link: valid_position(link, F.col(CLUSTERS))
     )
-    return explode_children(df.select(key, resolved.alias("_e")), [key], "_e")
+    return _explode_with(df, key, ELECTRONS, ["cluster_link"], cluster_pos=clusters)
 
 
 def particle_table(df: DataFrame, key: str = "event_id") -> DataFrame:
@@ -219,26 +240,37 @@ def dangling_links(tables: dict) -> DataFrame:
 
 def ring_records(df: DataFrame, key: str = "event_id", n_rings: int = 0) -> DataFrame:
     """One record per ring set whose cluster exists: size, cluster direction, opened rings."""
-    cluster = link_by_position(F.col("_item.cluster_link"), F.col(CLUSTERS))
-    rows = df.select(key, CLUSTERS, F.posexplode(RINGS).alias("ring_pos", "_item")).select(
-        key, "ring_pos", F.col("_item.rings").alias("rings"), cluster.alias("_cluster")
+    links = F.col(f"{RINGS}.cluster_link")
+
+    def of_cluster(field: str) -> Column:
+        values = F.col(f"{CLUSTERS}.{field}")
+        return F.transform(links, lambda link: link_by_position(link, values))
+
+    known = F.transform(links, lambda link: valid_position(link, F.col(CLUSTERS)))
+    zipped = F.arrays_zip(
+        F.col(f"{RINGS}.rings").alias("rings"),
+        of_cluster("eta").alias("eta"),
+        of_cluster("phi").alias("phi"),
+        known.alias("cluster"),
     )
-    return rows.where(F.col("_cluster").isNotNull()).select(
+    rows = df.select(key, F.posexplode(zipped).alias("ring_pos", "_z"))
+    return rows.where(F.col("_z.cluster").isNotNull()).select(
         key,
         "ring_pos",
-        F.size("rings").alias("rings_size"),
-        F.col("_cluster.eta").alias("cl_eta"),
-        F.col("_cluster.phi").alias("cl_phi"),
-        *[F.get("rings", F.lit(i)).alias(f"ring_{i}") for i in range(n_rings)],
+        F.size("_z.rings").alias("rings_size"),
+        F.col("_z.eta").alias("cl_eta"),
+        F.col("_z.phi").alias("cl_phi"),
+        *[F.get(F.col("_z.rings"), F.lit(i)).alias(f"ring_{i}") for i in range(n_rings)],
     )
 
 
 def skipped_ring_sets(df: DataFrame) -> DataFrame:
-    """How many ring sets point outside their event's clusters."""
-    links = df.select(F.size(CLUSTERS).alias("_n"), F.explode(RINGS).alias("_item"))
-    link = F.col("_item.cluster_link")
-    bad = (link < 0) | (link >= F.col("_n"))
-    return links.agg(F.count("*").alias("n_ring_sets"), F.count_if(bad).alias("n_skipped"))
+    """How many ring sets point outside their event's clusters, counted inside the event row."""
+    n = F.size(CLUSTERS)
+    outside = F.filter(F.col(f"{RINGS}.cluster_link"), lambda link: (link < 0) | (link >= n))
+    return df.agg(
+        F.sum(F.size(RINGS)).alias("n_ring_sets"), F.sum(F.size(outside)).alias("n_skipped")
+    )
 
 
 def with_dense_ids(df: DataFrame, order: Sequence[str], id_col: str = "id", start: int = 1):

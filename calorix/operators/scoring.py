@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calorix.functions.physics import decide, sigmoid
-from calorix.functions.vectors import l1_normalise
 from calorix.operators.scaling import standard_scale
 
 MAX_WEIGHTS = 10_000_000
@@ -67,10 +66,20 @@ def _matrix(rows: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
-def network(df: DataFrame, layers: Sequence[Dense]) -> Callable[[Column], Column]:
+def _normalised(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the absolute value of their sum (by 1 if that is zero)."""
+    norm = np.abs(x.sum(axis=1))
+    norm[norm == 0] = 1.0
+    return x / norm[:, None]
+
+
+def network(
+    df: DataFrame, layers: Sequence[Dense], normalise: bool = False
+) -> Callable[[Column], Column]:
     """A column function that applies a network with one output to a vector column.
 
-    The weights travel once per executor as a broadcast variable; rows move in Arrow batches.
+    The weights travel once per executor as a broadcast variable; rows move in Arrow batches,
+    and the optional normalisation runs on the batch as well.
     """
     shared = df.sparkSession.sparkContext.broadcast(_prepared(layers))
 
@@ -79,7 +88,7 @@ def network(df: DataFrame, layers: Sequence[Dense]) -> Callable[[Column], Column
         net = shared.value
         for batch in batches:
             x, good = _matrix(batch, net[0][0].shape[0])
-            y = _forward(net, x)[:, 0]
+            y = _forward(net, _normalised(x) if normalise else x)[:, 0]
             yield pd.Series(np.where(good, y, np.nan)).where(good, None)
 
     return apply
@@ -88,7 +97,10 @@ def network(df: DataFrame, layers: Sequence[Dense]) -> Callable[[Column], Column
 def two_branch_network(
     df: DataFrame, branch: Sequence[Dense], trunk: Sequence[Dense]
 ) -> Callable[[Column, Column], Column]:
-    """Column function for the inner product of two networks on two vector columns."""
+    """Column function for the inner product of two networks on two vector columns.
+
+    The first vector is normalised, the second is used as it is.
+    """
     shared = df.sparkSession.sparkContext.broadcast((_prepared(branch), _prepared(trunk)))
 
     @F.pandas_udf("double")
@@ -98,7 +110,7 @@ def two_branch_network(
             xa, ok_a = _matrix(a, left[0][0].shape[0])
             xb, ok_b = _matrix(b, right[0][0].shape[0])
             good = ok_a & ok_b
-            y = np.sum(_forward(left, xa) * _forward(right, xb), axis=1)
+            y = np.sum(_forward(left, _normalised(xa)) * _forward(right, xb), axis=1)
             yield pd.Series(np.where(good, y, np.nan)).where(good, None)
 
     return apply
@@ -121,8 +133,8 @@ def score_mlp(
 ) -> DataFrame:
     """Filter, normalise, apply the network, decide: ``(id, prediction, proba, label)``."""
     rows = df.where(F.expr(filter_cond)) if filter_cond else df
-    net = network(df, layers)
-    raw = rows.select(id_col, net(l1_normalise(vector)).alias("prediction"))
+    net = network(df, layers, normalise=True)
+    raw = rows.select(id_col, net(F.col(vector)).alias("prediction"))
     return with_decision(raw, threshold)
 
 
@@ -142,9 +154,7 @@ def score_two_branch(
     rows = df.where(F.expr(filter_cond)) if filter_cond else df
     ready = standard_scale(rows.select(id_col, vector, *scaled), params, scaled, absolute)
     net = two_branch_network(df, branch, trunk)
-    raw = ready.select(
-        id_col, net(l1_normalise(vector), F.array(*scaled)).alias("prediction")
-    )
+    raw = ready.select(id_col, net(F.col(vector), F.array(*scaled)).alias("prediction"))
     return with_decision(raw, threshold)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calorix.functions import physics as ph
-from calorix.sources.cutmaps import CutMap
+from calorix.sources.cutmaps import KEYS, CutMap
 
 PASSED = ""
 
@@ -49,74 +49,98 @@ def grid_cell(
     return _axis_bin(et, et_edges) * (len(eta_edges) - 1) + _axis_bin(abs_eta, eta_edges)
 
 
-def cell_index(cut_map: CutMap, et: Column, abs_eta: Column) -> Column:
-    """Row number of the map that covers (et, |eta|), as a plain expression.
+def box_index(boxes: Sequence[dict[str, float]], et: Column, abs_eta: Column) -> Column:
+    """Number of the (et, |eta|) box that holds a row, as a plain expression.
 
-    The usual map is a full grid, so each axis is binned on its own; any other set of boxes is
+    The usual set of boxes is a full grid, so each axis is binned on its own; any other set is
     tested box by box. No join is needed: a map is a few dozen rows.
     """
-    ets = sorted({(r["et_min"], r["et_max"]) for r in cut_map.rows})
-    etas = sorted({(r["eta_min"], r["eta_max"]) for r in cut_map.rows})
-    boxes = [(r["et_min"], r["et_max"], r["eta_min"], r["eta_max"]) for r in cut_map.rows]
+    ets = sorted({(r["et_min"], r["et_max"]) for r in boxes})
+    etas = sorted({(r["eta_min"], r["eta_max"]) for r in boxes})
+    corners = [(r["et_min"], r["et_max"], r["eta_min"], r["eta_max"]) for r in boxes]
     adjoining = all(a[1] == b[0] for axis in (ets, etas) for a, b in zip(axis, axis[1:]))
-    if adjoining and boxes == [(*e, *h) for e in ets for h in etas]:
+    if adjoining and corners == [(*e, *h) for e in ets for h in etas]:
         et_edges = [ets[0][0], *[b for _, b in ets]]
         eta_edges = [etas[0][0], *[b for _, b in etas]]
         return grid_cell(et, abs_eta, et_edges, eta_edges)
     out = F.when(F.lit(False), F.lit(0))
-    for i, (et_min, et_max, eta_min, eta_max) in enumerate(boxes):
+    for i, (et_min, et_max, eta_min, eta_max) in enumerate(corners):
         hit = (et >= et_min) & (et < et_max) & (abs_eta >= eta_min) & (abs_eta < eta_max)
         out = out.when(hit, i)
     return out
 
 
-def threshold(cut_map: CutMap, name: str, cell: Column) -> Column:
-    """Threshold of a cell; one literal when the whole map shares a value."""
-    values = [cut_map.threshold(r, name) for r in cut_map.rows]
+def cell_index(cut_map: CutMap, et: Column, abs_eta: Column) -> Column:
+    """Row number of the map that covers (et, |eta|)."""
+    return box_index(cut_map.rows, et, abs_eta)
+
+
+def _pick(values: Sequence[float], index: Column) -> Column:
+    """Value at an index; one literal when all values agree."""
     if len(set(values)) == 1:
         return F.lit(float(values[0]))
-    return F.get(F.array(*[F.lit(float(v)) for v in values]), cell)
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), index)
 
 
-def cut_reason(
-    cut_map: CutMap, columns: TriggerColumns = TriggerColumns(), et_scale: float = 1.0
-) -> Column:
-    """Name of the first cut that fails, or an empty text.
+def threshold(cut_map: CutMap, name: str, cell: Column) -> Column:
+    """Threshold of a cell."""
+    return _pick([cut_map.threshold(r, name) for r in cut_map.rows], cell)
 
-    A missing or NaN shape fails no cut; a row whose energy or direction lies in no bin has no
-    thresholds and counts as outside the |eta| range. ``et_scale`` converts the energy before the bin
-    lookup, for maps whose edges are in another unit.
-    """
+
+def with_shapes(df: DataFrame, columns: TriggerColumns = TriggerColumns()) -> DataFrame:
+    """Add the quantities the cuts look at, computed once for however many maps follow."""
     c = {
         k: F.col(v).cast("double")
         for k, v in vars(columns).items()
         if isinstance(v, str) and k != "energy_sample"
     }
-    energies = F.col(columns.energy_sample)
     abs_eta = F.abs(c["eta"])
-    cell = cell_index(cut_map, c["et"] * et_scale, abs_eta)
+    return df.withColumns(
+        {
+            "_l1_eta": F.abs(c["l1_eta"]),
+            "_deta": F.abs(c["eta"] - c["l1_eta"]),
+            "_dphi": ph.trigger_delta_phi(c["l1_phi"], c["phi"]),
+            "_abs_eta": abs_eta,
+            "_rcore": ph.core_ratio(c["e237"], c["e277"]),
+            "_eratio": ph.peak_ratio(c["emaxs1"], c["e2tsts1"]),
+            "_f1": ph.first_layer_fraction(columns.energy_sample),
+            "_crack": ph.in_crack(abs_eta),
+            "_et": c["et"],
+            "_had_et": ph.hadronic_et(c["et"], c["e277"], abs_eta),
+            "_weta2": c["weta2"],
+            "_wstot": c["wstot"],
+            "_f3": ph.third_layer_fraction(columns.energy_sample),
+        }
+    )
+
+
+def cut_reason(cut_map: CutMap, cell: Column, l1_eta_max: float = 2.5) -> Column:
+    """Name of the first cut that fails, or an empty text, over :func:`with_shapes` columns.
+
+    A missing or NaN shape fails no cut; a row whose energy or direction lies in no bin has no
+    thresholds and counts as outside the |eta| range.
+    """
 
     def thr(name: str) -> Column:
         return threshold(cut_map, name, cell)
 
-    had_thr = F.when(ph.greater(c["et"], thr("et2")), thr("had_et")).otherwise(thr("had_et2"))
-    shape_ok = ~ph.in_crack(abs_eta) & ~(ph.first_layer_fraction(energies) < thr("f1"))
-    dphi = ph.trigger_delta_phi(c["l1_phi"], c["phi"])
+    def above(name: str, limit: Column) -> Column:
+        return ph.greater(F.col(name), limit)
+
+    had_thr = F.when(above("_et", thr("et2")), thr("had_et")).otherwise(thr("had_et2"))
+    shape_ok = ~F.col("_crack") & ~(F.col("_f1") < thr("f1"))
     chain = [
-        (ph.greater(F.abs(c["l1_eta"]), F.lit(columns.l1_eta_max)), "invalid_l1_eta"),
-        (ph.greater(F.abs(c["eta"] - c["l1_eta"]), F.lit(cut_map.deta)), "deta_too_big"),
-        (ph.greater(dphi, F.lit(cut_map.dphi)), "dphi_too_big"),
-        (ph.greater(abs_eta, F.lit(cut_map.max_abs_eta)) | cell.isNull(), "invalid_l2_eta"),
-        (ph.core_ratio(c["e237"], c["e277"]) < thr("rcore"), "rcore_too_small"),
-        (
-            shape_ok & (ph.peak_ratio(c["emaxs1"], c["e2tsts1"]) < thr("eratio")),
-            "eratio_too_small",
-        ),
-        (c["et"] * 1e-3 < thr("et"), "et_too_small"),
-        (ph.greater(ph.hadronic_et(c["et"], c["e277"], abs_eta), had_thr), "had_et_too_big"),
-        (ph.greater(c["weta2"], thr("weta2")), "weta2_too_big"),
-        ((c["wstot"] >= thr("wstot")) & ~F.isnan(c["wstot"]), "wstot_too_big"),
-        (ph.greater(ph.third_layer_fraction(energies), thr("f3")), "f3_too_big"),
+        (above("_l1_eta", F.lit(l1_eta_max)), "invalid_l1_eta"),
+        (above("_deta", F.lit(cut_map.deta)), "deta_too_big"),
+        (above("_dphi", F.lit(cut_map.dphi)), "dphi_too_big"),
+        (above("_abs_eta", F.lit(cut_map.max_abs_eta)) | cell.isNull(), "invalid_l2_eta"),
+        (F.col("_rcore") < thr("rcore"), "rcore_too_small"),
+        (shape_ok & (F.col("_eratio") < thr("eratio")), "eratio_too_small"),
+        (F.col("_et") * 1e-3 < thr("et"), "et_too_small"),
+        (above("_had_et", had_thr), "had_et_too_big"),
+        (above("_weta2", thr("weta2")), "weta2_too_big"),
+        ((F.col("_wstot") >= thr("wstot")) & ~F.isnan("_wstot"), "wstot_too_big"),
+        (above("_f3", thr("f3")), "f3_too_big"),
     ]
     out = F.when(chain[0][0], chain[0][1])
     for failed, reason in chain[1:]:
@@ -134,13 +158,28 @@ def select_with_cuts(
     et_scale: float = 1.0,
     name: str = "cutbased",
 ) -> DataFrame:
-    """Classify rows with several cut maps in one scan: ``{model}_{name}[_reason]`` columns."""
+    """Classify rows with several cut maps in one scan: ``{model}_{name}[_reason]`` columns.
+
+    ``et_scale`` converts the energy before the bin lookup, for maps whose edges are in another
+    unit. Maps with the same bins share one lookup.
+    """
     base = df.columns if keep_input else list(keep)
+    grids: dict[tuple, str] = {}
+    cell_of = {}
+    for m, cut_map in models.items():
+        corners = tuple(tuple(r[k] for k in KEYS) for r in cut_map.rows)
+        cell_of[m] = grids.setdefault(corners, f"_cell{len(grids)}")
+    shaped = with_shapes(df, columns)
+    cells = {
+        cell_of[m]: cell_index(cut_map, F.col("_et") * et_scale, F.col("_abs_eta"))
+        for m, cut_map in models.items()
+    }
+    placed = shaped.withColumns(cells)
     reasons = {
-        f"{m}_{name}_reason": cut_reason(cut_map, columns, et_scale)
+        f"{m}_{name}_reason": cut_reason(cut_map, F.col(cell_of[m]), columns.l1_eta_max)
         for m, cut_map in models.items()
     }
-    tagged = df.withColumns(reasons)
+    tagged = placed.select(*base, *[r.alias(c) for c, r in reasons.items()])
     out = []
     for m in models:
         reason = f"{m}_{name}_reason"
@@ -163,18 +202,11 @@ def committee_decision(
     A member is a box in (et, |eta|) with ``slope``, ``offset`` and ``max_average_mu``; rows
     outside every box get NULL.
     """
-    et_v, eta_v, mu = F.col(et), F.col(abs_eta), F.col(pileup)
-    member, limit = F.when(F.lit(False), 0), F.when(F.lit(False), F.lit(0.0))
-    for i, m in enumerate(members):
-        hit = (
-            (et_v >= m["et_min"])
-            & (et_v < m["et_max"])
-            & (eta_v >= m["eta_min"])
-            & (eta_v < m["eta_max"])
-        )
-        member = member.when(hit, i)
-        capped = F.least(mu, F.lit(float(m["max_average_mu"])))
-        limit = limit.when(hit, F.lit(float(m["slope"])) * capped + F.lit(float(m["offset"])))
-    placed = df.withColumns({"member": member, "score_threshold": limit})
-    return placed.withColumn("accepted", F.col(score) > F.col("score_threshold"))
+    placed = df.withColumn("member", box_index(members, F.col(et), F.col(abs_eta)))
+
+    def own(name: str) -> Column:
+        return _pick([float(m[name]) for m in members], F.col("member"))
 
+    limit = own("slope") * F.least(F.col(pileup), own("max_average_mu")) + own("offset")
+    limited = placed.withColumn("score_threshold", F.when(F.col("member").isNotNull(), limit))
+    return limited.withColumn("accepted", F.col(score) > F.col("score_threshold"))

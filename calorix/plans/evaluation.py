@@ -305,9 +305,11 @@ def _cut_select(spark, folder):
     f"WITH {_TRIGGER_SQL}, c AS ({_cut_sql('medium')}) SELECT reason, count(*) AS n FROM c GROUP BY 1",
 )
 def _cut_reason_counts(spark, folder):
-    rows = trigger_rows(spark, folder)
-    reason = se.cut_reason(builtin_cut_map("medium")).alias("reason")
-    return rows.select(reason).groupBy("reason").agg(F.count("*").alias("n"))
+    maps = {"medium": builtin_cut_map("medium")}
+    rows = se.select_with_cuts(trigger_rows(spark, folder), maps, return_reason=True)
+    return rows.groupBy(F.col("medium_cutbased_reason").alias("reason")).agg(
+        F.count("*").alias("n")
+    )
 
 
 @query(

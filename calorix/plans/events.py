@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from calorix.operators import nested
 from calorix.operators.profile import energy_ratio
 from calorix.operators.samples import build_samples, size_violations, unmatched_keys
 from calorix.plans.base import eta, eta_sql, phi, phi_sql, query, table
 from calorix.schemas import EVENT_SCHEMA
-from calorix.session import checkpoint_root
+from calorix.session import checkpoint_root, durable
 from calorix.sources.readers import event_scan
 from calorix.sources.writers import write_gzip
 
@@ -30,22 +31,6 @@ def _angle(of: Column, factor: int, period: int, shift: float) -> Column:
     return (of * factor) % period / F.lit(1000.0) - F.lit(shift)
 
 
-def _elements(container: str, values) -> Column:
-    """One container element per line; fields without a stand-in are NULL."""
-    element = EVENT_SCHEMA[container].dataType.elementType
-
-    def build(line: Column) -> Column:
-        given = values(line)
-        return F.struct(
-            *[
-                given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in element.fields
-            ]
-        )
-
-    return F.transform("items", build).alias(container)
-
-
 def _direction(line: Column) -> dict[str, Column]:
     return {
         "eta": _angle(line["l_partkey"], 37, 5001, 2.5),
@@ -53,65 +38,64 @@ def _direction(line: Column) -> dict[str, Column]:
     }
 
 
-def nested_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders in the nested event schema, plus ``event_id``."""
-    info = EVENT_SCHEMA[nested.INFO].dataType.elementType
+# Element fields that have a stand-in, per container; a reader fills the others with NULL.
+ELEMENTS = {
+    nested.CELLS: lambda x: {"descriptor_link": x["l_partkey"], "e": x["l_quantity"]},
+    nested.CLUSTERS: lambda x: {
+        "cell_links": F.array(x["l_partkey"], x["l_partkey"] + 1),
+        "e": x["l_quantity"],
+        "et": x["l_extendedprice"],
+        "seed_link": x["l_linenumber"] - 1,
+        **_direction(x),
+    },
+    nested.DESCRIPTORS: lambda x: {
+        "hash": x["l_partkey"] + x["l_linenumber"] % 3,
+        "e": x["l_quantity"],
+    },
+    nested.RINGS: lambda x: {
+        "cluster_link": x["l_linenumber"] - 1,
+        "rings": F.array(x["l_quantity"], x["l_discount"], x["l_tax"]),
+    },
+    nested.ELECTRONS: lambda x: {"cluster_link": x["l_linenumber"], "e": x["l_quantity"]},
+    nested.SEEDS: lambda x: {"id": x["l_suppkey"] % 5, "e": x["l_quantity"], **_direction(x)},
+    nested.PARTICLES: lambda x: {
+        "seedid": (x["l_suppkey"] + x["l_linenumber"]) % 7,
+        "e": x["l_quantity"],
+    },
+}
+
+
+def _container(name: str) -> Column:
+    types = EVENT_SCHEMA[name].dataType.elementType
+
+    def build(line: Column) -> Column:
+        given = ELEMENTS[name](line)
+        return F.struct(*[v.cast(types[f].dataType).alias(f) for f, v in given.items()])
+
+    return F.transform("items", build).alias(name)
+
+
+def nested_events(spark: SparkSession, folder: str, *containers: str) -> DataFrame:
+    """Orders in the nested event format, plus ``event_id``; all containers by default."""
     event = F.struct(
         (F.col("l_orderkey") % 60).cast("float").alias("avgmu"),
         F.col("l_orderkey").cast("float").alias("eventNumber"),
         F.lit(1.0).cast("float").alias("runNumber"),
-    ).cast(info)
-    lines = nested_lines(spark, folder)
-    return lines.select(
+    )
+    names = containers or (*ELEMENTS, nested.INFO)
+    return nested_lines(spark, folder).select(
         F.col("l_orderkey").alias("event_id"),
-        _elements(
-            nested.CELLS, lambda x: {"descriptor_link": x["l_partkey"], "e": x["l_quantity"]}
-        ),
-        _elements(
-            nested.CLUSTERS,
-            lambda x: {
-                "cell_links": F.array(x["l_partkey"], x["l_partkey"] + 1),
-                "e": x["l_quantity"],
-                "et": x["l_extendedprice"],
-                "deta": F.lit(0.5),
-                "dphi": F.lit(0.5),
-                "seed_link": x["l_linenumber"] - 1,
-                **_direction(x),
-            },
-        ),
-        _elements(
-            nested.DESCRIPTORS,
-            lambda x: {
-                "hash": x["l_partkey"] + x["l_linenumber"] % 3,
-                "e": x["l_quantity"],
-                "sampling": x["l_linenumber"],
-            },
-        ),
-        _elements(
-            nested.RINGS,
-            lambda x: {
-                "cluster_link": x["l_linenumber"] - 1,
-                "rings": F.array(x["l_quantity"], x["l_discount"], x["l_tax"]),
-            },
-        ),
-        _elements(
-            nested.ELECTRONS, lambda x: {"cluster_link": x["l_linenumber"], "e": x["l_quantity"]}
-        ),
-        F.array(event).alias(nested.INFO),
-        _elements(
-            nested.SEEDS, lambda x: {"id": x["l_suppkey"] % 5, "e": x["l_quantity"], **_direction(x)}
-        ),
-        _elements(
-            nested.PARTICLES,
-            lambda x: {
-                "seedid": (x["l_suppkey"] + x["l_linenumber"]) % 7,
-                "e": x["l_quantity"],
-                **_direction(x),
-            },
-        ),
+        *[F.array(event).alias(n) if n == nested.INFO else _container(n) for n in names],
     )
 
 
+def stored_events(spark: SparkSession, folder: str, *containers: str) -> DataFrame:
+    """Nested events written once and read under the full event schema."""
+    events = nested_events(spark, folder, *containers)
+    schema = StructType([events.schema["event_id"], *EVENT_SCHEMA.fields])
+    return durable(events, "events", schema)
+
+
 # Lines with their position in the event, as the SQL side sees them.
 ITEMS = """
 items AS (
@@ -133,7 +117,8 @@ items AS (
 )
 def _event_scan(spark, folder):
     path = f"{checkpoint_root(spark)}/events-{uuid.uuid4().hex}"
-    write_gzip(nested_events(spark, folder).drop("event_id"), path)
+    written = nested_events(spark, folder, nested.CLUSTERS, nested.SEEDS, nested.INFO)
+    write_gzip(written.drop("event_id"), path)
     events = event_scan(spark, [path], skip_corrupt=True)
     total = F.aggregate(
         F.col(f"{nested.CLUSTERS}.e"), F.lit(0.0), lambda s, x: s + x.cast("double")
@@ -210,7 +195,8 @@ def _link_by_position(spark, folder):
     FROM items d LEFT JOIN links l ON l.event_id = d.event_id AND l.hash = d.pk + d.ln % 3""",
 )
 def _link_by_hash_last(spark, folder):
-    return nested.descriptor_table(nested_events(spark, folder)).select(
+    events = stored_events(spark, folder, nested.DESCRIPTORS, nested.CLUSTERS)
+    return nested.descriptor_table(events).select(
         "event_id", "pos", "hash", F.col("cluster_pos").cast("double").alias("cluster_pos")
     )
 
@@ -224,7 +210,8 @@ def _link_by_hash_last(spark, folder):
     FROM items c LEFT JOIN links l ON l.event_id = c.event_id AND l.hash = c.pk""",
 )
 def _link_cell(spark, folder):
-    return nested.cell_table(nested_events(spark, folder)).select(
+    events = stored_events(spark, folder, nested.CELLS, nested.DESCRIPTORS)
+    return nested.cell_table(events).select(
         "event_id", "pos", F.col("descriptor_pos").cast("double").alias("descriptor_pos")
     )
 
@@ -240,7 +227,9 @@ def _link_cell(spark, folder):
     LEFT JOIN items r ON r.event_id = f.event_id AND r.pos = f.ring_pos""",
 )
 def _first_match(spark, folder):
-    return nested.cluster_table(nested_events(spark, folder)).select(
+    return nested.cluster_table(
+        nested_events(spark, folder, nested.CLUSTERS, nested.SEEDS, nested.RINGS)
+    ).select(
         "event_id",
         "pos",
         F.size("rings").alias("rings_size"),
@@ -255,7 +244,9 @@ def _first_match(spark, folder):
     FROM items""",
 )
 def _link_nullable(spark, folder):
-    return nested.electron_table(nested_events(spark, folder)).select(
+    return nested.electron_table(
+        nested_events(spark, folder, nested.ELECTRONS, nested.CLUSTERS)
+    ).select(
         "event_id", "pos", F.col("cluster_pos").cast("double").alias("cluster_pos")
     )
 
@@ -268,7 +259,8 @@ def _link_nullable(spark, folder):
     FROM items p LEFT JOIN seeds s ON s.event_id = p.event_id AND s.sid = (p.sk + p.ln) % 7""",
 )
 def _link_by_key(spark, folder):
-    return nested.particle_table(nested_events(spark, folder)).select(
+    events = stored_events(spark, folder, nested.PARTICLES, nested.SEEDS)
+    return nested.particle_table(events).select(
         "event_id", "pos", F.col("seed_pos").cast("double").alias("seed_pos")
     )
 
@@ -293,7 +285,7 @@ def _link_by_key(spark, folder):
       FROM items i""",
 )
 def _dangling_links(spark, folder):
-    return nested.dangling_links(nested.child_tables(nested_events(spark, folder)))
+    return nested.dangling_links(nested.child_tables(stored_events(spark, folder)))
 
 
 @query(
@@ -306,7 +298,9 @@ def _dangling_links(spark, folder):
     FROM items r JOIN items c ON c.event_id = r.event_id AND c.pos = r.ln - 1""",
 )
 def _ring_records(spark, folder):
-    records = nested.ring_records(nested_events(spark, folder), n_rings=1)
+    records = nested.ring_records(
+        nested_events(spark, folder, nested.RINGS, nested.CLUSTERS), n_rings=1
+    )
     return records.select(
         "event_id",
         "ring_pos",
@@ -323,7 +317,9 @@ def _ring_records(spark, folder):
     SELECT count(*) AS n_ring_sets, count(*) FILTER (ln - 1 >= n) AS n_skipped FROM items""",
 )
 def _skipped(spark, folder):
-    return nested.skipped_ring_sets(nested_events(spark, folder))
+    return nested.skipped_ring_sets(
+        nested_events(spark, folder, nested.RINGS, nested.CLUSTERS)
+    )
 
 
 @query(
@@ -332,7 +328,7 @@ def _skipped(spark, folder):
        FROM (SELECT DISTINCT l_orderkey FROM lineitem)""",
 )
 def _event_info_check(spark, folder):
-    events = nested_events(spark, folder).select("event_id", nested.INFO)
+    events = nested_events(spark, folder, nested.INFO)
     bad = size_violations(events, nested.INFO)
     return events.agg(F.count("*").alias("n_events")).withColumn(
         "n_without_one_info", F.lit(bad.count())
@@ -385,7 +381,8 @@ def _dense_ids(spark, folder):
            round(cl_eta, 6) AS cl_eta, CAST(label AS TINYINT) AS label FROM samples""",
 )
 def _build_samples(spark, folder):
-    events = nested_events(spark, folder)
+    containers = (nested.CLUSTERS, nested.SEEDS, nested.RINGS, nested.INFO)
+    events = stored_events(spark, folder, *containers)
 
     def side(parity: int) -> tuple[DataFrame, DataFrame]:
         part = events.where(F.col("event_id") % 2 == parity)

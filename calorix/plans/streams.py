@@ -38,7 +38,7 @@ def _as_stream(spark, df, path: str, files: int = 4):
 )
 def _stream_flatten(spark, folder):
     source, out, checkpoint = _folders(spark, "flatten")
-    events = nested_events(spark, folder).select("event_id", nested.ELECTRONS, nested.CLUSTERS)
+    events = nested_events(spark, folder, nested.ELECTRONS, nested.CLUSTERS)
     stream = _as_stream(spark, events, source)
     stream_tables(
         stream, out, checkpoint, tables=lambda b: {"electrons": nested.electron_table(b)}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MAX_DRIVER_ROWS = 100_000
 
@@ -26,17 +27,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+def durable(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and read it back.
 
     Used where two passes must see the very same rows (positions, partition numbers): the
     written table survives executor loss, cuts the lineage, and lets each pass read only its
-    columns.
+    columns. ``schema`` reads the table back under a wider schema.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def collect_bounded(df: DataFrame, limit: int = MAX_DRIVER_ROWS, what: str = "rows") -> list:
