@@ -134,21 +134,27 @@ def exact_roc(df: DataFrame, y: str, score: str) -> DataFrame:
     """ROC with every distinct score as a threshold.
 
     Scores are counted first; the cumulative sums over what remains run range by range, so the
-    number of distinct scores is not limited.
+    number of distinct scores is not limited. The curve starts at (0, 0), listed with
+    threshold 1.
     """
     counts = (
         df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
     )
-    summed = with_running_totals(
-        counts, [F.desc("threshold")], {"_pos": "tp", "_neg": "fp"}
-    )
-    totals = df.where(F.col(score).isNotNull()).agg(
-        F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")
+    summed = with_running_totals(counts, [F.desc("threshold")], {"_pos": "tp", "_neg": "fp"})
+    totals = counts.agg(
+        F.coalesce(F.sum("_pos"), F.lit(0)).alias("p"),
+        F.coalesce(F.sum("_neg"), F.lit(0)).alias("n"),
     ).first()
+    start = df.sparkSession.range(1).select(
+        F.lit(1.0).alias("threshold"),
+        F.lit(0).cast("long").alias("tp"),
+        F.lit(0).cast("long").alias("fp"),
+    )
+    points = start.unionByName(summed.select("threshold", "tp", "fp"))
     return with_rates(
-        summed.select(
+        points.select(
             "threshold",
             "tp",
             "fp",

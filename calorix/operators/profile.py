@@ -37,6 +37,8 @@ def _binned(df: DataFrame, column: str, edges: Sequence[float], out: str) -> Dat
     """Closed-left bins with a closed last edge; values outside the edges are left out."""
     v = F.col(column).cast("double")
     rows = df.where((v >= edges[0]) & (v <= edges[-1])).withColumn(f"_{out}", v)
+    if len(edges) == 2:
+        return rows.withColumn(out, F.lit(0)).drop(f"_{out}")
     binned = Bucketizer(splits=list(edges), inputCol=f"_{out}", outputCol=out).transform(rows)
     return binned.withColumn(out, F.col(out).cast("int")).drop(f"_{out}")
 

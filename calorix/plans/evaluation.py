@@ -122,7 +122,8 @@ def _best_threshold(spark, folder):
           FROM s GROUP BY 1),
     c AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC)::BIGINT AS tp,
             sum(n) OVER (ORDER BY threshold DESC)::BIGINT AS fp, sum(p) OVER ()::BIGINT AS pp,
-            sum(n) OVER ()::BIGINT AS nn FROM g)
+            sum(n) OVER ()::BIGINT AS nn FROM g
+          UNION ALL SELECT 1, 0, 0, sum(p)::BIGINT, sum(n)::BIGINT FROM g)
     SELECT round(threshold, 6) AS threshold, tp, fp, nn - fp AS tn, pp - tp AS fn,
       round(tp / pp, 6) AS tpr, round(fp / nn, 6) AS fpr FROM c""",
 )
