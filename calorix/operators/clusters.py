@@ -1,7 +1,8 @@
 """Clustering with fixed or fitted centres, and its evaluation.
 
-Centres are a small list on the driver (clusters x dimensions) and enter the plan as literals,
-so an iteration is one scan with a partial aggregation and never grows the lineage.
+Centres are a small list on the driver (clusters x dimensions) that is broadcast or enters the
+plan as literals, so an iteration is one scan with a partial aggregation and never grows the
+lineage.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from calorix.functions.distances import distance
 from calorix.functions.physics import ratio
 from calorix.operators.compare import best_run, cumulative_cutoff, metric_diff
 from calorix.operators.folds import fold_values, train_rows, validation_rows
+from calorix.operators.kernels import BATCH_DISTANCES, nearest
 from calorix.session import collect_bounded
 
 Centers = list[list[float]]
@@ -29,17 +31,31 @@ MAX_CENTER_VALUES = 1_000_000
 INVALID_SCORE = -1e6
 
 
-def center_distances(vector: str, centers: Centers, metric="euclidean", **params) -> Column:
-    """Array with the distance of a row to every centre."""
+def _check_size(centers: Centers) -> None:
     if sum(len(c) for c in centers) > MAX_CENTER_VALUES:
-        raise ValueError("too many centre values to carry in the plan")
+        raise ValueError("too many centre values to carry to every task")
+
+
+def center_distances(vector: str, centers: Centers, metric="euclidean", **params) -> Column:
+    """Array with the distance of a row to every centre, as an expression."""
+    _check_size(centers)
     return F.array(*[distance(vector, c, metric, **params) for c in centers])
 
 
 def nearest_center(
     df: DataFrame, vector: str, centers: Centers, metric="euclidean", **params
 ) -> DataFrame:
-    """Add ``cluster`` (the first nearest centre) and ``distance`` to it."""
+    """Add ``cluster`` (the first nearest centre) and ``distance`` to it.
+
+    Common metrics run in Arrow batches; custom and parametric ones as column expressions.
+    """
+    _check_size(centers)
+    if metric in BATCH_DISTANCES and not params:
+        found = nearest(df.sparkSession, centers, metric)(F.col(vector))
+        placed = df.withColumn("_nearest", found)
+        return placed.withColumns(
+            {"cluster": F.col("_nearest.cluster"), "distance": F.col("_nearest.distance")}
+        ).drop("_nearest")
     placed = df.withColumn("_distances", center_distances(vector, centers, metric, **params))
     least = F.array_min("_distances")
     return placed.withColumns(
@@ -80,10 +96,9 @@ def farthest_point_init(
         raise ValueError(f"no row with {id_col} = {start_id}")
     centers = [[float(x) for x in first[0]]]
     while len(centers) < k:
-        gap = F.array_min(center_distances(vector, centers, metric, **params))
-        farthest = df.select(gap.alias("_d"), F.col(id_col).alias("_i"), F.col(vector).alias("_v"))
-        row = farthest.orderBy(F.desc("_d"), "_i").first()
-        centers.append([float(x) for x in row["_v"]])
+        gaps = nearest_center(df.select(id_col, vector), vector, centers, metric, **params)
+        row = gaps.orderBy(F.desc("distance"), id_col).first()
+        centers.append([float(x) for x in row[vector]])
     return centers
 
 
@@ -103,14 +118,12 @@ def proportional_init(
     while len(centers) < k:
         bits = F.xxhash64(F.lit(seed), F.lit(len(centers)), F.col(id_col))
         u = (F.pmod(bits, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        gap = F.array_min(center_distances(vector, centers, metric))
-        drawn = df.select(
-            gap.alias("_d"), u.alias("_u"), F.col(id_col).alias("_i"), F.col(vector).alias("_v")
-        ).where(F.col("_d") > 0)
-        row = drawn.orderBy(F.desc(F.log("_u") / F.col("_d")), "_i").first()
+        gaps = nearest_center(df.select(id_col, vector), vector, centers, metric)
+        drawn = gaps.withColumn("_u", u).where(F.col("distance") > 0)
+        row = drawn.orderBy(F.desc(F.log("_u") / F.col("distance")), id_col).first()
         if row is None:
             break
-        centers.append([float(x) for x in row["_v"]])
+        centers.append([float(x) for x in row[vector]])
     return centers
 
 

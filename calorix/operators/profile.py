@@ -79,9 +79,9 @@ def histogram(
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage of every category."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # one row per category
-    return counts.withColumn("percent", 100 * F.col("n") / total)
+    known = df.where(F.col(column).isNotNull())
+    counts = known.groupBy(column).agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", 100 * F.col("n") / F.lit(known.count()))
 
 
 def histogram2d(
@@ -268,7 +268,7 @@ def energy_ratio(
     ``id, seed_id, e, et, eta, phi``; ids are primary keys.
     """
     per_seed = particles.groupBy("seed_id").agg(
-        F.count_distinct("id").alias("n_particles"),
+        F.count("id").alias("n_particles"),
         F.sum(F.col("et").cast("double")).alias("_et"),
         F.sum(F.col("e").cast("double")).alias("_e"),
     )
@@ -287,9 +287,13 @@ def energy_ratio(
     boxes = (
         box.withColumn("_i", cells("eta", "deta")).withColumn("_j", cells("phi", "dphi")).alias("c")
     )
-    points = particles.select(
-        "seed_id", "eta", "phi", at(F.col("eta")).alias("_i"), at(F.col("phi")).alias("_j")
-    ).alias("p")
+    # particles at the very same point are one row with a count
+    points = (
+        particles.groupBy("seed_id", "eta", "phi")
+        .agg(F.count("*").alias("_copies"))
+        .withColumns({"_i": at(F.col("eta")), "_j": at(F.col("phi"))})
+        .alias("p")
+    )
     hit = in_box("p.eta", "p.phi", "c.eta", "c.phi", "c.deta", "c.dphi")
     inside = (
         boxes.join(
@@ -297,7 +301,7 @@ def energy_ratio(
             [F.col(f"c.{k}") == F.col(f"p.{k}") for k in ("seed_id", "_i", "_j")] + [hit],
         )
         .groupBy(F.col("c.id").alias("id"))
-        .agg(F.count("*").alias("in_cluster"))
+        .agg(F.sum("_copies").alias("in_cluster"))
     )
     joined = base.join(inside, "id", "left")
     total_et, total_e = F.col("_et") * 1000, F.col("_e") * 1000

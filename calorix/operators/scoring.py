@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calorix.functions.physics import decide, sigmoid
+from calorix.operators.kernels import stacked
 from calorix.operators.scaling import standard_scale
 
 MAX_WEIGHTS = 10_000_000
@@ -57,15 +58,6 @@ def _forward(layers: list, x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _matrix(rows: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stack vectors of the expected width; others are flagged and become zeros."""
-    good = np.array([r is not None and len(r) == width for r in rows], dtype=bool)
-    out = np.zeros((len(rows), width))
-    if good.any():
-        out[good] = np.vstack(rows.to_numpy()[good])
-    return out, good
-
-
 def _normalised(x: np.ndarray) -> np.ndarray:
     """Rows divided by the absolute value of their sum (by 1 if that is zero)."""
     norm = np.abs(x.sum(axis=1))
@@ -87,7 +79,7 @@ def network(
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = shared.value
         for batch in batches:
-            x, good = _matrix(batch, net[0][0].shape[0])
+            x, good = stacked(batch, net[0][0].shape[0])
             y = _forward(net, _normalised(x) if normalise else x)[:, 0]
             yield pd.Series(np.where(good, y, np.nan)).where(good, None)
 
@@ -107,8 +99,8 @@ def two_branch_network(
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         left, right = shared.value
         for a, b in batches:
-            xa, ok_a = _matrix(a, left[0][0].shape[0])
-            xb, ok_b = _matrix(b, right[0][0].shape[0])
+            xa, ok_a = stacked(a, left[0][0].shape[0])
+            xb, ok_b = stacked(b, right[0][0].shape[0])
             good = ok_a & ok_b
             y = np.sum(_forward(left, _normalised(xa)) * _forward(right, xb), axis=1)
             yield pd.Series(np.where(good, y, np.nan)).where(good, None)

@@ -33,7 +33,7 @@ def _dot(vector: str, layer: Dense, j: int) -> str:
         lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) + {layer.bias[j]}::DOUBLE)"""
 
 
-_DECISION = """round(p, 4) AS prediction, round(1 / (1 + exp(-p)), 4) AS proba,
+_DECISION = """round(p, 4) + 0.0::DOUBLE AS prediction, round(1 / (1 + exp(-p)), 4) AS proba,
     CASE WHEN 1 / (1 + exp(-p)) >= 0.5 THEN 1 ELSE 0 END AS predicted_label"""
 
 
