@@ -248,8 +248,10 @@ def log_loss(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
-def weighted_log_loss(df: DataFrame, y: str, logit: str) -> DataFrame:
-    """Class-balanced cross entropy from logits.
+def weighted_log_loss(
+    df: DataFrame, y: str, logit: str, weights: dict | None = None
+) -> DataFrame:
+    """Class-weighted cross entropy from logits, balanced unless weights are given.
 
     A weight depends on the class alone, so the losses are summed per class and the few sums
     are weighted afterwards; the samples are read once and never joined.
@@ -258,8 +260,13 @@ def weighted_log_loss(df: DataFrame, y: str, logit: str) -> DataFrame:
     per_class = df.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("label")).agg(
         F.count("*").alias("n_samples"), F.sum(loss).alias("_loss")
     )
-    every = Window.partitionBy()  # one row per class
-    weight = F.sum("n_samples").over(every) / (F.count("*").over(every) * F.col("n_samples"))
+    if weights is None:
+        every = Window.partitionBy()  # one row per class
+        weight = F.sum("n_samples").over(every) / (F.count("*").over(every) * F.col("n_samples"))
+    else:
+        weight = F.lit(1.0)
+        for label, w in weights.items():
+            weight = F.when(F.col("label") == label, F.lit(float(w))).otherwise(weight)
     return per_class.withColumn("_w", weight).agg(
         F.sum("n_samples").alias("n_samples"),
         (F.sum(F.col("_w") * F.col("_loss")) / F.sum("n_samples")).alias("weighted_loss"),

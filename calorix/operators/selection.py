@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorix.functions import physics as ph
 from calorix.sources.cutmaps import KEYS, CutMap
+from calorix.sources.readers import read_inputs
 
 PASSED = ""
 
@@ -189,6 +190,25 @@ def select_with_cuts(
     return tagged.select(*base, *out)
 
 
+def predict_files(
+    spark: SparkSession,
+    paths,
+    out: str,
+    models: dict[str, CutMap],
+    columns: TriggerColumns = TriggerColumns(),
+    return_reason: bool = False,
+    concat: bool = False,
+    dev: bool = False,
+) -> None:
+    """Classify all input files in one job and write the result with each row's input file.
+
+    ``concat`` keeps the input columns beside the new ones.
+    """
+    rows = read_inputs(spark, paths, dev=dev).withColumn("input_file", F.input_file_name())
+    keep = rows.columns if concat else ["input_file"]
+    select_with_cuts(rows, models, columns, return_reason, keep=keep).write.parquet(out)
+
+
 def committee_decision(
     df: DataFrame,
     members: Sequence[dict[str, float]],

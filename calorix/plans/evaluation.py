@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from calorix.functions import physics as ph
 from calorix.operators import metrics as me
 from calorix.operators import selection as se
+from calorix.operators.profile import histogram
 from calorix.plans.base import eta, eta_sql, phi, phi_sql, query, rounded, table
+from calorix.session import checkpoint_root
 from calorix.sources.cutmaps import ETA_EDGES, builtin_cut_map
 
 SCORE = "(l_quantity * 4 + l_linenumber) / 210"
@@ -174,6 +178,34 @@ def _weighted_log_loss(spark, folder):
     return rounded(me.weighted_log_loss(rows, "y", "logit"), 6, "weighted_loss")
 
 
+@query(
+    "given_weight_log_loss",
+    f"""WITH s AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, ({SCORE} - 0.5) * 4 AS x
+                   FROM lineitem)
+    SELECT count(*) AS n_samples, round(sum(CASE y WHEN 1 THEN 2.5 ELSE 0.5 END
+      * (greatest(x, 0) - x * y + ln(1 + exp(-abs(x))))) / count(*), 6) AS weighted_loss FROM s""",
+)
+def _given_weight_log_loss(spark, folder):
+    rows = scored_lines(spark, folder).withColumn("logit", (F.col("score") - 0.5) * 4)
+    out = me.weighted_log_loss(rows, "y", "logit", {0: 0.5, 1: 2.5})
+    return rounded(out, 6, "weighted_loss")
+
+
+@query(
+    "output_distribution",
+    f"""SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_orderkey % 5 = 0 AS is_val,
+      least(CAST(floor({SCORE} * 20) AS INTEGER), 19) AS bin, count(*) AS n
+    FROM lineitem GROUP BY ALL""",
+)
+def _output_distribution(spark, folder):
+    """Score histogram of each class in the training and the validation part."""
+    rows = scored_lines(spark, folder).withColumn("is_val", F.col("l_orderkey") % 5 == 0)
+    edges = [i / 20 for i in range(21)]
+    return histogram(rows, "score", edges=edges, by=["y", "is_val"]).select(
+        "y", "is_val", "bin", "n"
+    )
+
+
 @query(
     "threshold_label",
     """SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS prediction,
@@ -331,6 +363,24 @@ def _cut_multi(spark, folder):
     )
 
 
+@query(
+    "cut_predictions",
+    f"""WITH {_TRIGGER_SQL}, c AS ({_cut_sql("loose")})
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 1::BIGINT AS n_folders,
+      CAST(reason = '' AS INTEGER) AS loose_cutbased FROM c""",
+)
+def _cut_predictions(spark, folder):
+    """Trigger rows as files, classified file by file in one job, beside their input."""
+    root = f"{checkpoint_root(spark)}/predict-{uuid.uuid4().hex}"
+    trigger_rows(spark, folder).write.parquet(f"{root}/in")
+    se.predict_files(
+        spark, f"{root}/in", f"{root}/out", {"loose": builtin_cut_map("loose")}, concat=True
+    )
+    keep = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    lineage = F.col("input_file").contains(root).cast("long").alias("n_folders")
+    return spark.read.parquet(f"{root}/out").select(*keep, lineage, "loose_cutbased")
+
+
 @query(
     "range_lookup",
     f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, m.rcore, m.had_et

@@ -24,7 +24,7 @@ from calorix.session import checkpoint_root
 from calorix.sources.legacy import conf_to_rows, explode_references, glue_blocks
 from calorix.sources.readers import (
     files_read,
-    open_list_columns,
+    ntuple_scan,
     query_frame,
     read_frame,
     read_inputs,
@@ -76,15 +76,25 @@ def _input_set(spark, folder):
 
 @query(
     "ntuple_scan",
-    """SELECT vec_id, label, embedding[1]::DOUBLE AS "cl_rings.0",
-         embedding[2]::DOUBLE AS "cl_rings.1", embedding[64]::DOUBLE AS "cl_rings.63",
-         embedding[65]::DOUBLE AS "cl_rings.64" FROM embeddings""",
+    """SELECT CAST(vec_id AS INTEGER) AS event_number, NULL::DOUBLE AS cl_et,
+         embedding[1]::DOUBLE AS "cl_rings.0", embedding[2]::DOUBLE AS "cl_rings.1",
+         embedding[64]::DOUBLE AS "cl_rings.63", embedding[65]::DOUBLE AS "cl_rings.64"
+       FROM embeddings""",
 )
 def _ntuple_scan(spark, folder):
-    rows = table(spark, folder, "embeddings").withColumnRenamed("embedding", "cl_rings")
-    opened = open_list_columns(rows, {"cl_rings": 65})
-    picked = [F.col(f"`cl_rings.{i}`").cast("double").alias(f"cl_rings.{i}") for i in (0, 1, 63, 64)]
-    return opened.select("vec_id", "label", *picked)
+    path = _scratch(spark, "ntuple")
+    write_gzip(
+        table(spark, folder, "embeddings").select(
+            F.col("vec_id").cast("int").alias("EventNumber"), F.col("embedding").alias("cl_rings")
+        ),
+        path,
+    )
+    opened = ntuple_scan(spark, path, open_vectors={"cl_rings": 65})
+    return opened.select(
+        F.col("EventNumber").alias("event_number"),
+        F.col("cl_et").cast("double").alias("cl_et"),
+        *[F.col(f"`cl_rings.{i}`").cast("double").alias(f"cl_rings.{i}") for i in (0, 1, 63, 64)],
+    )
 
 
 @query("pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem")

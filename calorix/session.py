@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 MAX_DRIVER_ROWS = 100_000
+_written: list[str] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -37,9 +38,21 @@ def durable(df: DataFrame, label: str, schema: StructType | None = None) -> Data
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def release_durable(spark: SparkSession) -> int:
+    """Delete the tables :func:`durable` has written in this process; frames on them are gone."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _written:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def collect_bounded(df: DataFrame, limit: int = MAX_DRIVER_ROWS, what: str = "rows") -> list:
     """Collect a frame that must be small; fail instead of pulling an unbounded one."""
     rows = df.limit(limit + 1).collect()

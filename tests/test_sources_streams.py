@@ -167,6 +167,7 @@ def test_durable_tables_go_to_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     files = session.durable(spark.range(3), "unit").inputFiles()
     assert files and all(root in f for f in files)
+    assert session.release_durable(spark) > 0 and session.release_durable(spark) == 0
     with pytest.raises(ValueError):
         session.collect_bounded(spark.range(10), 5)
 
