@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calorix.operators.ordering import with_group_rank, with_position
+from calorix.operators.ordering import with_group_rank, with_position, with_scan_index
 
 SEEDS = "SeedContainer_Seeds"
 CLUSTERS = "CaloClusterContainer_Clusters"
@@ -68,6 +68,11 @@ def explode_children(
     )
 
 
+def with_event_ids(df: DataFrame, key: str = "event_id", start: int = 1) -> DataFrame:
+    """Give events running ids in reading order, for inputs that bring no event key."""
+    return with_scan_index(df, key, start)
+
+
 def event_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Event-level quantities; an event must carry exactly one info entry."""
     one = F.when(F.size(INFO) == 1, F.get(INFO, F.lit(0))).otherwise(

@@ -46,6 +46,18 @@ def _before(per_range: DataFrame, cols: dict[str, str]) -> DataFrame:
     )
 
 
+def _numbered(placed: DataFrame, columns: Sequence[str], out: str, start: int) -> DataFrame:
+    """Dense numbers from the slots of a durable frame: offset of the range plus place in it."""
+    in_range = F.col("_slot").bitwiseAND((1 << _ROW_BITS) - 1)
+    numbered = placed.withColumn("_range", F.shiftright("_slot", _ROW_BITS))
+    sizes = numbered.groupBy("_range").agg(F.count("*").alias("_n"))
+    offsets = _before(sizes, {"_n": "_offset"})
+    # one row per partition of the written frame
+    return numbered.join(F.broadcast(offsets), "_range").select(
+        *columns, (in_range + F.col("_offset") + F.lit(start)).cast("long").alias(out)
+    )
+
+
 def with_position(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -53,15 +65,13 @@ def with_position(
     start: int = 0,
 ) -> DataFrame:
     """Add the dense global position of every row under ``order`` (``start``, ``start + 1``, …)."""
-    placed = durable(_ranged(df, order), "position")
-    in_range = F.col("_slot").bitwiseAND((1 << _ROW_BITS) - 1)
-    numbered = placed.withColumn("_range", F.shiftright("_slot", _ROW_BITS))
-    sizes = numbered.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = _before(sizes, {"_n": "_offset"})
-    # one row per shuffle partition: bounded by spark.sql.shuffle.partitions
-    return numbered.join(F.broadcast(offsets), "_range").select(
-        *df.columns, (in_range + F.col("_offset") + F.lit(start)).cast("long").alias(position_col)
-    )
+    return _numbered(durable(_ranged(df, order), "position"), df.columns, position_col, start)
+
+
+def with_scan_index(df: DataFrame, index_col: str = "id", start: int = 1) -> DataFrame:
+    """Number rows densely in the order they are read, without a shuffle of the rows."""
+    placed = durable(df.withColumn("_slot", F.monotonically_increasing_id()), "index")
+    return _numbered(placed, df.columns, index_col, start)
 
 
 def with_group_rank(

@@ -130,6 +130,21 @@ def _event_scan(spark, folder):
     )
 
 
+@query(
+    "event_ids",
+    """SELECT count(*) AS n_events, count(*) AS n_ids, 1::BIGINT AS first_id, count(*) AS last_id
+       FROM (SELECT DISTINCT l_orderkey FROM lineitem)""",
+)
+def _event_ids(spark, folder):
+    events = nested_events(spark, folder, nested.INFO).drop("event_id")
+    return nested.with_event_ids(events).agg(
+        F.count("*").alias("n_events"),
+        F.count_distinct("event_id").alias("n_ids"),
+        F.min("event_id").alias("first_id"),
+        F.max("event_id").alias("last_id"),
+    )
+
+
 @query(
     "nest_events",
     """SELECT l_orderkey, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_items,

@@ -3,7 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from calorix.operators.ordering import with_group_rank, with_position, with_running_totals
+from calorix.operators.ordering import (
+    with_group_rank,
+    with_position,
+    with_running_totals,
+    with_scan_index,
+)
 from tests.conftest import rows
 
 
@@ -51,6 +56,14 @@ def test_running_totals(spark):
         assert r["t"] == r["id"] * (r["id"] + 1)
 
 
+def test_scan_index_follows_the_input(spark):
+    df = spark.range(1000).repartition(3).coalesce(2)
+    expected = [r[0] for r in df.collect()]
+    found = with_scan_index(df, "n").orderBy("n").collect()
+    assert [r["n"] for r in found] == list(range(1, 1001))
+    assert [r["id"] for r in found] == expected
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, v int")
     assert with_position(df, ["k"], "p").count() == 0
