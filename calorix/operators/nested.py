@@ -225,6 +225,38 @@ def child_tables(df: DataFrame, key: str = "event_id", strict: bool = False) ->
     return tables
 
 
+PARENTS = {
+    "clusters": ("seeds", "seed_id"),
+    "calo_descriptor_cells": ("clusters", "cluster_id"),
+    "calo_cells": ("calo_descriptor_cells", "descriptor_id"),
+    "electrons": ("clusters", "cluster_id"),
+    "truth_particles": ("seeds", "seed_id"),
+}
+
+
+def with_dense_keys(tables: dict, names: Sequence[str], key: str = "event_id") -> dict:
+    """The named child tables with running ids, and links turned into the parent's id.
+
+    For readers that need single-column keys; each table is numbered by (event, position), and
+    a link is one join on that pair.
+    """
+    needed = dict.fromkeys([*names, *[PARENTS[n][0] for n in names if n in PARENTS]])
+    numbered = {n: with_position(tables[n], [key, "pos"], "id", 1) for n in needed}
+    out = {}
+    for name in names:
+        child = numbered[name]
+        if name in PARENTS:
+            parent, foreign = PARENTS[name]
+            link = LINK_COLUMNS[name]
+            ids = numbered[parent].select(
+                F.col(key).alias("_event"), F.col("pos").alias("_pos"), F.col("id").alias(foreign)
+            )
+            on = (F.col(key) == F.col("_event")) & (F.col(link) == F.col("_pos"))
+            child = child.join(ids, on, "left").drop("_event", "_pos", link)
+        out[name] = child.drop("pos")
+    return out
+
+
 def dangling_links(tables: dict) -> DataFrame:
     """Rows and unresolved links of every child table."""
     parts = [

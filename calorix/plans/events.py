@@ -280,6 +280,28 @@ def _link_by_key(spark, folder):
     )
 
 
+@query(
+    "dense_keys",
+    f"""WITH {ITEMS},
+    ids AS (SELECT *, row_number() OVER (ORDER BY event_id, pos) AS id FROM items)
+    SELECT c.event_id, c.id, s.id::DOUBLE AS seed_id, CAST(CAST(c.q AS FLOAT) AS DOUBLE) AS e
+    FROM ids c LEFT JOIN ids s ON s.event_id = c.event_id AND s.pos = c.ln - 1""",
+)
+def _dense_keys(spark, folder):
+    events = stored_events(spark, folder, nested.CLUSTERS, nested.SEEDS, nested.RINGS)
+    tables = {
+        "clusters": nested.cluster_table(events).select("event_id", "pos", "seed_pos", "e"),
+        "seeds": nested.seed_table(events).select("event_id", "pos"),
+    }
+    clusters = nested.with_dense_keys(tables, ["clusters"])["clusters"]
+    return clusters.select(
+        "event_id",
+        "id",
+        F.col("seed_id").cast("double").alias("seed_id"),
+        F.col("e").cast("double").alias("e"),
+    )
+
+
 @query(
     "dangling_links",
     f"""WITH {ITEMS},

@@ -264,8 +264,10 @@ def _constant_scale(spark, folder):
     """WITH n AS (SELECT vec_id, embedding,
            abs(list_sum(list_transform(embedding, lambda x: x::DOUBLE))) AS s FROM embeddings)
        SELECT vec_id, round(CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS norm,
-         round(embedding[1]::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END, 4) AS first_ring,
-         round(embedding[64]::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END, 4) AS last_ring FROM n""",
+         round(embedding[1]::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END, 4) + 0.0::DOUBLE
+           AS first_ring,
+         round(embedding[64]::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END, 4) + 0.0::DOUBLE
+           AS last_ring FROM n""",
 )
 def _ring_norm(spark, folder):
     normal = l1_normalise("embedding")

@@ -131,6 +131,15 @@ def test_flatten_undoes_nesting_with_a_hot_key(spark, part_size):
     assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
 
 
+def test_dense_keys_follow_the_links(events):
+    tables = nested.with_dense_keys(
+        nested.child_tables(events), ["electrons", "calo_cells", "truth_particles"]
+    )
+    assert rows(tables["electrons"].select("id", "cluster_id")) == [(1, 1), (2, None), (3, None)]
+    assert rows(tables["calo_cells"].select("id", "descriptor_id")) == [(1, 4), (2, None)]
+    assert rows(tables["truth_particles"].select("id", "seed_id")) == [(1, 2), (2, 3), (3, None)]
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "a int")
     assert rows(nested.with_dense_ids(df, ["a"])) == [(1, 1), (2, 2), (3, 3)]
