@@ -42,7 +42,9 @@ def nest_rows(
     same = [df[k].eqNullSafe(big[k]) for k in key]
 
     def gathered(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*key, "part").agg(
+        # gathering lists before the shuffle saves nothing, so the plain rows are moved first
+        placed = rows.repartition(*key, "part")
+        return placed.groupBy(*key, "part").agg(
             F.sort_array(F.collect_list(item)).alias(items_col)
         )
 

@@ -9,7 +9,7 @@ from calorix.operators.scaling import fold_scaling_params
 from calorix.operators.scoring import Dense, score_mlp, score_two_branch
 from calorix.operators.training import train_folds
 from calorix.plans.base import eta, eta_sql, query, rounded, table
-from calorix.plans.evaluation import scored_lines
+from calorix.plans.evaluation import _AREA, _curve_sql, scored_lines
 
 
 def _weights(inputs: int, outputs: int, a: int, b: int) -> list[list[float]]:
@@ -102,6 +102,16 @@ def _train_folds_mlp(spark, folder):
     )
 
 
-@query("test_record")
+@query(
+    "test_record",
+    f"""WITH {_curve_sql(100, ">=")}, {_AREA.format(part="")}
+    SELECT (SELECT round(avg(-(y * ln(score) + (1 - y) * ln(1 - score))), 6) FROM s) AS loss,
+      round(acc, 6) AS max_sp_acc, round(sp, 6) AS max_sp, round(fpr, 6) AS max_sp_fpr,
+      round(tpr, 6) AS max_sp_tpr, tp AS max_sp_tp, tn AS max_sp_tn, fp AS max_sp_fp,
+      fn AS max_sp_fn, round(threshold, 6) AS max_sp_thresh,
+      round((SELECT sum(strip) FROM a), 6) AS roc_auc
+    FROM c ORDER BY sp DESC, threshold DESC LIMIT 1""",
+)
 def _test_record(spark, folder):
-    return test_record(scored_lines(spark, folder), "y", "score")
+    out = test_record(scored_lines(spark, folder), "y", "score")
+    return rounded(out, 6, *[c for c, t in out.dtypes if t == "double"])
