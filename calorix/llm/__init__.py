@@ -3,7 +3,22 @@
 Nothing outside this folder imports it; ``__spark_entry__`` adds ``QUERIES`` when it is there.
 """
 
-from calorix.llm import chat_format, contamination, quality_rules, url_filter
+from calorix.llm import (
+    chat_format,
+    contamination,
+    page_text,
+    quality_rules,
+    toxicity,
+    url_filter,
+)
 from calorix.llm.base import QUERIES
 
-__all__ = ["QUERIES", "chat_format", "contamination", "quality_rules", "url_filter"]
+__all__ = [
+    "QUERIES",
+    "chat_format",
+    "contamination",
+    "page_text",
+    "quality_rules",
+    "toxicity",
+    "url_filter",
+]
