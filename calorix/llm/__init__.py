@@ -6,6 +6,7 @@ Nothing outside this folder imports it; ``__spark_entry__`` adds ``QUERIES`` whe
 from calorix.llm import (
     chat_format,
     contamination,
+    packing,
     page_text,
     quality_rules,
     toxicity,
@@ -17,6 +18,7 @@ __all__ = [
     "QUERIES",
     "chat_format",
     "contamination",
+    "packing",
     "page_text",
     "quality_rules",
     "toxicity",
