@@ -8,6 +8,7 @@ from calorix.llm import (
     contamination,
     packing,
     page_text,
+    phrase_dedup,
     quality_rules,
     toxicity,
     url_filter,
@@ -20,6 +21,7 @@ __all__ = [
     "contamination",
     "packing",
     "page_text",
+    "phrase_dedup",
     "quality_rules",
     "toxicity",
     "url_filter",

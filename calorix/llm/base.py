@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, return.
@@ -41,6 +41,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size of the files below ``df``: no job, grows with the input."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def shard_count(docs: DataFrame, text_col: str, shard_bytes: int) -> int:
+    """Number of shards of about ``shard_bytes`` of text each: grows with the table."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.count("*")).first()
+    return max(1, -(-((size[0] or 0) + 8 * size[1]) // shard_bytes))
+
+
+def recurring(found: DataFrame, key: str) -> DataFrame:
+    """``shard`` and ``key`` of the keys that are found twice or more in all shards together.
+
+    ``found`` has ``shard``, ``key`` and ``n``, the times one run of texts holds it in that shard, so
+    a key that most rows hold has a row per run and shard here, not one per document.
+    """
+    everywhere = F.sum("n").over(Window.partitionBy(key))
+    return found.withColumn("n", everywhere).where("n > 1").select("shard", key).distinct()

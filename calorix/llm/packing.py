@@ -9,7 +9,6 @@ window is full; what is left at the end of a shard is cut at powers of two.
 
 from __future__ import annotations
 
-import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorix.llm.base import query, table
+from calorix.llm.base import query, shard_count, table
 from calorix.llm.text import CHUNK, text_bytes
 
 
@@ -270,8 +269,7 @@ def pack_documents(
     or 32 bits, little-endian). An empty table gives no pieces.
     """
     rules = rules or PackRules()
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.count("*")).first()
-    shards = max(1, math.ceil(((size[0] or 0) + 8 * size[1]) / rules.shard_bytes))
+    shards = shard_count(docs, text_col, rules.shard_bytes)
     ids = token_ids(docs, vocabulary, id_col, text_col, rules, shards)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
