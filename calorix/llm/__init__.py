@@ -10,6 +10,7 @@ from calorix.llm import (
     page_text,
     phrase_dedup,
     quality_rules,
+    substring_dedup,
     toxicity,
     url_filter,
 )
@@ -23,6 +24,7 @@ __all__ = [
     "page_text",
     "phrase_dedup",
     "quality_rules",
+    "substring_dedup",
     "toxicity",
     "url_filter",
 ]

@@ -126,7 +126,7 @@ def token_ids(
             raw = data.tobytes()
             lo = 0
             while lo < len(offsets) - 1:
-                # about 4 MB of text at a time
+                # about 1 MB of text at a time
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
                 spans = zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)
                 ids = [x + last for x in words.of([raw[a:b] for a, b in spans])]

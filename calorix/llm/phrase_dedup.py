@@ -14,7 +14,6 @@ shard grows with the frequency of a passage, and the automata together grow with
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 

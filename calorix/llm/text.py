@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -51,10 +51,12 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """All bytes of a string column and the offsets of its texts; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
+    elif not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, pa.scalar("").cast(column.type))
     offsets = np.frombuffer(column.buffers()[1], np.int64)[
         column.offset : column.offset + len(column) + 1
     ]
@@ -113,6 +115,11 @@ def span_hashes(
     return mix(out)
 
 
+def byte_hashes(data: np.ndarray) -> np.ndarray:
+    """A random value for each byte."""
+    return _VALUES[data]
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` consecutive hashes."""
     n = len(hashes) - size + 1
