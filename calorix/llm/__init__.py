@@ -6,6 +6,7 @@ Nothing outside this folder imports it; ``__spark_entry__`` adds ``QUERIES`` whe
 from calorix.llm import (
     chat_format,
     contamination,
+    jaccard_join,
     packing,
     page_text,
     phrase_dedup,
@@ -20,6 +21,7 @@ __all__ = [
     "QUERIES",
     "chat_format",
     "contamination",
+    "jaccard_join",
     "packing",
     "page_text",
     "phrase_dedup",

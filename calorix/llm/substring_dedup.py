@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
 
 from calorix.llm.base import query, recurring, shard_count, table
 from calorix.llm.text import (
@@ -327,11 +328,11 @@ def remove_strings(
         return pa.table(made | ({"row": left["row"]} if carry else {}))
 
     near = texts.groupBy("shard").cogroup(spans.groupBy("shard"))
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
-    if carry:
-        schema += f", row {dict(texts.dtypes)['row']}"
-    return near.applyInArrow(cut, schema)
+    schema = StructType([texts.schema["doc_id"]])
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema.add(name, LongType())
+    schema.add("kept", BinaryType())
+    return near.applyInArrow(cut, schema.add(texts.schema["row"]) if carry else schema)
 
 
 @query("op5_suffix_array_dedup")
