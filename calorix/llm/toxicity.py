@@ -34,8 +34,8 @@ class MachineRules:
     max_rows: int = 16_000
     min_texts: int = 4
     min_score: float = 3.0
-    weight: float = 2.0
-    epochs: int = 10
+    weight: float = 4.0
+    epochs: int = 20
     batch: int = 256
     rate: float = 0.15
     shrink: float = 2e-4
