@@ -1,14 +1,17 @@
 """Nested events: assembling them, flattening them and resolving the links inside them.
 
-Positional links are resolved inside the event row, before anything is exploded, so they need no
-shuffle. Links by hash or by own id are joined on (event, key): the key part spreads one large
-event over many tasks.
+Links never leave an event, so all of them are resolved inside the event row, before anything is
+exploded, and need no shuffle. Positional links are expressions; links by hash or own id, and
+first matches, are looked up for all events of an Arrow batch by one sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,31 +32,27 @@ def nest_rows(
     key: Sequence[str],
     fields: Sequence[str],
     items_col: str = "items",
-    part_size: int = 100_000,
+    part_size: int | None = None,
 ) -> DataFrame:
-    """Gather rows into one array of structs per key, ordered by the fields.
+    """Gather rows into arrays of structs per key, ordered by the fields.
 
-    An array has to fit in a row, so a key with more than ``part_size`` rows is written as
-    several rows numbered by ``part``; exploding all parts gives every input row back. Keys
-    within the size take one shuffle and are never ranked.
+    Without ``part_size`` a key is one row, as an event is; all its elements must fit in one. With it
+    every key is ranked and cut into rows of at most that many elements, so a key of any size is
+    spread over tasks. ``first_pos`` is the position of a row's first element within the key (0
+    for whole keys): exploding with it (:func:`explode_children`) gives the same positions
+    whatever the size of the parts.
     """
     item = F.struct(*fields)
-    big = df.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > part_size)
-    same = [df[k].eqNullSafe(big[k]) for k in key]
-
-    def gathered(rows: DataFrame) -> DataFrame:
+    if part_size is None:
         # gathering lists before the shuffle saves nothing, so the plain rows are moved first
-        placed = rows.repartition(*key, "part")
-        return placed.groupBy(*key, "part").agg(
-            F.sort_array(F.collect_list(item)).alias(items_col)
-        )
-
-    if big.isEmpty():
-        return gathered(df.withColumn("part", F.lit(0).cast("long")))
-    usual = df.join(big, same, "left_anti").withColumn("part", F.lit(0).cast("long"))
-    hot = with_group_rank(df.join(big, same, "left_semi"), list(key), list(fields), "_rank")
-    parts = hot.withColumn("part", F.floor((F.col("_rank") - 1) / part_size)).drop("_rank")
-    return gathered(usual.unionByName(parts))
+        placed = df.withColumn("first_pos", F.lit(0).cast("long")).repartition(*key)
+    else:
+        rank = F.col("_rank") - 1
+        ranked = with_group_rank(df, list(key), list(fields), "_rank")
+        placed = ranked.withColumn("first_pos", (rank - rank % part_size).cast("long")).drop("_rank")
+    return placed.groupBy(*key, "first_pos").agg(
+        F.sort_array(F.collect_list(item)).alias(items_col)
+    )
 
 
 def explode_children(
@@ -62,11 +61,19 @@ def explode_children(
     container: str,
     position_col: str = "pos",
     keep_empty: bool = False,
+    first_col: str | None = None,
 ) -> DataFrame:
-    """One row per element of a container with the event key and the element's position."""
+    """One row per element of a container with the event key and the element's position.
+
+    ``first_col`` names the position of the container's first element, for keys in parts.
+    """
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    return df.select(*key, explode(container).alias(position_col, "_item")).select(
-        *key, position_col, "_item.*"
+    first = [first_col] if first_col else []
+    position = F.col(position_col)
+    if first_col:
+        position = (position + F.col(first_col)).alias(position_col)
+    return df.select(*key, *first, explode(container).alias(position_col, "_item")).select(
+        *key, position, "_item.*"
     )
 
 
@@ -93,30 +100,95 @@ def valid_position(link: Column, target: Column) -> Column:
     return F.when((link >= 0) & (link < F.size(target)), link)
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a list column, their row and their place in it; nulls inside are left out.
+
+    The values of a list of lists stand at the place of their inner list.
+    """
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    values = lists.flatten()
+    if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        inner = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+        row, place, values = np.repeat(row, inner), np.repeat(place, inner), values.flatten()
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    values = pc.fill_null(values, 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return np.where(known, values, 0), np.where(known, row, -1), place
+
+
+def positions_of(wanted: pa.Array, keys: pa.Array, last: bool) -> pa.Array:
+    """For each wanted value the last (or first) place in the same row's ``keys``, else null.
+
+    Rows are events; ``keys`` may be a list of lists, whose values stand at their list's place.
+    """
+    key, key_row, place = _flat(keys)
+    value, row, _ = _flat(wanted)
+    key, place, key_row = key[key_row >= 0], place[key_row >= 0], key_row[key_row >= 0]
+    codes, code = np.unique(np.concatenate([key, value]), return_inverse=True)
+    n = max(1, len(codes))
+    held = key_row * n + code[: len(key)]
+    asked = row * n + code[len(key) :]
+    order = np.lexsort((place, held))
+    held, place = held[order], place[order]
+    at = np.searchsorted(held, asked, "right") - 1 if last else np.searchsorted(held, asked)
+    inside = (at >= 0) & (at < len(held)) & (row >= 0)
+    at = np.where(inside, at, 0)
+    found = inside & (held[at] == asked) if len(held) else np.zeros(len(asked), bool)
+    sizes = pc.fill_null(pc.list_value_length(wanted), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    positions = place[at] if len(held) else np.zeros(len(asked), np.int64)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(positions, pa.int32(), mask=~found)
+    )
+
+
+def last_position(wanted: Column, keys: Column) -> Column:
+    """Array: where each wanted value stands last in the event's ``keys``; NULL when nowhere."""
+
+    def find(wanted: pa.Array, keys: pa.Array) -> pa.Array:
+        return positions_of(wanted, keys, last=True)
+
+    return F.arrow_udf(find, "array<int>")(wanted, keys)
+
+
+def first_position(wanted: Column, keys: Column) -> Column:
+    """Array: where each wanted value stands first in the event's ``keys``; NULL when nowhere."""
+
+    def find(wanted: pa.Array, keys: pa.Array) -> pa.Array:
+        return positions_of(wanted, keys, last=False)
+
+    return F.arrow_udf(find, "array<int>")(wanted, keys)
+
+
 def first_match_or_empty(n: Column, links: Column, values: Column, empty: Column) -> Column:
     """For positions ``0 … n-1``: the value of the first entry linked to it, else ``empty``."""
     positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(
-        positions,
-        lambda i: F.coalesce(
-            F.get(values, F.array_position(links, i).cast("int") - 1), empty
-        ),
+        first_position(positions, links), lambda i: F.coalesce(F.get(values, i), empty)
     )
 
 
 def _explode_with(
-    df: DataFrame, key: str, container: str, drop: Sequence[str], **columns: Column
+    df: DataFrame,
+    key: str,
+    container: str,
+    drop: Sequence[str],
+    carry: dict[str, Column] | None = None,
+    **columns: Column,
 ) -> DataFrame:
     """Explode a container together with arrays resolved next to it, element by element.
 
     The resolved arrays are zipped to the container, so a row carries its own element only and
-    not a copy of the event.
+    not a copy of the event. ``carry`` are single values of the event to repeat on every row.
     """
     fields = df.schema[container].dataType.elementType.names
     zipped = F.arrays_zip(F.col(container), *[c.alias(n) for n, c in columns.items()])
-    rows = df.select(key, F.posexplode(zipped).alias("pos", "_z"))
+    carried = {n: c.alias(n) for n, c in (carry or {}).items()}
+    rows = df.select(key, *carried.values(), F.posexplode(zipped).alias("pos", "_z"))
     return rows.select(
         key,
+        *carried,
         "pos",
         *[F.col(f"_z.{container}.{f}").alias(f) for f in fields if f not in drop],
         *[F.col(f"_z.{n}").alias(n) for n in columns],
@@ -128,8 +200,11 @@ def seed_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     return seeds.withColumnRenamed("id", "sid")
 
 
-def cluster_table(df: DataFrame, key: str = "event_id") -> DataFrame:
-    """Clusters with their seed's position and their first ring set (empty if none)."""
+def cluster_table(
+    df: DataFrame, key: str = "event_id", carry: dict[str, Column] | None = None
+) -> DataFrame:
+    """Clusters with their seed's position and their first ring set (empty if none), and the
+    event's values ``carry``."""
     seeds = F.transform(
         F.col(f"{CLUSTERS}.seed_link"), lambda link: valid_position(link, F.col(SEEDS))
     )
@@ -140,44 +215,20 @@ def cluster_table(df: DataFrame, key: str = "event_id") -> DataFrame:
         F.array().cast("array<float>"),
     )
     return _explode_with(
-        df, key, CLUSTERS, ["seed_link", "cell_links"], seed_pos=seeds, rings=rings
-    )
-
-
-def last_position_by_key(
-    df: DataFrame, key: str, container: str, field: str, many: bool = False
-) -> DataFrame:
-    """Last position at which each field value occurs within its event."""
-    exploded = df.select(key, F.posexplode(container).alias("_pos", "_item"))
-    value = F.col(f"_item.{field}")
-    links = exploded.select(key, "_pos", (F.explode(value) if many else value).alias("_key"))
-    return links.groupBy(key, "_key").agg(F.max("_pos").alias("_pos"))
-
-
-def link_by_key(
-    children: DataFrame, targets: DataFrame, key: str, field: str, out: str
-) -> DataFrame:
-    """Attach the target position found by (event, field value); NULL when nothing matches."""
-    found = targets.select(
-        F.col(key).alias("_event"), F.col("_key"), F.col("_pos").cast("int").alias(out)
+        df, key, CLUSTERS, ["seed_link", "cell_links"], carry, seed_pos=seeds, rings=rings
     )
-    on = (F.col(key) == F.col("_event")) & (F.col(field) == F.col("_key"))
-    return children.join(found, on, "left").drop("_event", "_key")
 
 
 def descriptor_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Descriptor cells with the position of the last cluster that lists their hash."""
-    clusters = last_position_by_key(df, key, CLUSTERS, "cell_links", many=True)
-    cells = explode_children(df, [key], DESCRIPTORS)
-    return link_by_key(cells, clusters, key, "hash", "cluster_pos")
+    found = last_position(F.col(f"{DESCRIPTORS}.hash"), F.col(f"{CLUSTERS}.cell_links"))
+    return _explode_with(df, key, DESCRIPTORS, [], cluster_pos=found)
 
 
 def cell_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Cells with the position of the last descriptor that has the linked hash."""
-    descriptors = last_position_by_key(df, key, DESCRIPTORS, "hash")
-    cells = explode_children(df, [key], CELLS)
-    linked = link_by_key(cells, descriptors, key, "descriptor_link", "descriptor_pos")
-    return linked.drop("descriptor_link")
+    found = last_position(F.col(f"{CELLS}.descriptor_link"), F.col(f"{DESCRIPTORS}.hash"))
+    return _explode_with(df, key, CELLS, ["descriptor_link"], descriptor_pos=found)
 
 
 def electron_table(df: DataFrame, key: str = "event_id") -> DataFrame:
@@ -190,9 +241,8 @@ def electron_table(df: DataFrame, key: str = "event_id") -> DataFrame:
 
 def particle_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Truth particles with the position of the last seed that has their seed id."""
-    seeds = last_position_by_key(df, key, SEEDS, "id")
-    particles = explode_children(df, [key], PARTICLES)
-    return link_by_key(particles, seeds, key, "seedid", "seed_pos").drop("seedid")
+    found = last_position(F.col(f"{PARTICLES}.seedid"), F.col(f"{SEEDS}.id"))
+    return _explode_with(df, key, PARTICLES, ["seedid"], seed_pos=found)
 
 
 LINK_COLUMNS = {

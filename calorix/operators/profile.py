@@ -224,7 +224,8 @@ def frame_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Digest of a frame's content that does not depend on row order or on the engine.
 
     Each row's text is hashed to 128 bits; the digest is the row count with the sums of the
-    hash's four 32-bit words, which tasks can add up independently.
+    hash's four 32-bit words, which tasks can add up independently. The sums are decimals, as a
+    long would overflow after some 4e9 rows, and are given as text, which every engine writes alike.
     """
     names = list(columns) if columns else df.columns
     text = F.concat_ws(
@@ -232,7 +233,9 @@ def frame_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
     row = F.md5(text)
     words = [
-        F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"word{i}")
+        F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(28,0)"))
+        .cast("string")
+        .alias(f"word{i}")
         for i in range(4)
     ]
     return df.agg(F.count("*").alias("n_rows"), *words)
@@ -259,21 +262,53 @@ def energy_ratio(
 ) -> DataFrame:
     """Energy of the truth particles behind each cluster, compared with the cluster's own.
 
-    Sums over a seed's particles are the same for all its clusters, so they are taken once per
-    seed before any join. Only the count of particles inside the cluster's box looks at pairs;
-    it matches clusters and particles that share a seed **and** a grid cell of the eta-phi
-    plane, so a seed with very many of both is split by cell and not paired in full.
+    One row per cluster id, over all combinations of cluster, seed and particle rows that share a
+    seed; ids need not be unique, as inputs that each number from 1 may be united. Combinations
+    are not formed: seeds and particles are summed per seed and weighted by how often cluster and
+    seed are listed. Only the count of particles inside the cluster's box looks at pairs; it
+    matches clusters and particles that share a seed **and** a grid cell of the eta-phi plane, so
+    a seed with very many of both is split by cell and not paired in full. ``cell`` should be
+    at least as wide as a box, which then lies in at most four cells. Rows without a cluster id
+    are left out.
 
     Inputs: clusters ``id, seed_id, e, et, eta, phi, deta, dphi``; seeds ``id``; particles
-    ``id, seed_id, e, et, eta, phi``; ids are primary keys.
+    ``id, seed_id, e, et, eta, phi``.
     """
+    listed = seeds.groupBy(F.col("id").alias("seed_id")).agg(F.count("*").alias("_times"))
     per_seed = particles.groupBy("seed_id").agg(
-        F.count("id").alias("n_particles"),
+        F.count_distinct("id").alias("_ids"),
         F.sum(F.col("et").cast("double")).alias("_et"),
         F.sum(F.col("e").cast("double")).alias("_e"),
     )
-    seed_ids = seeds.select(F.col("id").alias("seed_id"))
-    base = clusters.join(seed_ids, "seed_id").join(per_seed, "seed_id")
+    of_seed = listed.join(per_seed, "seed_id")
+    rows = clusters.groupBy("id", "seed_id").agg(
+        F.max("et").alias("cl_et"), F.max("e").alias("cl_e"), F.count("*").alias("_rows")
+    )
+    n = F.col("_rows") * F.col("_times")
+    base = (
+        rows.join(of_seed, "seed_id")
+        .groupBy("id")
+        .agg(
+            F.max(F.col("id").isNotNull().cast("long")).alias("n_clusters"),
+            F.max("cl_et").alias("cl_et"),
+            F.max("cl_e").alias("cl_e"),
+            F.count("seed_id").alias("n_seeds"),
+            F.sum("_ids").alias("_ids"),
+            F.sum(F.col("_et") * n).alias("_et"),
+            F.sum(F.col("_e") * n).alias("_e"),
+        )
+        .where("n_clusters = 1")
+    )
+    # a particle id may stand under several seeds of one cluster id: only those are counted apart
+    several = base.where("n_seeds > 1").select("id")
+    apart = (
+        rows.select("id", "seed_id")
+        .join(several, "id")
+        .join(listed.select("seed_id"), "seed_id")
+        .join(particles.select("seed_id", F.col("id").alias("_particle")).distinct(), "seed_id")
+        .groupBy("id")
+        .agg(F.count_distinct("_particle").alias("_apart"))
+    )
 
     def at(value: Column) -> Column:
         return F.floor(value.cast("double") / cell)
@@ -300,21 +335,24 @@ def energy_ratio(
             points,
             [F.col(f"c.{k}") == F.col(f"p.{k}") for k in ("seed_id", "_i", "_j")] + [hit],
         )
-        .groupBy(F.col("c.id").alias("id"))
-        .agg(F.sum("_copies").alias("in_cluster"))
+        .groupBy(F.col("c.seed_id").alias("seed_id"), F.col("c.id").alias("id"))
+        .agg(F.sum("_copies").alias("_hits"))
+        .join(listed, "seed_id")
+        .groupBy("id")
+        .agg(F.sum(F.col("_hits") * F.col("_times")).alias("in_cluster"))
     )
-    joined = base.join(inside, "id", "left")
+    joined = base.join(inside, "id", "left").join(apart, "id", "left")
     total_et, total_e = F.col("_et") * 1000, F.col("_e") * 1000
     return joined.select(
         F.col("id").alias("cluster_id"),
-        F.lit(1).cast("long").alias("n_clusters"),
-        F.col("et").alias("cl_et"),
-        F.col("e").alias("cl_e"),
-        F.lit(1).cast("long").alias("n_seeds"),
-        "n_particles",
+        "n_clusters",
+        "cl_et",
+        "cl_e",
+        "n_seeds",
+        F.coalesce("_apart", "_ids").alias("n_particles"),
         F.coalesce("in_cluster", F.lit(0)).cast("long").alias("in_cluster"),
         total_et.alias("total_tp_et"),
-        ratio(total_et, F.col("et")).alias("total_tp_et_cl_et_ratio"),
+        ratio(total_et, F.col("cl_et")).alias("total_tp_et_cl_et_ratio"),
         total_e.alias("total_tp_energy"),
-        ratio(total_e, F.col("e")).alias("total_tp_energy_cl_e_ratio"),
+        ratio(total_e, F.col("cl_e")).alias("total_tp_energy_cl_e_ratio"),
     )

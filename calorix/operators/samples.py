@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calorix.operators import nested
 from calorix.operators.ordering import with_position
 from calorix.schemas import SAMPLE_CLUSTER_FIELDS
 from calorix.sources.writers import append_by_name
@@ -37,6 +38,33 @@ def sample_rows(
     )
 
 
+def event_samples(
+    events: DataFrame,
+    source_id: Column,
+    label: Column,
+    fields: Sequence[str] = SAMPLE_CLUSTER_FIELDS,
+    key: str = "event_id",
+) -> DataFrame:
+    """Samples straight from nested events: the event's own values go along with its clusters, so
+    nothing is joined. ``source_id`` and ``label`` are expressions over the event's columns."""
+    info = F.get(nested.INFO, F.lit(0))
+    carry = {
+        "_source": source_id.cast("long"),
+        "_label": label.cast("byte"),
+        "eventNumber": info["eventNumber"],
+        "avgmu": info["avgmu"],
+    }
+    return nested.cluster_table(events, key, carry).select(
+        F.col("_source").alias("source_id"),
+        key,
+        "eventNumber",
+        "avgmu",
+        F.col("pos").alias("cluster_id"),
+        *[F.col(c).alias(f"cl_{c}") for c in fields],
+        F.col("_label").alias("label"),
+    )
+
+
 def build_samples(
     sources: Sequence[tuple[DataFrame, DataFrame]],
     labels: Sequence[int],

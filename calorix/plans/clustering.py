@@ -8,6 +8,7 @@ from calorix.functions.distances import distance
 from calorix.operators import clusters as cl
 from calorix.operators.compare import metric_diff
 from calorix.plans.base import query, rounded, table
+from calorix.session import collect_bounded
 
 CENTER = [((i * 7) % 11 - 5) / 10 for i in range(64)]
 
@@ -76,7 +77,8 @@ def _boolean_distance(spark, folder):
 def class_means(spark, folder) -> list[list[float]]:
     """Mean vector of each label: ten centres of 64 numbers."""
     rows = cl.cluster_means(table(spark, folder, "embeddings"), "embedding", "label")
-    return [list(r["center"]) for r in rows.orderBy("label").collect()]
+    found = collect_bounded(rows.orderBy("label"), 1_000, "labels")
+    return [list(r["center"]) for r in found]
 
 
 ASSIGNED = """

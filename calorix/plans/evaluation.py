@@ -406,14 +406,14 @@ def _range_lookup(spark, folder):
 
 @query(
     "shower_shapes",
-    """WITH e AS (SELECT vec_id, list_transform(embedding[1:24], lambda x: abs(x)::DOUBLE) AS v
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS v
                   FROM embeddings)
     SELECT vec_id, round((v[2] + v[6]) / list_sum(v), 6) AS f1,
       round((v[4] + v[8]) / list_sum(v[1:8]), 6) AS f3,
       round((v[1] - v[2]) / (v[1] + v[2]), 6) AS eratio, round(v[3] / v[4], 4) AS rcore FROM e""",
 )
 def _shower_shapes(spark, folder):
-    v = F.transform(F.slice("embedding", 1, 24), lambda x: F.abs(x).cast("double"))
+    v = F.transform("embedding", lambda x: F.abs(x).cast("double"))
     rows = table(spark, folder, "embeddings").select("vec_id", v.alias("v"))
     at = [F.get("v", F.lit(i)) for i in range(4)]
     return rows.select(

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from calorix.operators import nested
 from calorix.operators.profile import energy_ratio
-from calorix.operators.samples import build_samples, size_violations, unmatched_keys
+from calorix.operators.samples import event_samples, size_violations, unmatched_keys
 from calorix.plans.base import eta, eta_sql, phi, phi_sql, query, table
 from calorix.schemas import EVENT_SCHEMA
 from calorix.session import checkpoint_root, durable
@@ -145,17 +145,23 @@ def _event_ids(spark, folder):
     )
 
 
+#: Elements of a part where a query shows keys in parts; a small number, so that all have some.
+PART = 3
+
+
 @query(
     "nest_events",
-    """SELECT l_orderkey, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_items,
-         sum(l_linenumber)::BIGINT AS linenumbers,
-         arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_partkey
-       FROM lineitem GROUP BY l_orderkey""",
+    f"""WITH {ITEMS}
+    SELECT event_id AS l_orderkey, (pos - pos % {PART})::BIGINT AS first_pos,
+         CAST(count(*) AS INTEGER) AS n_items, sum(ln)::BIGINT AS linenumbers,
+         arg_min(pk, pos) AS first_partkey
+       FROM items GROUP BY 1, 2""",
 )
 def _nest_events(spark, folder):
-    return nested_lines(spark, folder).select(
+    lines = table(spark, folder, "lineitem").select("l_orderkey", *LINE_FIELDS)
+    return nested.nest_rows(lines, ["l_orderkey"], LINE_FIELDS, part_size=PART).select(
         "l_orderkey",
-        "part",
+        "first_pos",
         F.size("items").alias("n_items"),
         F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x["l_linenumber"]).alias(
             "linenumbers"
@@ -167,12 +173,14 @@ def _nest_events(spark, folder):
 @query(
     "flatten_children",
     f"""WITH {ITEMS}
-    SELECT event_id, pos, pk AS l_partkey, sk AS l_suppkey, q AS l_quantity, price AS l_extendedprice
+    SELECT event_id, pos::BIGINT AS pos, pk AS l_partkey, sk AS l_suppkey, q AS l_quantity,
+           price AS l_extendedprice
     FROM items""",
 )
 def _flatten_children(spark, folder):
     lines = nested_lines(spark, folder).withColumnRenamed("l_orderkey", "event_id")
-    return nested.explode_children(lines, ["event_id"], "items").select(
+    flat = nested.explode_children(lines, ["event_id"], "items", first_col="first_pos")
+    return flat.select(
         "event_id", "pos", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
     )
 
@@ -419,13 +427,8 @@ def _dense_ids(spark, folder):
 )
 def _build_samples(spark, folder):
     containers = (nested.CLUSTERS, nested.SEEDS, nested.RINGS, nested.INFO)
-    events = stored_events(spark, folder, *containers)
-
-    def side(parity: int) -> tuple[DataFrame, DataFrame]:
-        part = events.where(F.col("event_id") % 2 == parity)
-        return nested.cluster_table(part), nested.event_table(part)
-
-    samples = build_samples([side(0), side(1)], [0, 1])
+    parity = F.col("event_id") % 2
+    samples = event_samples(stored_events(spark, folder, *containers), parity + 1, parity)
     return samples.select(
         "source_id",
         "event_id",
@@ -488,7 +491,8 @@ def energy_ratio_query(spark, folder):
         eta("l_partkey").alias("eta"),
         phi("l_partkey").alias("phi"),
     )
-    out = energy_ratio(clusters, seeds, particles, cell=1.0)
+    # the widest box spans 2 by 3
+    out = energy_ratio(clusters, seeds, particles, cell=3.1)
     return out.withColumns(
         {
             "total_tp_et": F.round("total_tp_et", 4),

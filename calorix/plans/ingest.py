@@ -33,7 +33,7 @@ from calorix.sources.writers import (
     append_by_name,
     append_by_position,
     labelled_sources,
-    source_registry,
+    numbered_sources,
     table_from_files,
     write_frame,
     write_gzip,
@@ -165,9 +165,9 @@ FROM documents d LEFT JOIN registry r ON d.source = r.source
 @query("source_registry", SOURCES_SQL)
 def _source_registry(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "source")
-    names = sorted(r[0] for r in documents.select("source").distinct().limit(10_000).collect())
-    registry = source_registry(spark, [(n, None, i % 2) for i, n in enumerate(names)])
-    return labelled_sources(documents, "source", registry)
+    names = documents.select(F.col("source").alias("name")).where("name IS NOT NULL").distinct()
+    label = ((F.col("source_id") - 1) % 2).cast("int")
+    return labelled_sources(documents, "source", numbered_sources(names, label))
 
 
 @query(

@@ -243,7 +243,7 @@ def _weighted_stats(spark, folder):
 
 
 _WORDS = ", ".join(
-    f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::BIGINT AS word{i}" for i in range(4)
+    f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR AS word{i}" for i in range(4)
 )
 
 

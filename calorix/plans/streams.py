@@ -26,9 +26,9 @@ def _folders(spark, name: str) -> tuple[str, str, str]:
     return f"{root}/in", f"{root}/out", f"{root}/checkpoint"
 
 
-def _as_stream(spark, df, path: str, files: int = 4):
-    df.repartition(files).write.parquet(path)
-    return file_stream(spark, path, df.schema, files_per_batch=2)
+def _as_stream(spark, df, path: str, files_per_batch: int | None = None):
+    df.write.parquet(path)
+    return file_stream(spark, path, df.schema, files_per_batch)
 
 
 @query(

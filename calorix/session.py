@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +14,14 @@ _written: list[str] = []
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own; on a cluster a
-    machine-local folder would be lost with its executor, so the setting is required there.
+    Where it is unset, a folder in the session's warehouse, which all executors reach as well, is
+    set for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="calorix-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def durable(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calorix.operators.ordering import with_position
+
 
 def write_gzip(df: DataFrame, path: str, mode: str = "error", partition_by: Sequence[str] = ()):
     """Write gzip parquet, optionally in one folder per source or fold for later pruning."""
@@ -56,6 +58,18 @@ def source_registry(
     return spark.createDataFrame(rows, "source_id long, name string, description string, label int")
 
 
+def numbered_sources(names: DataFrame, label: Column) -> DataFrame:
+    """Registry of the distinct ``name`` rows, numbered from 1 by name; ``label`` may use the
+    number. Any number of sources: the registry stays a DataFrame."""
+    numbered = with_position(names, ["name"], "source_id", 1)
+    return numbered.select(
+        F.col("source_id").cast("long").alias("source_id"),
+        "name",
+        F.lit(None).cast("string").alias("description"),
+        label.alias("label"),
+    )
+
+
 def labelled_sources(df: DataFrame, name_col: str, registry: DataFrame) -> DataFrame:
     """Attach the registry's id and label; rows of an unregistered source keep NULLs.
 

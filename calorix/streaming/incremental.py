@@ -18,15 +18,14 @@ from calorix.operators.nested import child_tables
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Parquet files as a stream; a folder may keep growing."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("recursiveFileLookup", True)
-        .parquet(path)
-    )
+    """Parquet files as a stream; a folder may keep growing. A batch takes all new files, or at
+    most ``files_per_batch`` of them."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def stream_tables(

@@ -1,5 +1,8 @@
 """Link resolution on hand-made events with every kind of broken link."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -118,17 +121,40 @@ def test_event_needs_exactly_one_info(spark, events):
         nested.event_table(doubled).collect()
 
 
-@pytest.mark.parametrize("part_size", [100_000, 70])
+@pytest.mark.parametrize("part_size", [None, 100_000, 70])
 def test_flatten_undoes_nesting_with_a_hot_key(spark, part_size):
-    """One key holds a third of the rows and is split into parts of bounded size."""
+    """One key holds a third of the rows; positions do not depend on the size of the parts."""
     key = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 40)
     df = spark.range(900).select(key.alias("k"), (F.col("id") % 25).alias("v")).repartition(3)
     packed = nested.nest_rows(df, ["k"], ["v"], part_size=part_size)
-    assert packed.agg(F.max(F.size("items"))).first()[0] <= part_size
-    flat = nested.explode_children(packed, ["k", "part"], "items")
-    assert rows(flat.select("k", "v")) == rows(df)
-    ordered = flat.where("k = -1").orderBy("part", "pos").select("v").collect()
-    assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
+    assert packed.agg(F.max(F.size("items"))).first()[0] <= (part_size or 900)
+    flat = nested.explode_children(packed, ["k"], "items", first_col="first_pos")
+    expected = []
+    for k in {r.k for r in df.collect()}:
+        values = sorted(r.v for r in df.where(F.col("k") == k).collect())
+        expected += [(k, i, v) for i, v in enumerate(values)]
+    assert rows(flat.select("k", "pos", "v")) == sorted(expected)
+
+
+def test_links_inside_an_event_against_brute_force():
+    draw = random.Random(6)
+    some = lambda n: [draw.choice([None, *range(6)]) for _ in range(draw.randrange(n))]
+    wanted = [None, [], *[some(9) for _ in range(60)]]
+    keys = [None, [1], *[some(9) for _ in range(60)]]
+    many = [None, [[1]], *[[some(4) for _ in range(draw.randrange(5))] for _ in range(60)]]
+    kind = pa.list_(pa.int64())
+
+    def brute(w, k, last):
+        if w is None:
+            return []
+        at = [[i for i, x in enumerate(k or []) if v is not None and v in (x if isinstance(x, list) else [x])] for v in w]
+        return [(x[-1] if last else x[0]) if x else None for x in at]
+
+    for held, t in ((keys, kind), (many, pa.list_(kind))):
+        for last in (True, False):
+            found = nested.positions_of(pa.array(wanted, kind), pa.array(held, t), last)
+            expected = [brute(w, k, last) for w, k in zip(wanted, held, strict=True)]
+            assert found.to_pylist() == expected
 
 
 def test_dense_keys_follow_the_links(events):

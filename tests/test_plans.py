@@ -61,3 +61,11 @@ def test_quantiles_never_gather_a_group(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"))
     text = plan(co.exact_quantiles(df, ["g"], "x", {"q": 0.5}))
     assert "percentile" not in text and "collect_list" not in text
+
+
+@pytest.mark.parametrize(
+    "name", ["link_by_hash_last", "link_by_key", "link_cell_to_descriptor", "build_samples"]
+)
+def test_links_stay_in_the_event_row(spark, folder, name):
+    text = plan(REGISTRY[name].build(spark, folder))
+    assert "Exchange" not in text and "Join" not in text and text.count("FileScan") == 1

@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,50 @@ def test_digest_ignores_order_and_sees_changes(spark):
     assert pr.frame_digest(df).first() != pr.frame_digest(other).first()
 
 
+def test_digest_sums_pass_the_range_of_a_long(spark):
+    # 2**33 copies of one row, summed in a few tasks by the expression the digest uses
+    words = [r for r in pr.frame_digest(spark.range(4)).first()[1:]]
+    assert all(isinstance(w, str) and int(w) < 2**34 for w in words)
+    big = spark.range(10).select(F.lit("9" * 27).cast("decimal(28,0)").alias("x"))
+    assert int(big.agg(F.sum("x").cast("string")).first()[0]) == 10 * int("9" * 27) > 2**63
+
+
+def test_energy_ratio_with_repeated_ids(spark):
+    """Clusters, seeds and particles listed several times, as in united inputs, against SQL."""
+    draw = random.Random(8)
+    at = lambda: (draw.uniform(-2, 2), draw.uniform(-3, 3))
+    c = [
+        (draw.choice([None, *range(12)]), draw.choice([None, *range(6)]), draw.random() + 1, draw.random() + 1, *at(), 0.9, 1.4)
+        for _ in range(40)
+    ]
+    s = [(draw.randrange(5),) for _ in range(9)] + [(None,)]
+    p = [(draw.randrange(15), draw.randrange(7), draw.random(), draw.random(), *at()) for _ in range(90)]
+    names = {
+        "c": ["id", "seed_id", "e", "et", "eta", "phi", "deta", "dphi"],
+        "s": ["id"],
+        "p": ["id", "seed_id", "e", "et", "eta", "phi"],
+    }
+    types = {"id": "long", "seed_id": "long"}
+    duck, frames = duckdb.connect(), {}
+    for name, data in (("c", c), ("s", s), ("p", p)):
+        schema = ", ".join(f"{n} {types.get(n, 'double')}" for n in names[name])
+        frames[name] = spark.createDataFrame(data, schema)
+        frame = pd.DataFrame(data, columns=names[name])
+        frame = frame.astype({k: "Int64" for k in names[name] if k in types})
+        duck.register(name, frame)
+    expected = duck.execute(
+        """SELECT c.id, count(DISTINCT c.id), max(c.et), max(c.e), count(DISTINCT s.id),
+                  count(DISTINCT p.id),
+                  count(*) FILTER (abs(p.eta - c.eta) < c.deta AND abs(p.phi - c.phi) < c.dphi),
+                  sum(p.et) * 1000, sum(p.et) * 1000 / max(c.et), sum(p.e) * 1000,
+                  sum(p.e) * 1000 / max(c.e)
+           FROM c JOIN s ON c.seed_id = s.id JOIN p ON s.id = p.seed_id
+           GROUP BY c.id HAVING count(DISTINCT c.id) = 1 ORDER BY c.id"""
+    ).fetchall()
+    found = pr.energy_ratio(frames["c"], frames["s"], frames["p"], cell=2.9).orderBy("cluster_id")
+    assert [tuple(r) for r in found.collect()] == [pytest.approx(r) for r in expected]
+
+
 def test_energy_ratio_with_a_hot_seed(spark):
     """A seed with a third of the particles and of the clusters, against all pairs."""
     rng = random.Random(4)
