@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calorix.operators.ordering import with_running_totals
+from calorix.session import few
 
 
 def _direction(metric: str, mode: str) -> Column:
@@ -109,6 +110,7 @@ def exact_quantiles(
     sizes = summed.groupBy(*group).agg(
         F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_before")
     )
+    sizes = few(sizes, "group-sizes")
     same = [F.col(f"s.{g}").eqNullSafe(F.col(f"g.{g}")) for g in group]
     ranked = summed.alias("s").join(sizes.alias("g"), same).select(
         *[F.col(f"s.{g}") for g in group],

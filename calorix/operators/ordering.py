@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calorix.session import durable
+from calorix.session import durable, few
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
@@ -69,7 +69,11 @@ def with_position(
 
 
 def with_scan_index(df: DataFrame, index_col: str = "id", start: int = 1) -> DataFrame:
-    """Number rows densely in the order they are read, without a shuffle of the rows."""
+    """Number rows densely without a shuffle of the rows.
+
+    The order is that of Spark's input splits: rows of a file stay in order, but files are packed
+    into splits by size, so it is not the order of their names.
+    """
     placed = durable(df.withColumn("_slot", F.monotonically_increasing_id()), "index")
     return _numbered(placed, df.columns, index_col, start)
 
@@ -90,6 +94,7 @@ def with_group_rank(
     starts = placed.groupBy(*group).agg(
         F.min("_position").alias("_first"), F.count("*").alias("_size")
     )
+    starts = few(starts, "group-starts")
     same = [F.col(f"p.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
     joined = placed.alias("p").join(starts.alias("s"), same, "left")
     out = [F.col(f"p.{c}") for c in df.columns]

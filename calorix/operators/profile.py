@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from calorix.functions.physics import delta_r, in_box, ratio
 from calorix.functions.vectors import l1_normalise, layer_slices, vector_sum
 from calorix.schemas import RING_LAYERS
+from calorix.session import few
 
 
 def linear_edges(low: float, high: float, nbins: int) -> list[float]:
@@ -78,10 +79,11 @@ def histogram(
 
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
-    """Count and percentage of every category."""
+    """Count and percentage of every category; the total is summed over the categories' counts."""
     known = df.where(F.col(column).isNotNull())
     counts = known.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", 100 * F.col("n") / F.lit(known.count()))
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.withColumn("percent", 100 * F.col("n") / total)
 
 
 def histogram2d(
@@ -205,7 +207,7 @@ def weighted_stats(df: DataFrame, value: str, weight: str, by: Sequence[str] = (
     base = df.select(*by, v.alias("_v"), w.alias("_w"))
     weighted_mean = (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("_mean")
     if by:
-        centred = base.join(base.groupBy(*by).agg(weighted_mean), list(by))
+        centred = base.join(few(base.groupBy(*by).agg(weighted_mean), "group-means"), list(by))
     else:
         mean = base.agg(weighted_mean).first()["_mean"]
         centred = base.withColumn("_mean", F.lit(mean))

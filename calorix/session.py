@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MAX_DRIVER_ROWS = 100_000
@@ -55,3 +56,13 @@ def collect_bounded(df: DataFrame, limit: int = MAX_DRIVER_ROWS, what: str = "ro
     if len(rows) > limit:
         raise ValueError(f"more than {limit} {what}: too many for the driver")
     return rows
+
+
+def few(groups: DataFrame, label: str, limit: int = MAX_DRIVER_ROWS) -> DataFrame:
+    """A table of one row per group, written, and marked for broadcast if it has few rows.
+
+    A join with it then moves none of the many rows of a group; beyond ``limit`` groups the planner
+    chooses, and no group can hold most of the rows' keys unsplit by adaptive execution.
+    """
+    held = durable(groups, label)
+    return F.broadcast(held) if held.count() <= limit else held
