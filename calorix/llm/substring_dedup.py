@@ -46,8 +46,8 @@ class StringRules:
 
     size: int = 400
     gram: int = 32
-    shard_bytes: int = 16_000_000
-    batch: int = 8_000
+    shard_bytes: int = 4_000_000
+    batch: int = 4_000
 
     @property
     def reach(self) -> int:
@@ -186,7 +186,8 @@ def recurring_spans(texts: DataFrame, rules: StringRules) -> DataFrame:
             }
         )
 
-    cut = texts.select("shard", "uid", "text").groupBy("shard").cogroup(keys.groupBy("shard"))
+    # all columns, as the last step needs them: one shuffle of the texts serves both
+    cut = texts.groupBy("shard").cogroup(keys.groupBy("shard"))
     lined = cut.applyInArrow(fragments, _FRAGMENTS).repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,31 +299,40 @@ def remove_strings(
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         data, offsets = text_bytes(left["text"])
-        order = np.argsort(left["uid"].to_numpy(), kind="stable")
-        uids = left["uid"].to_numpy()[order]
-        edge = np.zeros(len(data) + 1, np.int32)
+        by_uid = np.argsort(left["uid"].to_numpy(), kind="stable")
+        uids = left["uid"].to_numpy()[by_uid]
         uid, start, stop = (right[c].to_numpy() for c in ("uid", "start", "stop"))
         a, b = np.searchsorted(uids, uid), np.searchsorted(uids, uid, "right")
-        text = order[ranges(a, b - a)]
-        each = run_of(b - a)
-        np.add.at(edge, offsets[text] + start[each], 1)
-        np.add.at(edge, offsets[text] + stop[each], -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        begin = offsets[:-1][np.diff(offsets) > 0]
-        opens[begin] = gone[begin]
-        runs = np.concatenate([[0], np.cumsum(opens)])
-        kept = []
-        n_removed = total[offsets[1:]] - total[offsets[:-1]]
-        for x, y, n in zip(offsets[:-1], offsets[1:], n_removed, strict=True):
-            kept.append((data[x:y][~gone[x:y]] if n else data[x:y]).tobytes())
+        text, each = by_uid[ranges(a, b - a)], run_of(b - a)
+        order = np.argsort(text, kind="stable")
+        text, each = text[order], each[order]
+        kept, n_removed, n_spans = [], [], []
+        for lo, hi in chunks(offsets):
+            at = offsets[lo : hi + 1] - offsets[lo]
+            part = data[offsets[lo] : offsets[hi]]
+            mine = slice(*np.searchsorted(text, [lo, hi]))
+            edge = np.zeros(len(part) + 1, np.int32)
+            base, span = at[text[mine] - lo], each[mine]
+            np.add.at(edge, base + start[span], 1)
+            np.add.at(edge, base + stop[span], -1)
+            gone = np.cumsum(edge, dtype=np.int32)[:-1] > 0
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            begin = at[:-1][np.diff(at) > 0]
+            opens[begin] = gone[begin]
+            total, runs = (
+                np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (gone, opens)
+            )
+            n_removed.append(np.diff(total[at]))
+            n_spans.append(np.diff(runs[at]))
+            for x, y, n in zip(at[:-1], at[1:], n_removed[-1], strict=True):
+                kept.append((part[x:y][~gone[x:y]] if n else part[x:y]).tobytes())
+        empty = np.zeros(0, np.int64)
         made = {
             "doc_id": left["doc_id"],
             "n_bytes": pa.array(np.diff(offsets), pa.int64()),
-            "n_removed": pa.array(n_removed, pa.int64()),
-            "n_spans": pa.array(runs[offsets[1:]] - runs[offsets[:-1]], pa.int64()),
+            "n_removed": pa.array(np.concatenate([empty, *n_removed]), pa.int64()),
+            "n_spans": pa.array(np.concatenate([empty, *n_spans]), pa.int64()),
             "kept": pa.array(kept, pa.binary()),
         }
         return pa.table(made | ({"row": left["row"]} if carry else {}))
