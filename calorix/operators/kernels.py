@@ -1,4 +1,4 @@
-"""Arrow-batch kernels for distances to a few fixed centres.
+"""Arrow-batch kernels: distances to a few fixed centres, and lookups inside a row.
 
 Distances to many centres are the inner loop of clustering; on whole batches they run several
 times faster than element-wise SQL lambdas. A kernel measures a block of rows against one
@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -85,5 +87,57 @@ def nearest(
     return apply
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a list column, their row and their place in it; nulls inside are left out.
+
+    The values of a list of lists stand at the place of their inner list.
+    """
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    values = lists.flatten()
+    if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        inner = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+        row, place, values = np.repeat(row, inner), np.repeat(place, inner), values.flatten()
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    values = pc.fill_null(values, 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return np.where(known, values, 0), np.where(known, row, -1), place
+
+
+def positions_of(wanted: pa.Array, keys: pa.Array, last: bool) -> pa.Array:
+    """For each wanted value the last (or first) place in the same row's ``keys``, else null.
+
+    Rows are events; ``keys`` may be a list of lists, whose values stand at their list's place.
+    """
+    key, key_row, place = _flat(keys)
+    value, row, _ = _flat(wanted)
+    key, place, key_row = key[key_row >= 0], place[key_row >= 0], key_row[key_row >= 0]
+    codes, code = np.unique(np.concatenate([key, value]), return_inverse=True)
+    n = max(1, len(codes))
+    held = key_row * n + code[: len(key)]
+    asked = row * n + code[len(key) :]
+    order = np.lexsort((place, held))
+    held, place = held[order], place[order]
+    at = np.searchsorted(held, asked, "right") - 1 if last else np.searchsorted(held, asked)
+    inside = (at >= 0) & (at < len(held)) & (row >= 0)
+    at = np.where(inside, at, 0)
+    found = inside & (held[at] == asked) if len(held) else np.zeros(len(asked), bool)
+    sizes = pc.fill_null(pc.list_value_length(wanted), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    positions = place[at] if len(held) else np.zeros(len(asked), np.int64)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(positions, pa.int32(), mask=~found)
+    )
+
+
+def position_lookup(last: bool) -> Callable[[Column, Column], Column]:
+    """Column function for :func:`positions_of`."""
+
+    def find(wanted: pa.Array, keys: pa.Array) -> pa.Array:
+        return positions_of(wanted, keys, last)
+
+    return F.arrow_udf(find, "array<int>")
+
+
 # Workers need the helpers above even where the package itself is not installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calorix.operators import nested
+from calorix.operators.kernels import positions_of
 from calorix.schemas import EVENT_SCHEMA
 from tests.conftest import rows
 
@@ -152,7 +153,7 @@ def test_links_inside_an_event_against_brute_force():
 
     for held, t in ((keys, kind), (many, pa.list_(kind))):
         for last in (True, False):
-            found = nested.positions_of(pa.array(wanted, kind), pa.array(held, t), last)
+            found = positions_of(pa.array(wanted, kind), pa.array(held, t), last)
             expected = [brute(w, k, last) for w, k in zip(wanted, held, strict=True)]
             assert found.to_pylist() == expected
 
