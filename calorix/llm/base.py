@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +36,26 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, unless their path has it already."""
+    package = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if context.applicationId in _sent or str(package.parent) in known:
+        return
+    _sent.add(context.applicationId)
+    held = Path(os.path.realpath(tempfile.mkdtemp())) / f"{package.name}.zip"
+    with zipfile.ZipFile(held, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(held))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    send_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
