@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# The functions' names and parameters, which users' SQL calls.
 FUNCTIONS = (
     """CREATE OR REPLACE TEMPORARY FUNCTION standard_scaler(val DOUBLE, mean DOUBLE, std DOUBLE)
        RETURNS DOUBLE RETURN try_divide(val - mean, std)""",
@@ -33,7 +34,7 @@ def register_scaling_params(spark: SparkSession, table: str, columns: list[str])
     A table function's result columns are fixed when it is made, so there is one function per
     table and column list; its name is returned.
     """
-    name = f"scaling_params_{table}"
+    name = "_".join(["scaling_params", table, *columns])
     outputs = ", ".join(f"avg_{c} DOUBLE, std_{c} DOUBLE" for c in columns)
     exprs = ", ".join(f"avg({c}), stddev_pop({c})" for c in columns)
     spark.sql(

@@ -19,11 +19,17 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calorix.functions.distances import distance
+from calorix.functions.distances import CUSTOM_DISTANCES, distance
 from calorix.functions.physics import ratio
 from calorix.operators.compare import best_run, cumulative_cutoff, metric_diff
 from calorix.operators.folds import fold_values, train_rows, validation_rows
-from calorix.operators.kernels import BATCH_DISTANCES, nearest
+from calorix.operators.kernels import (
+    BATCH_DISTANCES,
+    covariance_of,
+    inverse,
+    nearest,
+    product_sums,
+)
 from calorix.session import collect_bounded
 
 Centers = list[list[float]]
@@ -50,7 +56,8 @@ def nearest_center(
     Common metrics run in Arrow batches; custom and parametric ones as column expressions.
     """
     _check_size(centers)
-    if metric in BATCH_DISTANCES and not params:
+    # a metric registered under a kernel's name replaces it here as in the expressions
+    if metric in BATCH_DISTANCES and metric not in CUSTOM_DISTANCES and not params:
         found = nearest(df.sparkSession, centers, metric)(F.col(vector))
         placed = df.withColumn("_nearest", found)
         return placed.withColumns(
@@ -103,7 +110,14 @@ def farthest_point_init(
 
 
 def proportional_init(
-    df: DataFrame, vector: str, id_col: str, k: int, start_id, seed: int = 0, metric="euclidean"
+    df: DataFrame,
+    vector: str,
+    id_col: str,
+    k: int,
+    start_id,
+    seed: int = 0,
+    metric="euclidean",
+    **params,
 ) -> Centers:
     """Like :func:`farthest_point_init`, but rows are drawn in proportion to their distance.
 
@@ -118,7 +132,7 @@ def proportional_init(
     while len(centers) < k:
         bits = F.xxhash64(F.lit(seed), F.lit(len(centers)), F.col(id_col))
         u = (F.pmod(bits, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        gaps = nearest_center(df.select(id_col, vector), vector, centers, metric)
+        gaps = nearest_center(df.select(id_col, vector), vector, centers, metric, **params)
         drawn = gaps.withColumn("_u", u).where(F.col("distance") > 0)
         row = drawn.orderBy(F.desc(F.log("_u") / F.col("distance")), id_col).first()
         if row is None:
@@ -127,9 +141,31 @@ def proportional_init(
     return centers
 
 
+def spread_params(df: DataFrame, vector: str, metric) -> dict:
+    """Parameters of the metrics that are scaled by the data: variances for ``seuclidean``, the
+    inverse covariance for ``mahalanobis`` (both with denominator n - 1); none for others.
+
+    Both come from sums of products per Arrow batch, so one row per batch is added up.
+    """
+    if metric not in ("seuclidean", "mahalanobis") or metric in CUSTOM_DISTANCES:
+        return {}
+    sums = df.select(vector).where(F.col(vector).isNotNull())
+    stat = sums.select(product_sums(F.col(vector)).alias("s"))
+    total = stat.agg(Summarizer.sum(array_to_vector("s")).alias("t")).first()["t"]
+    covariance = covariance_of(total.toArray())
+    if metric == "seuclidean":
+        return {"variances": [float(x) for x in covariance.diagonal()]}
+    return {"inverse_covariance": [[float(x) for x in r] for r in inverse(covariance)]}
+
+
 @dataclass
 class MetricKMeans:
-    """Lloyd iterations with any named distance."""
+    """Lloyd iterations with any named distance.
+
+    Rows whose vector is missing, holds a null or has another length than most are left out of the
+    fit; ``skipped`` is their number. ``seuclidean`` and ``mahalanobis`` take their variances from
+    the rows unless ``params`` gives them.
+    """
 
     k: int = 8
     init: str = "farthest_point"
@@ -142,6 +178,7 @@ class MetricKMeans:
     centers: Centers | None = None
     inertia: float | None = None
     inertia_inits: list[float] = field(default_factory=list)
+    skipped: int = 0
 
     def _start(self, df: DataFrame, vector: str, id_col: str, attempt: int) -> Centers:
         order = F.xxhash64(F.lit(self.seed + attempt), F.col(id_col))
@@ -152,7 +189,7 @@ class MetricKMeans:
             )
         if self.init == "proportional":
             return proportional_init(
-                df, vector, id_col, self.k, start, self.seed + attempt, self.metric
+                df, vector, id_col, self.k, start, self.seed + attempt, self.metric, **self.params
             )
         raise ValueError(f"Unknown init method {self.init}")
 
@@ -180,7 +217,12 @@ class MetricKMeans:
 
     def fit(self, df: DataFrame, vector: str, id_col: str) -> MetricKMeans:
         """Fit from ``n_init`` starts and keep the one with the least inertia."""
-        rows = df.select(id_col, vector).persist()
+        v = F.col(vector)
+        size = df.where(v.isNotNull()).agg(F.mode(F.size(v))).first()[0]
+        usable = F.coalesce((F.size(v) == F.lit(size)) & ~F.exists(v, lambda x: x.isNull()), F.lit(False))
+        self.skipped = df.agg(F.count_if(~usable)).first()[0]
+        rows = df.where(usable).select(id_col, vector).persist()
+        self.params = self.params or spread_params(rows, vector, self.metric)
         try:
             fits = [
                 self._run(rows, vector, self._start(rows, vector, id_col, i))

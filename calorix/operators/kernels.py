@@ -87,6 +87,31 @@ def nearest(
     return apply
 
 
+def product_sums(vector: Column) -> Column:
+    """Per batch, on its first row: count, sums and sums of products; zeros on the other rows."""
+
+    @F.pandas_udf("array<double>")
+    def sums(rows: pd.Series) -> pd.Series:
+        x = np.vstack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, 0))
+        one = np.column_stack([np.ones(len(x)), x])
+        total = (one.T @ one).ravel()
+        return pd.Series([total if i == 0 else np.zeros_like(total) for i in range(len(rows))])
+
+    return sums(vector)
+
+
+def covariance_of(sums: np.ndarray) -> np.ndarray:
+    """Sample covariance from the added-up sums of :func:`product_sums`."""
+    d = round(len(sums) ** 0.5)
+    m = sums.reshape(d, d)
+    n, total = m[0, 0], m[0, 1:]
+    return (m[1:, 1:] - np.outer(total, total) / n) / max(n - 1, 1)
+
+
+def inverse(matrix: np.ndarray) -> np.ndarray:
+    return np.linalg.inv(matrix)
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of a list column, their row and their place in it; nulls inside are left out.
 

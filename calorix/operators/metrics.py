@@ -164,6 +164,45 @@ def exact_roc(df: DataFrame, y: str, score: str) -> DataFrame:
     )
 
 
+def exact_max_sp(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Area under the exact curve and its working point of the largest SP, as one row.
+
+    The strip that a distinct score adds follows from its own counts and the totals up to it, so the
+    area is a plain sum over the scores and no neighbour is looked up.
+    """
+    counts = (
+        df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+        .groupBy(F.col(score).cast("double").alias("threshold"))
+        .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
+    )
+    summed = with_running_totals(counts, [F.desc("threshold")], {"_pos": "tp", "_neg": "fp"})
+    totals = counts.agg(
+        F.coalesce(F.sum("_pos"), F.lit(0)).alias("p"),
+        F.coalesce(F.sum("_neg"), F.lit(0)).alias("n"),
+    ).first()
+    p, n = F.lit(totals["p"]), F.lit(totals["n"])
+    tp, fp = F.col("tp"), F.col("fp")
+    strip = F.try_divide((2 * tp - F.col("_pos")) * F.col("_neg"), 2.0 * p * n)
+    known = {rate: F.coalesce(rate, F.lit(0.0)) for rate in ("tpr", "fpr")}
+    points = with_rates(
+        summed.select(
+            "threshold",
+            "tp",
+            "fp",
+            (n - fp).alias("tn"),
+            (p - tp).alias("fn"),
+            F.coalesce(strip, F.lit(0.0)).alias("_strip"),
+        )
+    )
+    points = points.withColumns(known).withColumn("sp", sp_index("tpr", "fpr"))
+    best = F.max(F.struct("sp", "threshold", "acc", "fpr", "tpr", "tp", "tn", "fp", "fn")).alias("b")
+    names = ("acc", "sp", "fpr", "tpr", "tp", "tn", "fp", "fn", "threshold")
+    out = {"sp": "max_sp", "threshold": "max_sp_thresh"}
+    return points.agg(F.sum("_strip").alias("roc_auc"), best).select(
+        *[F.col(f"b.{c}").alias(out.get(c, f"max_sp_{c}")) for c in names], "roc_auc"
+    )
+
+
 def trapezoid_area(
     curve: DataFrame, x: str = "fpr", y: str = "tpr", by: Sequence[str] = (), name: str = "auc"
 ) -> DataFrame:

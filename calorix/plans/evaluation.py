@@ -136,6 +136,33 @@ def _exact_roc(spark, folder):
     return rounded(curve, 6, "threshold", "tpr", "fpr")
 
 
+@query(
+    "exact_max_sp",
+    f"""WITH s AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, {SCORE} AS threshold
+                   FROM lineitem),
+    g AS (SELECT threshold, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n
+          FROM s GROUP BY 1),
+    c AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC)::BIGINT AS tp,
+            sum(n) OVER (ORDER BY threshold DESC)::BIGINT AS fp, sum(p) OVER ()::BIGINT AS pp,
+            sum(n) OVER ()::BIGINT AS nn FROM g
+          UNION ALL SELECT 1, 0, 0, sum(p)::BIGINT, sum(n)::BIGINT FROM g),
+    r AS (SELECT *, tp / pp AS tpr, fp / nn AS fpr FROM c),
+    a AS (SELECT *, sqrt(sqrt(tpr * (1 - fpr)) * ((tpr + 1 - fpr) / 2)) AS sp,
+            (tpr + lag(tpr) OVER w) / 2 * (fpr - lag(fpr) OVER w) AS strip
+          FROM r WINDOW w AS (ORDER BY fpr, tpr))
+    SELECT round((tp + nn - fp) / (pp + nn), 6) AS max_sp_acc, round(sp, 6) AS max_sp,
+      round(fpr, 6) AS max_sp_fpr, round(tpr, 6) AS max_sp_tpr, tp AS max_sp_tp,
+      nn - fp AS max_sp_tn, fp AS max_sp_fp, pp - tp AS max_sp_fn,
+      round(threshold, 6) AS max_sp_thresh, (SELECT round(sum(strip), 6) FROM a) AS roc_auc
+    FROM a QUALIFY row_number() OVER (ORDER BY sp DESC, threshold DESC) = 1""",
+)
+def _exact_max_sp(spark, folder):
+    out = me.exact_max_sp(scored_lines(spark, folder), "y", "score")
+    return rounded(
+        out, 6, "max_sp_acc", "max_sp", "max_sp_fpr", "max_sp_tpr", "max_sp_thresh", "roc_auc"
+    )
+
+
 @query(
     "auc_lookup",
     f"""WITH {_curve_sql(300, ">=", "l_linestatus")}, {_AREA.format(part="PARTITION BY l_linestatus")},

@@ -192,3 +192,22 @@ def test_training_learns(spark):
     out = train_folds(df, "v", "y", kind="logistic")
     assert out.count() == 2
     assert out.agg(F.min("max_sp")).first()[0] > 0.9
+
+
+def test_fit_skips_unusable_vectors_and_takes_the_spread_from_the_data(spark):
+    draw = np.random.default_rng(5)
+    data = draw.normal(0, [1.0, 10.0, 0.1], (60, 3))
+    rows_in = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    odd = [(100, None), (101, [1.0]), (102, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows_in + odd, "id long, v array<double>").repartition(3)
+    clean = df.where("id < 100")
+    variances = cl.spread_params(clean, "v", "seuclidean")["variances"]
+    assert variances == pytest.approx(data.var(0, ddof=1).tolist())
+    found = cl.spread_params(clean, "v", "mahalanobis")["inverse_covariance"]
+    assert np.allclose(found, np.linalg.inv(np.cov(data.T)))
+    for metric in ("euclidean", "seuclidean", "mahalanobis"):
+        for init in ("farthest_point", "proportional"):
+            fit = cl.MetricKMeans(k=2, metric=metric, init=init, max_iter=3).fit(df, "v", "id")
+            assert fit.skipped == 3 and len(fit.centers) == 2
+    placed = fit.predict(df, "v").where("id >= 100").select("cluster").collect()
+    assert len(placed) == 3
