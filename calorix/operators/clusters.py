@@ -191,7 +191,7 @@ class MetricKMeans:
             return proportional_init(
                 df, vector, id_col, self.k, start, self.seed + attempt, self.metric, **self.params
             )
-        raise ValueError(f"Unknown init method {self.init}")
+        raise ValueError(f"no such start: {self.init}")
 
     def _close(self, new: float, old: float) -> bool:
         return math.isclose(new, old, rel_tol=self.tol, abs_tol=1e-8)

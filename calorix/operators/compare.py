@@ -14,7 +14,7 @@ from calorix.session import few
 
 def _direction(metric: str, mode: str) -> Column:
     if mode not in ("min", "max"):
-        raise ValueError(f"Unsupported best metric mode: {mode}")
+        raise ValueError(f"mode is min or max, not {mode}")
     return F.asc_nulls_last(metric) if mode == "min" else F.desc_nulls_last(metric)
 
 

@@ -83,7 +83,7 @@ def with_event_ids(df: DataFrame, key: str = "event_id", start: int = 1) -> Data
 def event_table(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Event-level quantities; an event must carry exactly one info entry."""
     one = F.when(F.size(INFO) == 1, F.get(INFO, F.lit(0))).otherwise(
-        F.raise_error(F.lit("Expected exactly one event"))
+        F.raise_error(F.lit("an event needs one info entry"))
     )
     return df.select(F.col(key).alias("id"), one.alias("_info")).select("id", "_info.*")
 

@@ -28,7 +28,7 @@ def activation(name: str | None) -> Callable[[np.ndarray], np.ndarray]:
         "sigmoid": lambda x: 1.0 / (1.0 + np.exp(-x)),
     }
     if name not in known:
-        raise ValueError(f"Unsupported module: {name}")
+        raise ValueError(f"no layer of kind {name} is known")
     return known[name]
 
 

@@ -32,7 +32,7 @@ def test_reading_mixed_paths(spark, tmp_path):
     assert both.count() == 5
     assert readers.read_inputs(spark, [str(part)], dev=True).count() == 2
     assert readers.files_read(both).agg(F.sum("n_rows")).first()[0] == 5
-    with pytest.raises(ValueError, match="expected parquet extension"):
+    with pytest.raises(ValueError, match="not a .parquet file"):
         readers.read_inputs(spark, [str(tmp_path / "file.root")])
 
 
@@ -43,6 +43,9 @@ def test_corrupt_file_is_skipped(spark, tmp_path):
     assert readers.read_inputs(spark, str(tmp_path / "in"), schema, skip_corrupt=True).count() == 4
     with pytest.raises(Exception, match="bad.parquet"):
         readers.read_inputs(spark, str(tmp_path / "in"), schema).count()
+    short = readers.read_inputs(spark, str(tmp_path / "in"), schema, skip_corrupt=True)
+    skipped = readers.skipped_files(spark, str(tmp_path / "in"), short).collect()
+    assert [(r.file.rpartition("/")[2], r.n_bytes) for r in skipped] == [("bad.parquet", 18)]
 
 
 def test_event_scan_fills_missing_fields(spark, tmp_path):
