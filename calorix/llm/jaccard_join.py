@@ -13,8 +13,9 @@ its elements is similar to nothing: most sets end here, also those that share a
 And a signature of empty sections says nothing: a set with too many of them has its signatures
 taken again with another cut, which reaches every pair of such sets.
 
-Candidates are verified on the sets. Members of a signature are compared with its least member
-first; only members that are still unconnected are then compared with each other.
+Sets that share a signature are compared in blocks, as rows of a matrix whose product with itself
+counts common elements; of the similar ones only the links of a spanning tree leave the task, so a
+group of thousands of near copies never becomes a list of pairs.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from calorix.llm.text import (
     windows,
     word_spans,
 )
-from calorix.session import durable
+from calorix.session import durable, few
 
 U = np.uint64
 
@@ -47,7 +48,8 @@ U = np.uint64
 class JoinRules:
     """words: of a shingle; num/den: least similarity; part: elements of the largest set of a band
     in one part; cuts: tries before sets with many empty sections are compared with each other;
-    bucket_bytes: text whose shingles are counted by one task; flush: shingles a task gathers."""
+    bucket_bytes: text whose shingles are counted by one task; flush: shingles a task gathers;
+    block: sets that are compared with each other at once."""
 
     words: int = 5
     num: int = 75
@@ -55,7 +57,8 @@ class JoinRules:
     part: float = 6.3
     cuts: int = 6
     bucket_bytes: int = 12_000_000
-    flush: int = 2_000_000
+    flush: int = 1_500_000
+    block: int = 1_500
 
     def band_starts(self, up_to: int) -> list[int]:
         """First sizes of the bands; a similar set is in the same or a neighbouring band."""
@@ -133,50 +136,76 @@ def _rows(sids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, elements: np.n
     )
 
 
-_BLOCKS = "bucket int, sid long, n int, elements binary, owner binary, sids binary, sizes binary"
+def _planes(values: np.ndarray) -> bytes:
+    """The upper six bytes of sorted numbers, place by place: the leading bytes of neighbours are
+    equal, which a shuffle compresses."""
+    return values.view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    upper = np.frombuffer(planes, np.uint8).reshape(6, -1)
+    out = np.zeros((upper.shape[1], 8), np.uint8)
+    out[:, 2:] = upper.T
+    return out.view(U).ravel()
+
+
+_LISTS = "dest int, sids binary, sizes binary, counts binary, elements binary"
+_BLOCKS = f"{_LISTS}, owner binary"
 _MANY = 0xFFFF
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes by place, as sorted numbers have equal leading bytes, which a shuffle compresses."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)],
+        names=[n for n, _ in fields],
+    )
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(U).ravel()
+def _lists(
+    sids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, elements: np.ndarray, buckets: int
+) -> list[tuple]:
+    """Elements by set, packed into a row for each destination of the sets."""
+    to = sids[owner] % U(buckets)
+    order = np.lexsort((elements, owner, to))
+    owner, elements, to = owner[order], elements[order], to[order]
+    rows = []
+    edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else to
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(to)], strict=False):
+        held, counts = np.unique(owner[lo:hi], return_counts=True)
+        rows.append(
+            (int(to[lo]), sids[held].tobytes(), sizes[held].astype(np.int32).tobytes(),
+             counts.astype(np.int32).tobytes(), _planes(elements[lo:hi]))
+        )
+    return rows
 
 
 def _blocks(
     sids: np.ndarray, sizes: np.ndarray, elements: np.ndarray, buckets: int
-) -> Iterator[pa.RecordBatch]:
-    """What a task has gathered, by bucket: distinct elements with their set, or a mark that several
-    sets here hold it; and the elements that several sets here hold, by set, which need no count."""
+) -> pa.RecordBatch:
+    """What a task has gathered: by bucket, distinct elements with their set, or a mark that several
+    sets here hold it; and, by set, the elements that several sets here hold, which need no
+    count. An element that most texts hold has one entry per task."""
     keep, first = np.unique(sids, return_index=True)
     first = first[keep != 0]
     begin = np.cumsum(sizes) - sizes
     owner = run_of(sizes[first])
-    e = elements[ranges(begin[first], sizes[first])]
+    # 48 bits of an element are kept: a chance meeting only keeps a set a little longer
+    e = elements[ranges(begin[first], sizes[first])] & ~U(0xFFFF)
     sids, sizes = sids[first], sizes[first]
     order = np.argsort(e, kind="stable")
     e, owner = e[order], owner[order]
     start = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else owner
     length = np.diff(np.append(start, len(e)))
     several = np.repeat(length > 1, length)
-    shared, of = e[several], owner[several]
-    back = np.argsort(of, kind="stable")
-    local = _rows(sids, sizes, of[back], shared[back])
-    names = [f.split()[0] for f in _BLOCKS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    none = [pa.nulls(local.num_rows, pa.binary())] * 3
-    if local.num_rows:
-        spread = np.abs(local["sid"].to_numpy()) % buckets
-        columns = [pa.array(spread, pa.int32()), *local.columns, *none]
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-    e, owner = e[start], np.where(length > 1, _MANY, owner[start] if len(e) else owner)
+    rows = [
+        (*r, None) for r in _lists(sids, sizes, owner[several], e[several], buckets)
+    ]
+    e, owner = e[start], np.where(length > 1, _MANY, owner[start])
     bucket = ((e >> U(32)) * U(buckets)) >> U(32)
     edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
-    rows = []
     for b in np.flatnonzero(np.diff(edges)).tolist():
         cut = slice(edges[b], edges[b + 1])
         # only the sets this bucket refers to
@@ -184,18 +213,49 @@ def _blocks(
         real = used[used != _MANY]
         number = np.where(owner[cut] == _MANY, _MANY, number).astype(np.uint16)
         rows.append(
-            (b, None, None, _planes(e[cut]), number.tobytes(), sids[real].tobytes(),
-             sizes[real].astype(np.int32).tobytes())
+            (b, sids[real].tobytes(), sizes[real].astype(np.int32).tobytes(), None,
+             _planes(e[cut]), number.tobytes())
         )
-    if rows:
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+    return _batch(rows, _BLOCKS)
+
+
+def _shared_entries(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Set ids, sizes, owners and elements of the entries whose element several sets hold."""
+    e, at, many, sids, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [], []
+    base = 0
+    for planes, owner, ids, each in zip(
+        *(rows[c] for c in ("elements", "owner", "sids", "sizes")), strict=True
+    ):
+        number = np.frombuffer(owner.as_buffer(), np.uint16)
+        e.append(_numbers(planes.as_py()))
+        many.append(number == _MANY)
+        at.append(number + np.int64(base))
+        sids.append(np.frombuffer(ids.as_buffer(), U))
+        sizes.append(np.frombuffer(each.as_buffer(), np.int32))
+        base += len(sids[-1])
+    e, at, many = map(np.concatenate, (e, at, many))
+    # the same set from several tasks is one owner; a mark belongs to none
+    known, first, same = np.unique(
+        np.concatenate([np.zeros(0, U), *sids]), return_index=True, return_inverse=True
+    )
+    sizes = np.concatenate([np.zeros(0, np.int32), *sizes])[first]
+    owner = np.where(many, -1, same[np.where(many, 0, at)] if len(same) else -1)
+    order = np.argsort(e, kind="stable")
+    e, owner = e[order], owner[order]
+    if not len(e):
+        return known, sizes, owner, e
+    start = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+    length = np.diff(np.append(start, len(e)))
+    least, most = np.minimum.reduceat(owner, start), np.maximum.reduceat(owner, start)
+    keep = np.repeat(least != most, length) & (owner >= 0)
+    return known, sizes, owner[keep], e[keep]
 
 
 def shared_sets(docs: DataFrame, text_col: str, rules: JoinRules) -> DataFrame:
     """``sid, n, elements``: sets that keep enough elements when those of a single set are dropped.
 
-    ``n`` is the full size, ``elements`` the shared shingles in order, 8 bytes each.
+    ``n`` is the full size, ``elements`` the shared shingles (48 bits of the hash) in order, 8
+    bytes each.
     """
     buckets = shard_count(docs, text_col, rules.bucket_bytes)
 
@@ -219,79 +279,37 @@ def shared_sets(docs: DataFrame, text_col: str, rules: JoinRules) -> DataFrame:
             cut = slice(lo, lo + _MANY - 1)
             begin = int(counts[:lo].sum())
             some = elements[begin : begin + int(counts[cut].sum())]
-            yield from _blocks(sids[cut], counts[cut], some, buckets)
+            yield _blocks(sids[cut], counts[cut], some, buckets)
 
     def shared(found: pa.Table) -> pa.Table:
-        local = found.filter(found["sid"].is_valid()).select(["sid", "n", "elements"])
-        e, sid, n, many = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int32)], []
-        rows = found.filter(found["owner"].is_valid())
-        for planes, owner, sids, sizes in zip(
-            *(rows[c].to_pylist() for c in ("elements", "owner", "sids", "sizes")), strict=True
-        ):
-            e.append(_numbers(planes))
-            number = np.frombuffer(owner, np.uint16)
-            marked = number == _MANY
-            place = np.where(marked, 0, number)
-            ids = np.append(np.frombuffer(sids, U), U(0))
-            each = np.append(np.frombuffer(sizes, np.int32), np.int32(0))
-            sid.append(ids[np.minimum(place, len(ids) - 1)])
-            n.append(each[np.minimum(place, len(ids) - 1)])
-            many.append(marked)
-        e, sid, n = map(np.concatenate, (e, sid, n))
-        many = np.concatenate([np.zeros(0, bool), *many])
-        order = np.argsort(e, kind="stable")
-        e, sid, n, many = e[order], sid[order], n[order], many[order]
-        if not len(e):
-            return local
-        start = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-        length = np.diff(np.append(start, len(e)))
-        least = np.minimum.reduceat(np.where(many, U(2**64 - 1), sid), start)
-        most = np.maximum.reduceat(np.where(many, U(0), sid), start)
-        marked = np.logical_or.reduceat(many, start)
-        keep = np.repeat((least != most) | marked, length) & ~many
-        # a mark alone is held by no further set
-        e, sid, n = e[keep], sid[keep], n[keep]
-        order = np.lexsort((e, sid))
-        e, sid, n = e[order], sid[order], n[order]
-        if not len(e):
-            return local
-        ids, first, owner = np.unique(sid, return_index=True, return_inverse=True)
-        return pa.concat_tables([local, _rows(ids, n[first], owner, e)])
-
-    blocks = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(gather, _BLOCKS)
-    parts = blocks.groupBy("bucket").applyInArrow(shared, "sid long, n int, elements binary")
-    ordered = parts.repartition("sid").sortWithinPartitions("sid")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            new = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, new]) if rest is not None else new
-            sid = rest["sid"].to_numpy()
-            cut = int(np.searchsorted(sid, sid[-1])) if len(sid) else 0
-            if cut:
-                yield from joined(rest.slice(0, cut)).to_batches()
-                rest = rest.slice(cut)
-        if rest is not None and len(rest):
-            yield from joined(rest).to_batches()
-
-    def joined(rows: pa.Table) -> pa.Table:
-        data, offsets = text_bytes(rows["elements"])
-        e = data.view(U) if data.flags.aligned and not data.ctypes.data % 8 else data.copy().view(U)
-        sid = rows["sid"].to_numpy()
-        ids, first, group = np.unique(sid, return_index=True, return_inverse=True)
-        owner = np.repeat(group, np.diff(offsets) // 8)
+        local = found.filter(found["counts"].is_valid()).drop_columns(["owner"])
+        entries = _shared_entries(found.filter(found["owner"].is_valid()))
+        made = _batch(_lists(*entries, buckets), _LISTS)
+        return pa.concat_tables([local, pa.Table.from_batches([made])])
+
+    def joined(found: pa.Table) -> pa.Table:
+        sids, sizes, counts, e = [np.zeros(0, U)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, U)]
+        for a, b, c, d in zip(*(found[c] for c in ("sids", "sizes", "counts", "elements")), strict=True):
+            sids.append(np.frombuffer(a.as_buffer(), U))
+            sizes.append(np.frombuffer(b.as_buffer(), np.int32))
+            counts.append(np.frombuffer(c.as_buffer(), np.int32))
+            e.append(_numbers(d.as_py()))
+        sids, sizes, counts, e = map(np.concatenate, (sids, sizes, counts, e))
+        ids, first, group = np.unique(sids, return_index=True, return_inverse=True)
+        owner = np.repeat(group, counts)
         order = np.lexsort((e, owner))
         e, owner = e[order], owner[order]
         new = np.ones(len(e), bool)
         new[1:] = (e[1:] != e[:-1]) | (owner[1:] != owner[:-1])
         e, owner = e[new], owner[new]
-        n = rows["n"].to_numpy()[first]
+        n = sizes[first].astype(np.int64)
         enough = np.bincount(owner, minlength=len(ids)) * rules.den >= n * rules.num
         keep = enough[owner]
-        return _rows(ids.view(U), n, owner[keep], e[keep])
+        return _rows(ids, n, owner[keep], e[keep])
 
-    return ordered.mapInArrow(whole, "sid long, n int, elements binary")
+    blocks = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(gather, _BLOCKS)
+    parts = blocks.groupBy("dest").applyInArrow(shared, _LISTS)
+    return parts.groupBy("dest").applyInArrow(joined, "sid long, n int, elements binary")
 
 
 def signatures(
@@ -359,8 +377,12 @@ def signatures(
     return np.concatenate(out), np.concatenate(of)
 
 
-def members(sets: DataFrame, rules: JoinRules) -> DataFrame:
-    """``sig, sid, n, pivot, pivot_n, size``: the members of each signature that several sets have."""
+def tied_sets(sets: DataFrame, rules: JoinRules) -> DataFrame:
+    """``pivot, sid``: each set that shares a signature with smaller sets ids, with the least of each.
+
+    Two sets that share a signature have its least member in common, so to compare the sets of
+    each pivot with each other is to compare all sets that share a signature.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,68 +393,111 @@ def members(sets: DataFrame, rules: JoinRules) -> DataFrame:
                 sig, of = signatures(data.copy().view(U), np.diff(offsets) // 8, n, rules)
                 sid = rows.column(0).to_numpy()[of]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(sid), pa.array(n[of], pa.int32())],
-                    names=["sig", "sid", "n"],
+                    [pa.array(sig.view(np.int64)), pa.array(sid)], names=["sig", "sid"]
                 )
 
-    signed = sets.mapInArrow(sign, "sig long, sid long, n int")
+    signed = sets.mapInArrow(sign, "sig long, sid long")
     ordered = signed.repartition("sig").sortWithinPartitions("sig", "sid")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        last = pivot = None
         for batch in batches:
-            rest = [np.append(a, batch.column(i).to_numpy()) for i, a in enumerate(rest)]
-            cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-            yield together(*(a[:cut] for a in rest))
-            rest = [a[cut:] for a in rest]
-        yield together(*rest)
-
-    def together(sig: np.ndarray, sid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-        sig, sid, n = sig[new], sid[new], n[new]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else sig
-        size = np.diff(np.append(start, len(sig)))
-        first, size = np.repeat(start, size), np.repeat(size, size)
-        keep = size > 1
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(sig[keep]),
-                pa.array(sid[keep]),
-                pa.array(n[keep], pa.int32()),
-                pa.array(sid[first][keep]),
-                pa.array(n[first][keep], pa.int32()),
-                pa.array(size[keep], pa.int32()),
-            ],
-            names=["sig", "sid", "n", "pivot", "pivot_n", "size"],
-        )
+            sig, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            first = sid[start].copy()
+            if sig[0] == last:
+                first[0] = pivot  # the run began in the batch before
+            last, pivot = sig[-1], first[-1]
+            least = np.repeat(first, np.diff(np.append(start, len(sig))))
+            pairs = np.unique(np.stack([least, sid])[:, least != sid], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[0]), pa.array(pairs[1])], names=["pivot", "sid"]
+            )
+
+    return ordered.mapInArrow(runs, "pivot long, sid long").distinct()
+
+
+def block_links(
+    sids: np.ndarray, n: np.ndarray, elements: list[np.ndarray], rules: JoinRules
+) -> list[tuple[int, int]]:
+    """Links that connect what is similar among these sets: a tree for each component of them."""
+    counts = np.array([len(x) for x in elements])
+    codes, code = np.unique(np.concatenate(elements), return_inverse=True)
+    owner = run_of(counts)
+    shared = np.bincount(code, minlength=len(codes)) > 1
+    code, owner = (np.cumsum(shared) - 1)[code[shared[code]]], owner[shared[code]]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    common = np.zeros((len(n), len(n)), np.float32)
+    width = 2048
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(code, [lo, lo + width])
+        some = np.zeros((len(n), width), np.float32)
+        some[owner[a:b], code[a:b] - lo] = 1
+        common += some @ some.T
+    similar = common * rules.den >= (n[:, None] + n[None, :] - common) * rules.num
+    links, fresh = [], np.ones(len(n), bool)
+    for i in range(len(n)):
+        if not fresh[i]:
+            continue
+        fresh[i] = False
+        todo = [i]
+        while todo:
+            at = todo.pop()
+            near = np.flatnonzero(similar[at] & fresh)
+            fresh[near] = False
+            todo += near.tolist()
+            links += [(int(sids[at]), int(sids[j])) for j in near]
+    return links
+
+
+def similar_links(tied: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
+    """``a, b``: links that connect all similar sets among those of each pivot.
+
+    The sets of a pivot are compared with each other in one piece of at most ``block`` sets; a
+    pivot with more has its sets dealt into blocks, and each two blocks are a piece.
+    """
+    whole = tied.unionByName(tied.selectExpr("pivot", "pivot AS sid").distinct())
+    sizes = tied.groupBy("pivot").agg(F.ceil((F.count("*") + 1) / rules.block).alias("blocks"))
+    dealt = whole.join(few(sizes, "pivots"), "pivot").withColumn(
+        "own", F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    )
+    placed = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).selectExpr(
+        "pivot", "least(own, other) AS i", "greatest(own, other) AS j", "sid"
+    )
+    keys = ["pivot", "i", "j"]
+    ordered = placed.join(sets, "sid").repartition(*keys).sortWithinPartitions(*keys, "sid")
 
-    schema = "sig long, sid long, n int, pivot long, pivot_n int, size int"
-    return ordered.mapInArrow(runs, schema)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            links = []
+            cells = [batch.column(k).to_numpy() for k in range(5)]
+            blobs = batch.column(5)
+            for r in range(batch.num_rows):
+                key = tuple(c[r] for c in cells[:3])
+                if key != now:
+                    links += linked(held)
+                    now, held = key, []
+                held.append((cells[3][r], cells[4][r], np.frombuffer(blobs[r].as_buffer(), U)))
+            yield _pairs(links)
+        yield _pairs(linked(held))
 
+    def linked(held: list) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        sids, n, elements = zip(*held, strict=True)
+        return block_links(np.array(sids), np.array(n, np.float32), list(elements), rules)
 
-def verified(pairs: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar."""
-    one = sets.selectExpr("sid AS a", "n AS a_n", "elements AS a_elements")
-    two = sets.selectExpr("sid AS b", "n AS b_n", "elements AS b_elements")
+    rows = ordered.select(*keys, "sid", "n", "elements")
+    return rows.mapInArrow(compare, "a long, b long")
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, a_n, b_n, a_e, b_e = (batch.column(i) for i in range(6))
-            similar = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), U) for c in (a_e, b_e))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                union = a_n[i].as_py() + b_n[i].as_py() - common
-                similar.append(common * rules.den >= union * rules.num)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(similar, pa.bool_()))
-
-    both = pairs.join(one, "a").join(two, "b")
-    return both.select("a", "b", "a_n", "b_n", "a_elements", "b_elements").mapInArrow(
-        test, "a long, b long"
-    )
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True) if links else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -462,48 +527,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
 def similar_components(docs: DataFrame, text_col: str, rules: JoinRules) -> DataFrame:
     """``node, root``: components of the sets that are similar to another set."""
     sets = durable(shared_sets(docs, text_col, rules), "shared-sets")
-    found = durable(members(sets, rules), "members")
-    close = "a != b AND {0} * least(a_n, b_n) >= {1} * greatest(a_n, b_n)".format(rules.den, rules.num)
-    tied = (
-        found.groupBy("pivot", "sid")
-        .agg(F.count("*").alias("times"), F.max("n").alias("b_n"), F.max("pivot_n").alias("a_n"))
-        .selectExpr("pivot AS a", "sid AS b", "times", "a_n", "b_n")
-        .where(close)
-    )
-    tied = durable(tied, "tied")
-    # the least member that a set meets most often is tried first
-    first = tied.groupBy("b").agg(F.max(F.struct("times", "a")).alias("x")).selectExpr("x.a", "b")
-    links = durable(verified(first, sets, rules), "similar")
-    roots = components(links)
-    tied = apart(tied, roots).select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(durable(verified(tied, sets, rules), "similar"))
-    roots = components(links)
-    # members of a signature that are still apart, other than its least, which is done
-    rest = found.where("size > 2").join(
-        roots.selectExpr("node AS sid", "root"), "sid", "left"
-    ).selectExpr("sig", "sid", "n", "coalesce(root, sid) AS root", "pivot")
-    mixed = rest.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-    rest = rest.where("sid != pivot").join(mixed.select("sig"), "sig")
-    pairs = (
-        rest.selectExpr("sig", "sid AS a", "n AS a_n", "root AS a_root")
-        .join(rest.selectExpr("sig", "sid AS b", "n AS b_n", "root AS b_root"), "sig")
-        .where("a < b AND a_root != b_root")
-        .where(close)
-        .select("a", "b")
-        .distinct()
-    )
-    more = durable(verified(pairs, sets, rules), "similar")
-    return components(links.unionByName(more)) if more.take(1) else roots
-
-
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of different components."""
-    for side in ("a", "b"):
-        own = roots.selectExpr(f"node AS {side}", f"root AS {side}_root")
-        pairs = pairs.join(own, side, "left").withColumn(
-            f"{side}_root", F.coalesce(f"{side}_root", side)
-        )
-    return pairs.where("a_root != b_root").drop("a_root", "b_root")
+    tied = durable(tied_sets(sets, rules), "tied-sets")
+    return components(similar_links(tied, sets, rules))
 
 
 def similar_documents(
