@@ -24,7 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorix.llm.base import query, recurring, shard_count, table
-from calorix.llm.text import chunks, span_hashes, text_bytes, window_minima, windows, word_spans
+from calorix.llm.text import (
+    chunks,
+    counted,
+    span_hashes,
+    text_bytes,
+    window_minima,
+    windows,
+    word_spans,
+)
 
 
 @dataclass(frozen=True)
@@ -92,24 +100,6 @@ def _located(texts: Texts, phrases: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return hit
 
 
-def _counted(keys: np.ndarray, shards: np.ndarray, name: str) -> pa.RecordBatch:
-    """Distinct keys of each shard with the times they are found."""
-    order = np.lexsort((shards, keys))
-    keys, shards = keys[order], shards[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (shards[1:] != shards[:-1])
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(keys)))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(keys[at].view(np.int64)),
-            pa.array(shards[at].astype(np.int32)),
-            pa.array(np.minimum(n, 2), pa.int64()),
-        ],
-        names=[name, "shard", "n"],
-    )
-
-
 def sharded(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, also: list | None = None) -> DataFrame:
     """``shard, doc_id, text`` and the columns ``also``; rows are dealt by a hash of id and text."""
     shards = shard_count(docs, text_col, shard_bytes)
@@ -134,7 +124,7 @@ def recurring_windows(texts: DataFrame, rules: PhraseRules) -> DataFrame:
                 read = Texts(data[at[0] : at[-1]], at - at[0], rules)
                 phrases = read.phrases()
                 place = np.unique(read.anchors(phrases)[read.valid])
-                yield _counted(phrases[place], shard[lo:hi][read.text_of(place)], "phrase")
+                yield counted(phrases[place], shard[lo:hi][read.text_of(place)], "phrase")
 
     found = texts.select("shard", "text").mapInArrow(anchors, "phrase long, shard int, n long")
     phrases = recurring(found, "phrase")
@@ -153,7 +143,7 @@ def recurring_windows(texts: DataFrame, rules: PhraseRules) -> DataFrame:
             out.append(keys)
         keys = np.concatenate([np.zeros(0, np.uint64), *out])
         shard = left["shard"][0].as_py() if len(left) else 0
-        batch = _counted(keys, np.full(len(keys), shard), "window")
+        batch = counted(keys, np.full(len(keys), shard), "window")
         return pa.Table.from_batches([batch])
 
     near = texts.groupBy("shard").cogroup(phrases.groupBy("shard"))

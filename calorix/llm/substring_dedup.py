@@ -31,6 +31,7 @@ from calorix.llm.base import query, recurring, shard_count, table
 from calorix.llm.text import (
     byte_hashes,
     chunks,
+    counted,
     ranges,
     run_of,
     text_bytes,
@@ -259,24 +260,6 @@ def _spans(table: pa.Table, rules: StringRules) -> pa.RecordBatch:
     )
 
 
-def counted(keys: np.ndarray, shards: np.ndarray, name: str) -> pa.RecordBatch:
-    """Distinct keys of each shard with the times they are found, two for more."""
-    order = np.lexsort((shards, keys))
-    keys, shards = keys[order], shards[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (shards[1:] != shards[:-1])
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(keys)))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(keys[at].view(np.int64)),
-            pa.array(shards[at].astype(np.int32)),
-            pa.array(np.minimum(n, 2), pa.int64()),
-        ],
-        names=[name, "shard", "n"],
-    )
-
-
 def remove_strings(
     docs: DataFrame,
     id_col: str = "doc_id",
