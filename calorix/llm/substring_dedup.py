@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from calorix.llm.base import query, recurring, shard_count, table
 from calorix.llm.text import (
@@ -266,14 +266,16 @@ def remove_strings(
     text_col: str = "text",
     rules: StringRules | None = None,
     carry: list[str] | None = None,
+    as_text: bool = False,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) and, if named, ``row`` with the columns
     ``carry`` for every row of ``docs``.
 
     Removed is each byte in a string of ``size`` bytes that also starts at another place of any
     text, the same one included. Strings are judged on the input and do not cross texts. Null
-    and empty texts have no bytes; of repeated rows all copies go. ``kept`` may begin or end inside
-    a character.
+    and empty texts have no bytes; of repeated rows all copies go. ``A string may begin or
+    end inside a character: ``kept`` then has the rest of it, and with ``as_text``, where it is a
+    string, drops that rest.
     """
     rules = rules or StringRules()
     also = [F.struct(*carry).alias("row")] if carry else []
@@ -316,7 +318,9 @@ def remove_strings(
             "n_bytes": pa.array(np.diff(offsets), pa.int64()),
             "n_removed": pa.array(np.concatenate([empty, *n_removed]), pa.int64()),
             "n_spans": pa.array(np.concatenate([empty, *n_spans]), pa.int64()),
-            "kept": pa.array(kept, pa.binary()),
+            "kept": pa.array([k.decode(errors="ignore") for k in kept], pa.string())
+            if as_text
+            else pa.array(kept, pa.binary()),
         }
         return pa.table(made | ({"row": left["row"]} if carry else {}))
 
@@ -324,7 +328,7 @@ def remove_strings(
     schema = StructType([texts.schema["doc_id"]])
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema.add(name, LongType())
-    schema.add("kept", BinaryType())
+    schema.add("kept", StringType() if as_text else BinaryType())
     return near.applyInArrow(cut, schema.add(texts.schema["row"]) if carry else schema)
 
 

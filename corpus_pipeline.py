@@ -48,11 +48,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = [c for c in docs.columns if c != "text"]
     was_null = F.col("text").isNull().alias("_was_null")
     marked = docs.withColumn("_was_null", was_null)
-    cut = remove_strings(marked, carry=[*own, "_was_null"])
-    # what a cut left of a character is no text
-    text = F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")
-    text = F.when(F.col("row._was_null"), None).when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text)
-    changed = cut.withColumn("text", text)
+    cut = remove_strings(marked, carry=[*own, "_was_null"], as_text=True)
+    changed = cut.withColumn("text", F.when(~F.col("row._was_null"), F.col("kept")))
     columns = []
     for name, kind in docs.dtypes:
         if name == "text":

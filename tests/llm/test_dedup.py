@@ -190,6 +190,14 @@ def test_remove_strings(spark):
     assert remove_strings(empty(spark)).count() == 0
 
 
+def test_a_cut_inside_a_character(spark):
+    """The byte that é and è have in common is repeated with the passage before it."""
+    rows = [(1, "x" + PASSAGE + "é one"), (2, "yy" + PASSAGE + "è two \ufffd"), (3, "z")]
+    same(remove_strings(documents(spark, rows)).collect(), brute_strings(rows, 400))
+    found = remove_strings(documents(spark, rows), as_text=True).collect()
+    assert {r.doc_id: r.kept for r in found} == {1: "x one", 2: "yy two \ufffd", 3: "z"}
+
+
 def test_strings_on_the_table(spark, folder):
     rows = [tuple(r) for r in table(spark, folder, "documents").select("doc_id", "text").collect()]
     expected = [
