@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calorix.llm.base import SPACES, query, table, words
-from calorix.session import durable
+from calorix.session import durable, few
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -194,7 +194,8 @@ def fit_outliers(stats: DataFrame, x: list[str], rules: OutlierRules) -> DataFra
         F.col("b.g_source").eqNullSafe(F.col(f"{right}.g_source")),
     ]
     # the second start rests on the rows near the centre in every single statistic
-    near = both.alias("b").join(plain.alias("p"), same("p")).select("b.*", *[f"e_{i}" for i in range(d)], *[f"l_{i}_{i}" for i in range(d)])
+    centre = [f"{name}_{i}" for i in range(d) for name in ("e", f"l_{i}")]
+    near = both.alias("b").join(plain.alias("p"), same("p")).select("b.*", *centre)
     for i, a in enumerate(x):
         near = near.where(F.abs(F.col(a) / _GRID - F.col(f"e_{i}")) <= F.col(f"l_{i}_{i}"))
     boxed = near.groupBy(*keys).agg(*_moments(x)).where(F.col("m_n") >= rules.min_rows // 4)
@@ -204,7 +205,9 @@ def fit_outliers(stats: DataFrame, x: list[str], rules: OutlierRules) -> DataFra
     found = durable(starts, "quality-start")
     in_bin = Window.partitionBy(*keys, "start").orderBy("bin")
     for _ in range(rules.steps):
-        apart = _distance(both.alias("b").join(found.alias("f"), same("f")).select("b.*", "start", *[c for c in found.columns if c[:2] in ("e_", "l_") and c != "log_det"]), x)
+        fitted = [c for c in found.columns if c[:2] in ("e_", "l_")]
+        placed = both.alias("b").join(found.alias("f"), same("f")).select("b.*", "start", *fitted)
+        apart = _distance(placed, x)
         bins = apart.withColumn("bin", F.floor(F.log(F.col("dist") + 1e-3) * 24)).groupBy(
             *keys, "start", "bin"
         ).agg(*_moments(x))
@@ -252,9 +255,9 @@ def quality_verdicts(
     stats = durable(counted, "quality")
     groups = fit_outliers(stats.where("not base_failed").select("g_lang", "g_source", *x), x, rules)
     # the estimate of the group, else of the language; both joins are on tables of a row a group
-    own = groups.where("g_source is not null")
+    own = few(groups.where("g_source is not null"), "quality-groups")
     wide = groups.where("g_source is null").drop("g_source")
-    wide = wide.withColumnsRenamed({c: f"w_{c}" for c in wide.columns})
+    wide = few(wide.withColumnsRenamed({c: f"w_{c}" for c in wide.columns}), "quality-languages")
     both = stats.join(own, ["g_lang", "g_source"], "left").join(
         wide, F.col("g_lang") == F.col("w_g_lang"), "left"
     )
