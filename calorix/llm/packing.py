@@ -10,6 +10,7 @@ window is full; what is left at the end of a shard is cut at powers of two.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,13 +34,25 @@ class PackRules:
 
     window: int = 4096
     end_id: int = 2
-    shard_bytes: int = 16_000_000
+    shard_bytes: int = 4_000_000
     query_terms: int = 24
     k1: float = 1.2
     b: float = 0.75
     memo: int = 800_000
 
 
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves,
+    the others, in order, for the letters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 _TAIL = b".,;:!?*#$%&|\"()"
 
 
@@ -61,13 +74,28 @@ class WordIds(dict):
         self.limit = limit
         plain = self.tokenizer.to_str()
         #: whether words may be folded and cut: the rules below hold for this kind of vocabulary
-        self.folds = '"Lowercase"' in plain and "[^\\\\s\\\\p{L}\\\\p{N}]+" in plain
+        self.folds = all(
+            x in plain
+            for x in ('"Lowercase"', '"ByteLevel"', "[\\\\p{L}]+", "[^\\\\s\\\\p{L}\\\\p{N}]+")
+        )
+        self.model = self.tokenizer.model
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in words], add_special_tokens=False
-        )
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        texts = [w.decode() for w in words]
+        # a word of Latin letters is one pre-token, whose bytes the model can merge at once
+        plain = [self.folds and _LATIN(t) is not None for t in texts]
+        rest = [t for t, p in zip(texts, plain, strict=True) if not p]
+        asked = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        kind, tokenize = self.kind, self.model.tokenize
+        out = []
+        for text, p in zip(texts, plain, strict=True):
+            if p:
+                letters = text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = [t.id for t in tokenize(letters)]
+            else:
+                ids = next(asked).ids
+            out.append(np.array(ids, kind).tobytes())
+        return out
 
     def learn(self, words: set[bytes]) -> None:
         """Add the words that are not known yet, all encoded at once."""
