@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask laid over consecutive tokens; the masked-out positions are ignored, so a
-changed token there does not hide the overlap. Seeds of the texts are joined with the seeds of
+changed token there does not hide the overlap. The masks are chosen so that every allowed set of
+changed tokens leaves one seed of the stretch unchanged (:func:`covering_masks`). Seeds of the texts are joined with the seeds of
 the benchmark, each hit names a diagonal (text position minus item position), and the tokens
 along that diagonal are compared around the hit: an overlap counts if some stretch of ``stretch``
 tokens agrees in at least ``share`` of them. The benchmark's seeds are broadcast if they are few;
@@ -10,8 +11,11 @@ the texts are never shuffled for the seed join, and only texts with a hit are re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +26,45 @@ from calorix.session import collect_bounded, durable
 
 @dataclass(frozen=True)
 class SeedRules:
-    """masks: 1 reads a token, 0 ignores it; items shorter than a mask get a seed of all their
-    tokens. max_broadcast: benchmark seeds up to this number are broadcast (16 bytes each),
-    more are joined by shuffle."""
+    """mask_count: masks for a length of stretch, at most; fewer read fewer tokens each. Items shorter
+    than ``stretch`` are compared whole, with masks for their length. max_broadcast: benchmark seeds
+    up to this number are broadcast (16 bytes each), more are joined by shuffle."""
 
-    masks: tuple[str, ...] = ("111011001011", "110100110111")
+    mask_count: int = 2
     stretch: int = 13
     share: float = 0.8
     max_broadcast: int = 1_000_000
 
 
+@lru_cache
+def covering_masks(n: int, share: float, count: int) -> tuple[str, ...]:
+    """At most ``count`` masks (1 reads a token, 0 ignores it) for ``n`` aligned tokens.
+
+    Wherever the tokens differ that may (all but ``share`` of them), one mask at one place reads
+    none of them. The masks read as many tokens as so few masks can; a run of tokens between the
+    changed ones always does, so a stretch too long to try its patterns gets that.
+    """
+    changed = min(n - math.ceil(n * share), n - 1)
+    best = ("1" * -(-(n - changed) // (changed + 1)),)
+    for weight in range(len(best[0]) + 1, n - changed + 1):
+        if math.comb(n, changed) * math.comb(n - 1, weight - 1) > 200_000:
+            break
+        hit = [sum(1 << i for i in some) for some in combinations(range(n), changed)]
+        found = {}
+        for rest in combinations(range(1, n), weight - 1):
+            mask = 1 | sum(1 << i for i in rest)
+            places = [mask << at for at in range(n - mask.bit_length() + 1)]
+            found[mask] = {i for i, h in enumerate(hit) if any(not h & p for p in places)}
+        left, chosen = set(range(len(hit))), []
+        while left and len(chosen) < count:
+            chosen.append(max(found, key=lambda m: len(found[m] & left)))
+            left -= found[chosen[-1]]
+        if left:
+            break
+        best = tuple(f"{m:b}"[::-1] for m in chosen)
+    return best
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; null gives an empty array."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+")
@@ -92,20 +125,19 @@ def find_overlaps(
         .agg(F.min("item_id").alias("item_id"))
     )
     items = durable(items, "benchmark")
-    longest = max(map(len, rules.masks))
-    short = collect_bounded(
-        items.where(F.size("item") < longest).select(F.size("item").alias("n")).distinct(), longest
-    )
-    # a short item is read by one mask of its own length
-    fixed = list(rules.masks)
-    masks = fixed + ["1" * r.n for r in sorted(short)]
+    width = F.least(F.size("item"), F.lit(rules.stretch))
+    widths = collect_bounded(items.select(width.alias("n")).distinct(), rules.stretch)
+    # the widths that use a mask
+    users: dict[str, list[int]] = {}
+    for n in sorted({r.n for r in widths} or {rules.stretch}):
+        for mask in covering_masks(n, rules.share, rules.mask_count):
+            users.setdefault(mask, []).append(n)
+    masks = list(users)
     hashed = items.withColumn("hashes", F.transform("item", lambda t: F.xxhash64(t)))
-    n = F.size("hashes")
-    wanted = _spread(hashed.select("item_id", "hashes", n.alias("n")), masks, "at").where(
-        F.when(F.col("mask") < len(fixed), F.col("n") >= longest).otherwise(
-            F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1) == F.col("n")
-        )
-    )
+    uses = F.lit(False)
+    for m, mask in enumerate(masks):
+        uses = uses | ((F.col("mask") == m) & F.col("n").isin(users[mask]))
+    wanted = _spread(hashed.select("item_id", "hashes", width.alias("n")), masks, "at").where(uses)
     wanted = durable(wanted.select("item_id", "mask", "at", "seed").distinct(), "benchmark-seeds")
     if wanted.count() <= rules.max_broadcast:
         wanted = F.broadcast(wanted)

@@ -1,6 +1,7 @@
 """URL rules, quality rules and decontamination against plain Python."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -204,6 +205,34 @@ def test_overlaps(spark):
     assert find_overlaps(empty(spark), benchmark).count() == 0
 
 
+def test_every_accepted_pattern_is_found(spark):
+    """All sets of changed tokens that the rule accepts, at the ends of a text and inside one."""
+    sizes = [3, 5, 6, 8, 9, 10, 11, 12, 13, 16]
+    held = {n: [f"w{n}x{k}" for k in range(n)] for n in sizes}
+    rows, expected = [], set()
+    for n, item in held.items():
+        width = min(n, 13)
+        for changed in (c for k in range(4) for c in itertools.combinations(range(n), k)):
+            text = [f"other{k}" if k in changed else t for k, t in enumerate(item)]
+            best = max(sum(k not in changed for k in range(a, a + width)) for a in range(n - width + 1))
+            if best >= math.ceil(width * 0.8):
+                expected.add((len(rows), n))
+            rows.append((len(rows), " ".join(text if len(rows) % 2 else ["before", *text, "after"])))
+    long = [f"long{k}" for k in range(60)]
+    for a in range(5):
+        expected.add((len(rows), 60))
+        rows.append((len(rows), " ".join(f"other{k}" if k % 5 == a else t for k, t in enumerate(long))))
+    # only eleven tokens of the item are there at all
+    expected.add((len(rows), 13))
+    rows.append((len(rows), " ".join(held[13][1:12])))
+    items = [*((n, " ".join(t)) for n, t in held.items()), (60, " ".join(long))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, rows)
+    found = find_overlaps(docs, benchmark)
+    keyed = docs.select("doc_id", *fingerprint(F.col("text"))).join(found, ["k1", "k2"])
+    assert {(r.doc_id, r.item_id) for r in keyed.collect()} == expected
+
+
 def test_verbatim_items_are_found(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
