@@ -1,7 +1,10 @@
 """Packing documents into sequences with lexical neighbours.
 
-Documents are dealt evenly over shards of about the same number of bytes, more shards for more
-data, so copies and hot sources spread out. A shard holds a BM25 inverted index of its documents:
+The terms of all documents are counted first. Each document goes to the nearest of the topics that
+are fitted to some of them, and the documents are sorted into shards by topic and by a lexical key,
+their heaviest terms by BM25 over the corpus, so related ones lie together; a topic or key of any
+size is cut over shards. A shard holds a BM25 index of its documents, weighted by the counts of the
+corpus; neighbours in other shards are not seen (the README has their share):
 each seed document, the longest first, asks it for its unused neighbours, which greedily fill the
 seed's window; the neighbour that no longer fits is cut, and its rest stays unused. So every
 window is full; what is left at the end of a shard is cut at powers of two.
@@ -24,18 +27,23 @@ from pyspark.sql import functions as F
 
 from calorix.llm.base import query, shard_count, table
 from calorix.llm.text import CHUNK, text_bytes
+from calorix.session import collect_bounded, durable
 
 
 @dataclass(frozen=True)
 class PackRules:
     """window: tokens of a sequence; end_id: added to every document; shard_bytes: text of a shard;
-    query_terms: rarest terms of a seed that are looked up; k1, b: of BM25; memo: words whose ids a
-    task remembers."""
+    topics, topic_rows, topic_width: number of topics, documents they are fitted to, size of their
+    vectors; key_terms: terms of a lexical key; k1, b: of BM25; memo: words whose ids a task
+    remembers."""
 
     window: int = 4096
     end_id: int = 2
-    shard_bytes: int = 4_000_000
-    query_terms: int = 24
+    shard_bytes: int = 16_000_000
+    topics: int = 64
+    topic_rows: int = 8_000
+    topic_width: int = 256
+    key_terms: int = 4
     k1: float = 1.2
     b: float = 0.75
     memo: int = 800_000
@@ -140,9 +148,9 @@ def word_ids(vocabulary: str, limit: int) -> WordIds:
 
 
 def token_ids(
-    docs: DataFrame, vocabulary: str, id_col: str, text_col: str, rules: PackRules, shards: int
+    docs: DataFrame, vocabulary: str, id_col: str, text_col: str, rules: PackRules
 ) -> DataFrame:
-    """``shard, doc_id, ids`` (16 bits each, or 32 for large vocabularies) of every document."""
+    """``doc_id, ids`` (16 bits each, or 32 for large vocabularies) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     end = rules.end_id
 
@@ -150,7 +158,7 @@ def token_ids(
         words = word_ids(sent.value, rules.memo)
         last = np.array([end], words.kind).tobytes()
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(1))
             raw = data.tobytes()
             lo = 0
             while lo < len(offsets) - 1:
@@ -159,65 +167,171 @@ def token_ids(
                 spans = zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)
                 ids = [x + last for x in words.of([raw[a:b] for a, b in spans])]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[lo:hi],
-                        batch.column(1)[lo:hi],
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["shard", "doc_id", "ids"],
+                    [batch.column(0)[lo:hi], pa.array(ids, pa.binary())], names=["doc_id", "ids"]
                 )
                 lo = hi
 
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     texts = docs.select(
-        dealt.alias("shard"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
     )
-    return texts.mapInArrow(run, "shard int, doc_id long, ids binary")
+    return texts.mapInArrow(run, "doc_id long, ids binary")
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """n: documents; mean: ids of one; df: by term, documents that hold it. Only what is left of a
+    document after its full windows is looked up, and counted."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
+def _postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count, sorted."""
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    terms = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    both, tf = np.unique((doc.astype(np.int64) << 32) | terms, return_counts=True)
+    return both >> 32, both & 0xFFFFFFFF, tf
+
+
+def _rests(ids: pa.Array, kind: np.dtype, window: int) -> list[np.ndarray]:
+    held = [np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x in ids]
+    return [x[len(x) // window * window :] for x in held]
+
+
+def corpus_statistics(ids: DataFrame, kind: np.dtype, size: int, rules: PackRules) -> Corpus:
+    """Counts over all documents; ``size`` is that of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the places after the terms count documents and ids
+        counts = np.zeros(size + 2, np.int64)
+        for batch in batches:
+            docs = _rests(batch.column(0), kind, rules.window)
+            counts[:size] += np.bincount(_postings(docs)[1], minlength=size)
+            counts[size:] += len(docs), sum(map(len, docs))
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["term", "n"])
+
+    counted = ids.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = np.zeros(size + 2, np.int64)
+    for term, n in collect_bounded(counted, size + 2, "terms"):
+        counts[term] = n
+    return Corpus(int(counts[size]), counts[size + 1] / max(1, counts[size]), counts[:size])
+
+
+def _weights(tf: np.ndarray, terms: np.ndarray, lengths: np.ndarray, corpus: Corpus, rules: PackRules) -> np.ndarray:
+    """BM25 weights of terms in documents of these lengths."""
+    df = corpus.df[terms]
+    norm = rules.k1 * (1 - rules.b + rules.b * lengths / max(1.0, corpus.mean))
+    return np.log1p((corpus.n - df + 0.5) / (df + 0.5)) * tf * (rules.k1 + 1) / (tf + norm)
+
+
+def lexical_keys(docs: list[np.ndarray], corpus: Corpus, rules: PackRules) -> list[bytes]:
+    """The heaviest terms of every document that another one holds too, as bytes in their order."""
+    doc, terms, tf = _postings(docs)
+    weight = _weights(tf, terms, np.array([len(d) for d in docs])[doc], corpus, rules)
+    kept = corpus.df[terms] > 1
+    doc, terms, weight = doc[kept], terms[kept], weight[kept]
+    order = np.lexsort((terms, -weight, doc))
+    first = np.searchsorted(doc, np.arange(len(docs) + 1))
+    heavy = terms[order].astype(">u4")
+    return [heavy[a : min(b, a + rules.key_terms)].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def _vectors(docs: list[np.ndarray], corpus: Corpus, rules: PackRules) -> np.ndarray:
+    """BM25 weights of the terms, hashed to ``topic_width`` places with signs, of length 1."""
+    doc, terms, tf = _postings(docs)
+    weight = _weights(tf, terms, np.array([len(d) for d in docs])[doc], corpus, rules)
+    mixed = terms * 2654435761 % (1 << 32)
+    place = (mixed >> 8) % rules.topic_width
+    sign = np.where(mixed >> 31, 1, -1)
+    shape = len(docs), rules.topic_width
+    held = np.bincount(doc * shape[1] + place, weight * sign, shape[0] * shape[1]).reshape(shape)
+    return held / np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-9)
+
+
+def fit_topics(ids: DataFrame, corpus: Corpus, kind: np.dtype, rules: PackRules) -> np.ndarray:
+    """Centres by k-means over about ``topic_rows`` distinct documents, each next to a near one."""
+    h, held, full = F.xxhash64("ids"), F.col("ids"), rules.window * kind.itemsize
+    some = ids.where(F.pmod(h, F.lit(-(-max(1, corpus.n) // rules.topic_rows))) == 0)
+    start = F.floor(F.octet_length(held) / full).cast("int") * full + 1
+    some = some.select(h.alias("h"), held.substr(start, F.lit(full)).alias("rest")).dropDuplicates(["h"])
+    rows = some.orderBy("h").limit(rules.topic_rows).collect()
+    if not rows:
+        return np.zeros((1, rules.topic_width))
+    points = _vectors([np.frombuffer(r.rest, kind).astype(np.int64) for r in rows], corpus, rules)
+    centres = points[: rules.topics]  # in the order of a hash
+    for _ in range(8):
+        near = (points @ centres.T).argmax(1)
+        sums = [points[near == k].sum(0) for k in range(len(centres))]
+        sizes = [max(np.linalg.norm(x), 1e-9) for x in sums]
+        centres = np.array([x / n for x, n in zip(sums, sizes, strict=True)])
+    chain, left = [0], set(range(1, len(centres)))
+    while left:
+        chain.append(max(sorted(left), key=lambda k: centres[chain[-1]] @ centres[k]))
+        left.remove(chain[-1])
+    return centres[chain]
+
+
+def in_shards(ids: DataFrame, corpus: Corpus, kind: np.dtype, shards: int, rules: PackRules) -> DataFrame:
+    """``shard, doc_id, ids``, a shard a partition, by topic and lexical key; equal rows are spread."""
+    topics = fit_topics(ids, corpus, kind, rules)
+    sent = ids.sparkSession.sparkContext.broadcast((corpus, topics))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            corpus, topics = sent.value
+            docs = _rests(batch.column(1), kind, rules.window)
+            topic = (_vectors(docs, corpus, rules) @ topics.T).argmax(1)
+            keys = lexical_keys(docs, corpus, rules)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(topic), pa.array(keys, pa.binary())],
+                names=["doc_id", "ids", "topic", "key"],
+            )
+
+    keyed = ids.mapInArrow(run, "doc_id long, ids binary, topic long, key binary")
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    return keyed.repartitionByRange(shards, "topic", "key", salt).select(
+        F.spark_partition_id().alias("shard"), "doc_id", "ids"
+    )
 
 
 class Neighbours:
-    """BM25 inverted index of a shard's documents."""
+    """BM25 index of a shard's documents, by the counts of ``corpus`` or else of the shard."""
 
-    def __init__(self, docs: list[np.ndarray], rules: PackRules):
+    def __init__(self, docs: list[np.ndarray], rules: PackRules, corpus: Corpus | None = None):
         lengths = np.array([len(d) for d in docs])
-        doc = np.repeat(np.arange(len(docs)), lengths)
-        terms = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        both, tf = np.unique((doc.astype(np.int64) << 32) | terms, return_counts=True)
-        doc, terms = both >> 32, both & 0xFFFFFFFF
-        self.first = np.searchsorted(doc, np.arange(len(docs) + 1))
-        self.terms = terms
-        size = int(terms.max()) + 1 if len(terms) else 1
-        df = np.bincount(terms, minlength=size)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        norm = rules.k1 * (1 - rules.b + rules.b * lengths / max(1.0, lengths.mean() if len(docs) else 1.0))
-        self.weight = idf[terms] * tf * (rules.k1 + 1) / (tf + norm[doc])
-        self.shared = df[terms] > 1
-        order = np.argsort(terms, kind="stable")
-        self.holders, self.held = doc[order], self.weight[order]
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        self.n, self.query_terms = len(docs), rules.query_terms
+        doc, terms, tf = _postings(docs)
+        df = np.bincount(terms, minlength=1)
+        corpus = corpus or Corpus(len(docs), lengths.mean() if len(docs) else 1.0, df)
+        weight = _weights(tf, terms, lengths[doc], corpus, rules)
+        # a term of one document here finds nothing
+        shared = df[terms] > 1
+        self.doc, self.terms, self.weight = doc[shared], terms[shared], weight[shared]
+        self.first = np.searchsorted(self.doc, np.arange(len(docs) + 1))
+        self.asked = np.zeros(len(df), bool)
+        self.n = len(docs)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Of every document with all terms of the seed."""
+        own = self.terms[self.first[seed] : self.first[seed + 1]]
+        self.asked[own] = True
+        found = np.bincount(self.doc, self.weight * self.asked[self.terms], self.n)
+        self.asked[own] = False
+        return found
 
     def of(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents with a common term, the best match first."""
-        own = slice(self.first[seed], self.first[seed + 1])
-        terms, weight = self.terms[own][self.shared[own]], self.weight[own][self.shared[own]]
-        if len(terms) > self.query_terms:
-            terms = terms[np.argsort(-weight, kind="stable")[: self.query_terms]]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        lists = [slice(self.start[t], self.start[t + 1]) for t in terms]
-        score = np.bincount(
-            np.concatenate([self.holders[s] for s in lists]),
-            np.concatenate([self.held[s] for s in lists]),
-            self.n,
-        )
+        score = self.scores(seed)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], rules: PackRules) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(
+    docs: list[np.ndarray], rules: PackRules, corpus: Corpus | None = None
+) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` of a shard."""
     window, pieces, sequence = rules.window, [], 0
     start = np.zeros(len(docs), np.int64)
@@ -226,7 +340,7 @@ def pack_shard(docs: list[np.ndarray], rules: PackRules) -> list[tuple[int, int,
         while left[d] >= window:
             pieces.append((int(d), int(start[d]), window, sequence, 0))
             start[d], left[d], sequence = start[d] + window, left[d] - window, sequence + 1
-    index = Neighbours([x[s:] for x, s in zip(docs, start, strict=True)], rules)
+    index = Neighbours([x[s:] for x, s in zip(docs, start, strict=True)], rules, corpus)
     unused = left > 0
     seeds = np.argsort(-left, kind="stable")
     total, at = int(left.sum()), 0
@@ -298,12 +412,21 @@ def pack_documents(
     """
     rules = rules or PackRules()
     shards = shard_count(docs, text_col, rules.shard_bytes)
-    ids = token_ids(docs, vocabulary, id_col, text_col, rules, shards)
+    words = WordIds(vocabulary, 0)
+    kind, size = words.kind, words.tokenizer.get_vocab_size()
+    ids = durable(token_ids(docs, vocabulary, id_col, text_col, rules), "token-ids")
+    corpus = corpus_statistics(ids, kind, size, rules)
+    sent = docs.sparkSession.sparkContext.broadcast(corpus)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if any(map(len, held)):
+            yield pack(pd.concat(held))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "ids"], kind="stable", ignore_index=True)
         held = [np.frombuffer(x, kind).astype(np.int64) for x in frame["ids"]]
-        pieces = pack_shard(held, rules)
+        pieces = pack_shard(held, rules, sent.value)
         d, start, length, sequence, offset = np.array(pieces, np.int64).reshape(-1, 5).T
         sizes = np.array([len(x) for x in held])
         cut = [held[i][a : a + n] for i, a, n in zip(d, start, length, strict=True)]
@@ -320,8 +443,7 @@ def pack_documents(
             }
         )
 
-    kind = WordIds(vocabulary, 0).kind
-    return ids.groupBy("shard").applyInPandas(pack, PIECES)
+    return in_shards(ids, corpus, kind, shards, rules).mapInPandas(run, PIECES)
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -255,3 +255,35 @@ def test_stage_edges(spark, folder, name):
         assert out.columns == docs.columns
         assert 0 < out.count() <= len(texts())
     assert stage(spark, empty(spark), folder).count() == 0
+
+
+def test_related_documents_share_a_shard(spark):
+    """Groups of similar documents, dealt over many rows, are packed by the same shard."""
+    rows = []
+    for k in range(160):
+        base = words(f"group{k % 40}", 60)
+        rows.append((k, " ".join(base[k // 40 :] + words(k, 6))))
+    pieces = pack_documents(documents(spark, rows), public_vocabulary(), rules=PackRules(shard_bytes=6_000)).collect()
+    shards = {}
+    for p in pieces:
+        shards.setdefault(p.doc_id % 40, set()).add(p.sequence_id >> 32)
+    assert len({s for held in shards.values() for s in held}) > 4
+    assert sum(len(held) <= 2 for held in shards.values()) >= 32
+
+
+def test_scores_of_all_terms():
+    """BM25 over every shared term, with the counts of a corpus that is larger than the shard."""
+    draw, rules = np.random.default_rng(4), PackRules()
+    docs = [draw.integers(0, 300, n) for n in (5, 80, 200, 400, 90, 1)]
+    corpus = packing.Corpus(1000, 150.0, draw.integers(6, 900, 300))
+    found = packing.Neighbours(docs, rules, corpus)
+    for seed, own in enumerate(docs):
+        for other, held in enumerate(docs):
+            if other == seed:
+                continue
+            expected = 0.0
+            for t in set(own.tolist()) & set(held.tolist()):
+                tf, df = (held == t).sum(), corpus.df[t]
+                norm = rules.k1 * (1 - rules.b + rules.b * len(held) / 150)
+                expected += np.log1p((1000 - df + 0.5) / (df + 0.5)) * tf * (rules.k1 + 1) / (tf + norm)
+            assert abs(found.scores(seed)[other] - expected) < 1e-9
