@@ -4,6 +4,7 @@ Nothing outside this folder imports it; ``__spark_entry__`` adds ``QUERIES`` whe
 """
 
 from calorix.llm import (
+    centroid_clusters,
     chat_format,
     contamination,
     jaccard_join,
@@ -19,6 +20,7 @@ from calorix.llm.base import QUERIES
 
 __all__ = [
     "QUERIES",
+    "centroid_clusters",
     "chat_format",
     "contamination",
     "jaccard_join",
