@@ -8,6 +8,7 @@ from calorix.llm import (
     chat_format,
     contamination,
     jaccard_join,
+    minhash_dedup,
     packing,
     page_text,
     phrase_dedup,
@@ -24,6 +25,7 @@ __all__ = [
     "chat_format",
     "contamination",
     "jaccard_join",
+    "minhash_dedup",
     "packing",
     "page_text",
     "phrase_dedup",
