@@ -7,6 +7,7 @@ from calorix.llm import (
     centroid_clusters,
     chat_format,
     contamination,
+    hard_negatives,
     jaccard_join,
     minhash_dedup,
     packing,
@@ -24,6 +25,7 @@ __all__ = [
     "centroid_clusters",
     "chat_format",
     "contamination",
+    "hard_negatives",
     "jaccard_join",
     "minhash_dedup",
     "packing",
