@@ -41,6 +41,10 @@ from calorix.session import durable, few
 
 U = np.uint64
 
+#: Numbers of sets that may be broadcast (8 MB), and parts of a hot set beyond.
+BROADCAST_SETS = 1_000_000
+SALTS = 16
+
 
 @dataclass(frozen=True)
 class MinHashRules:
@@ -130,7 +134,7 @@ def blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def signed_documents(docs: DataFrame, id_col: str, text_col: str, rules: MinHashRules) -> DataFrame:
-    """The written table ``slot, doc_id, n, sid, signature, elements``, one row per document."""
+    """The written table ``doc_id, n, sid, signature``, one row per document."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     of_id = own.schema["doc_id"].dataType.simpleString()
 
@@ -145,14 +149,55 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, rules: MinHash
                         pa.array(counts, pa.int64()),
                         pa.array(set_numbers(elements, counts).view(np.int64)),
                         blobs(signature.ravel(), np.full(len(counts), rules.hashes())),
-                        blobs(elements, counts),
                     ],
-                    names=["doc_id", "n", "sid", "signature", "elements"],
+                    names=["doc_id", "n", "sid", "signature"],
                 )
                 at += len(counts)
 
-    made = own.mapInArrow(sign, f"doc_id {of_id}, n long, sid long, signature binary, elements binary")
-    return durable(made.withColumn("slot", F.monotonically_increasing_id()), "minhash")
+    return durable(own.mapInArrow(sign, f"doc_id {of_id}, n long, sid long, signature binary"), "minhash")
+
+
+def whole_sets(docs: DataFrame, text_col: str, wanted: DataFrame, rules: MinHashRules) -> DataFrame:
+    """The written table ``sid, signature, elements`` of the sets in ``wanted``.
+
+    Elements take more room than text, so they are made again, for one text of each wanted set. Few
+    wanted sets are broadcast; else texts meet them by set and a salt, as many can share a set.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for elements, counts in document_sets(batch.column(0), rules.words):
+                sid = pa.array(set_numbers(elements, counts).view(np.int64))
+                text = batch.column(0).slice(at, len(counts))
+                yield pa.RecordBatch.from_arrays([sid, text], names=["sid", "text"])
+                at += len(counts)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for elements, counts in document_sets(batch.column(0), rules.words):
+                signature = minima(elements, counts, rules.hashes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(set_numbers(elements, counts).view(np.int64)),
+                        blobs(signature.ravel(), np.full(len(counts), rules.hashes())),
+                        blobs(elements, counts),
+                    ],
+                    names=["sid", "signature", "elements"],
+                )
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    numbered = texts.mapInArrow(number, "sid long, text string")
+    held = durable(wanted, "wanted")
+    if held.count() <= BROADCAST_SETS:
+        met = numbered.join(F.broadcast(held), "sid", "left_semi")
+    else:
+        salt = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+        salted = held.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        numbered = numbered.withColumn("salt", F.pmod(salt, F.lit(SALTS)))
+        met = numbered.join(salted, ["sid", "salt"], "left_semi")
+    one = met.groupBy("sid").agg(F.first("text").alias("text")).select("text")
+    return durable(one.mapInArrow(fill, "sid long, signature binary, elements binary"), "tied-minhash")
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -273,14 +318,13 @@ def paired(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def similar_links(signed: DataFrame, rules: MinHashRules) -> DataFrame:
+def similar_links(
+    docs: DataFrame, text_col: str, signed: DataFrame, rules: MinHashRules
+) -> DataFrame:
     """``a, b``: links between sets that join every component of the similarity."""
     tied = tied_sets(signed, rules)
     wanted = tied.select("sid").unionByName(tied.select(F.col("pivot").alias("sid"))).distinct()
-    # one row stands for each wanted set, so no number of copies makes a wide join uneven
-    one = signed.groupBy("sid").agg(F.min("slot").alias("slot")).join(wanted, "sid", "left_semi")
-    sets = signed.join(one.select("slot"), "slot", "left_semi").select("sid", "signature", "elements")
-    sets = durable(sets, "tied-minhash")
+    sets = whole_sets(docs, text_col, wanted, rules)
     parts = tied.groupBy("pivot").agg(F.count("*").alias("n"))
     parts = parts.select("pivot", F.ceil(F.col("n") / rules.block).alias("parts"))
     parts = few(parts.where("parts > 1"), "pivots")
@@ -366,7 +410,7 @@ def near_duplicates(
     """
     rules = rules or MinHashRules()
     signed = signed_documents(docs, id_col, text_col, rules)
-    root = star_components(similar_links(signed, rules))
+    root = star_components(similar_links(docs, text_col, signed, rules))
     sets = signed.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
     sets = sets.join(root.withColumnRenamed("node", "sid"), "sid", "left")
     sets = durable(sets.selectExpr("sid", "docs", "least", "coalesce(root, sid) AS root"), "sets")
