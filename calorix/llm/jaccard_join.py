@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorix.llm.base import query, shard_count, table
+from calorix.llm.base import query, shard_count, similar_sql, table
 from calorix.llm.text import (
     chunks,
     mix,
@@ -566,7 +566,7 @@ def similar_documents(
     )
 
 
-@query("op3_jaccard_join")
+@query("op3_jaccard_join", similar_sql(5, 75, 100))
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under the links of similar shingle sets."""
     return similar_documents(table(spark, folder, "documents").select("doc_id", "text"))

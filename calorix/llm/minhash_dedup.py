@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calorix.llm.base import query, table
+from calorix.llm.base import query, similar_sql, table
 from calorix.llm.text import (
     chunks,
     mix,
@@ -427,34 +427,6 @@ def near_duplicates(
     )
 
 
-def similar_sql(words: int, num: int, den: int, extra: str = "") -> str:
-    """Components of similar shingle sets: distinct sets, pairs that share a shingle, reachable sets."""
-    lead = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
-    return f"""
-WITH RECURSIVE texts AS MATERIALIZED (
-    SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w FROM documents),
-    shingled AS MATERIALIZED (
-        SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
-            ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {lead}))) END AS s
-        FROM texts),
-    nodes AS MATERIALIZED (
-        SELECT row_number() OVER () AS k, s, len(s) AS n FROM (SELECT DISTINCT s FROM shingled WHERE len(s) > 0)),
-    elements AS MATERIALIZED (SELECT k, n, unnest(s) AS e FROM nodes),
-    links AS MATERIALIZED (
-        SELECT a.k AS x, b.k AS y FROM elements a JOIN elements b ON a.e = b.e AND a.k < b.k
-        WHERE {den} * a.n >= {num} * b.n AND {den} * b.n >= {num} * a.n
-        GROUP BY a.k, b.k, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
-    sides AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-    reach AS (SELECT k, k AS o FROM nodes UNION SELECT reach.k, sides.y FROM reach JOIN sides ON sides.x = reach.o),
-    own AS (SELECT n.k, min(d.doc_id) AS least FROM nodes n JOIN shingled d ON d.s = n.s GROUP BY n.k),
-    named AS (SELECT reach.k, min(own.least) AS c FROM reach JOIN own ON own.k = reach.o GROUP BY reach.k)
-SELECT d.doc_id, len(d.s) AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE named.c END AS component_id{extra}
-FROM shingled d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN named ON named.k = n.k
-"""
-
-
 _KEPT = ", d.doc_id IS NOT DISTINCT FROM CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE named.c END AS kept"
 
 
