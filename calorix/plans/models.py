@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from calorix.operators import fitting
 from calorix.operators.metrics import test_record
 from calorix.operators.scaling import fold_scaling_params
 from calorix.operators.scoring import Dense, score_mlp, score_two_branch
@@ -84,7 +85,7 @@ def _score_two_branch(spark, folder):
 
 def _training_rows(spark, folder):
     return table(spark, folder, "embeddings").select(
-        "embedding", (F.col("label") >= 5).cast("int").alias("y"), (F.col("vec_id") % 3).alias("fold")
+        "vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("y"), (F.col("vec_id") % 3).alias("fold")
     )
 
 
@@ -102,6 +103,28 @@ def _train_folds_mlp(spark, folder):
     )
 
 
+@query("train_early_stop")
+def _train_early_stop(spark, folder):
+    """Runs, stops and best epochs of two starts on each of three folds."""
+    rows = _training_rows(spark, folder).withColumn("id", F.col("vec_id"))
+    rules = fitting.TrainingRules(hidden=(8,), batches=2, max_epochs=6, patience=2, inits=2, rate=0.01)
+    return fitting.training_report(spark, fitting.train_networks(rows, "embedding", "y", "id", rules=rules))
+
+
+@query(
+    "fold_costs",
+    """WITH t AS (SELECT vec_id % 3 AS fold, count(*) FILTER (label < 5) AS n0, count(*) FILTER (label >= 5) AS n1
+               FROM embeddings GROUP BY 1),
+    o AS (SELECT a.fold, sum(b.n0) AS n0, sum(b.n1) AS n1 FROM t a JOIN t b ON a.fold <> b.fold GROUP BY 1)
+    SELECT fold, round((n0 + n1) / (2 * n0), 6) AS weight_0, round((n0 + n1) / (2 * n1), 6) AS weight_1 FROM o""",
+)
+def _fold_costs(spark, folder):
+    """Class weights of each fold's training rows."""
+    costs = fitting.fold_costs(_training_rows(spark, folder), balanced=True)
+    rows = [(fold, float(a), float(b)) for fold, (a, b) in costs.items()]
+    return rounded(spark.createDataFrame(rows, "fold long, weight_0 double, weight_1 double"), 6, "weight_0", "weight_1")
+
+
 @query(
     "test_record",
     f"""WITH {_curve_sql(100, ">=")}, {_AREA.format(part="")}
