@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from calorix.functions.distances import CUSTOM_DISTANCES, distance
 from calorix.functions.physics import ratio
+from calorix.operators import fits
 from calorix.operators.compare import best_run, cumulative_cutoff, metric_diff
-from calorix.operators.folds import fold_values, train_rows, validation_rows
+from calorix.operators.folds import fold_values
 from calorix.operators.kernels import (
     BATCH_DISTANCES,
     covariance_of,
@@ -162,7 +164,8 @@ def spread_params(df: DataFrame, vector: str, metric) -> dict:
 class MetricKMeans:
     """Lloyd iterations with any named distance.
 
-    Rows whose vector is missing, holds a null or has another length than most are left out of the
+    ``init`` is ``farthest_point`` or ``proportional`` (a scan per centre), or ``candidates`` or
+    ``farthest_candidates``, which take a few scans whatever ``k`` is. Rows whose vector is missing, holds a null or has another length than most are left out of the
     fit; ``skipped`` is their number. ``seuclidean`` and ``mahalanobis`` take their variances from
     the rows unless ``params`` gives them.
     """
@@ -193,45 +196,27 @@ class MetricKMeans:
             )
         raise ValueError(f"no such start: {self.init}")
 
-    def _close(self, new: float, old: float) -> bool:
-        return math.isclose(new, old, rel_tol=self.tol, abs_tol=1e-8)
-
-    def _run(self, df: DataFrame, vector: str, centers: Centers) -> tuple[float, Centers]:
-        previous = math.inf
-        inertia = math.inf
-        for _ in range(self.max_iter):
-            step = lloyd_step(df, vector, centers, self.metric, **self.params)
-            rows = {r["cluster"]: r for r in collect_bounded(step, self.k, "clusters")}
-            inertia = math.fsum(r["inertia"] for r in rows.values())
-            if self._close(inertia, previous):
-                break
-            # a centre that attracts no row stays where it is
-            moved = [
-                [float(x) for x in rows[i]["center"]] if i in rows else c
-                for i, c in enumerate(centers)
-            ]
-            if all(self._close(a, b) for m, c in zip(moved, centers) for a, b in zip(m, c)):
-                break
-            previous, centers = inertia, moved
-        return inertia, centers
-
     def fit(self, df: DataFrame, vector: str, id_col: str) -> MetricKMeans:
-        """Fit from ``n_init`` starts and keep the one with the least inertia."""
+        """Fit from ``n_init`` starts, all in the same scans, and keep the one with the least inertia."""
         v = F.col(vector)
         size = df.where(v.isNotNull()).agg(F.mode(F.size(v))).first()[0]
         usable = F.coalesce((F.size(v) == F.lit(size)) & ~F.exists(v, lambda x: x.isNull()), F.lit(False))
         self.skipped = df.agg(F.count_if(~usable)).first()[0]
-        rows = df.where(usable).select(id_col, vector).persist()
-        self.params = self.params or spread_params(rows, vector, self.metric)
-        try:
-            fits = [
-                self._run(rows, vector, self._start(rows, vector, id_col, i))
-                for i in range(self.n_init)
-            ]
-        finally:
-            rows.unpersist()
-        self.inertia_inits = [inertia for inertia, _ in fits]
-        self.inertia, self.centers = min(fits, key=lambda f: f[0])
+        source = df.where(usable).select(id_col, vector)
+        self.params = self.params or spread_params(source, vector, self.metric)
+        rules = fits.FitRules(
+            self.metric, self.params, self.max_iter, self.tol, farthest=self.init == "farthest_candidates", seed=self.seed
+        )
+        rows = fits.fit_table(source, vector, id_col)
+        if self.init in ("candidates", "farthest_candidates"):
+            found = fits.fit_many(rows, [self.k], starts=self.n_init, rules=rules)
+        else:
+            starts = [self._start(source, vector, id_col, i) for i in range(self.n_init)]
+            found = [fits.Fit(fits.ALL, np.array(c), i) for i, c in enumerate(starts)]
+            fits.run_fits(rows, found, rules)
+        self.inertia_inits = [f.inertia for f in found]
+        best = min(found, key=lambda f: f.inertia)
+        self.inertia, self.centers = best.inertia, best.centers.tolist()
         return self
 
     def predict(self, df: DataFrame, vector: str) -> DataFrame:
@@ -438,20 +423,28 @@ def fit_kmeans(
 
 
 def search_k(
-    df: DataFrame, vector: str, ks: Sequence[int], seed: int = 0, max_iter: int = 100
+    df: DataFrame,
+    vector: str,
+    ks: Sequence[int],
+    seed: int = 0,
+    max_iter: int = 100,
+    starts: int = 1,
+    id_col: str | None = None,
 ) -> DataFrame:
-    """Inertia per number of clusters and its change; one row per searched value."""
-    rows = df.select(vector).persist()
-    try:
-        n = rows.count()
-        found = []
-        for k in ks:
-            cost = fit_kmeans(rows, vector, k, seed=seed, max_iter=max_iter).summary.trainingCost
-            found.append((k, float(cost), float(cost) / n))
-    finally:
-        rows.unpersist()
+    """Inertia per number of clusters and its change; one row per searched value.
+
+    All sizes and starts are fitted in the same scans; the best start of a size counts.
+    """
+    rules = fits.FitRules(max_iter=max_iter, seed=seed)
+    found = fits.fit_many(fits.fit_table(df, vector, id_col), ks, starts=starts, rules=rules)
+    return _search_table(df, found)
+
+
+def _search_table(df: DataFrame, found: Sequence[fits.Fit]) -> DataFrame:
+    best = [min((f for f in found if f.size == k), key=lambda f: f.inertia) for k in sorted({f.size for f in found})]
     table = df.sparkSession.createDataFrame(
-        found, "n_clusters int, inertia double, variance double"
+        [(f.size, float(f.inertia), float(f.inertia) / f.rows) for f in best],
+        "n_clusters int, inertia double, variance double",
     )
     return metric_diff(table, "n_clusters", ["inertia", "variance"])
 
@@ -462,23 +455,37 @@ def best_k(search: DataFrame) -> DataFrame:
 
 
 def kfold_search(
-    df: DataFrame, vector: str, ks: Sequence[int], fold_col: str = "fold", seed: int = 0
+    df: DataFrame,
+    vector: str,
+    ks: Sequence[int],
+    fold_col: str = "fold",
+    seed: int = 0,
+    starts: int = 1,
+    id_col: str | None = None,
 ) -> DataFrame:
     """Search over the number of clusters on each fold's training rows.
 
-    The chosen model of every fold is scored on its validation rows.
+    The size with the steepest fall of the inertia is chosen in every fold and scored on its
+    validation rows. All folds, sizes and starts are fitted in the same scans, all folds scored in
+    one more.
     """
-    results = []
-    for fold in [f for f in fold_values(df, fold_col) if f >= 0]:
-        train = train_rows(df, fold, fold_col)
-        k = best_k(search_k(train, vector, ks, seed)).first()["n_clusters"]
-        model = fit_kmeans(train, vector, k, seed=seed)
-        centers = [c.tolist() for c in model.clusterCenters()]
-        held_out = nearest_center(
-            validation_rows(df, fold, fold_col), vector, centers, "sqeuclidean"
-        ).agg(F.count("*").alias("n"), F.sum("distance").alias("inertia"))
-        row = held_out.first()
-        results.append((fold, k, float(model.summary.trainingCost), row["inertia"], row["n"]))
+    rules = fits.FitRules(seed=seed)
+    rows = fits.fit_table(df.where(F.col(fold_col) >= 0), vector, id_col, fold_col)
+    folds = fold_values(rows)
+    found = fits.fit_many(rows, ks, folds, starts, rules)
+    chosen = []
+    for fold in folds:
+        best = {
+            k: min((f for f in found if f.fold == fold and f.size == k), key=lambda f: f.inertia)
+            for k in sorted(set(ks))
+        }
+        sizes = list(best)
+        falls = [(best[b].inertia - best[a].inertia, b) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+        chosen.append(best[min(falls)[1] if falls else sizes[0]])
+    scored = fits.held_out_sums(rows, chosen, rules)
+    results = [
+        (f.fold, f.size, float(f.inertia), float(total), n) for f, (n, total) in zip(chosen, scored, strict=True)
+    ]
     return df.sparkSession.createDataFrame(
         results, "fold int, n_clusters int, train_inertia double, val_inertia double, n_val long"
     )

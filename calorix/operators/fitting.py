@@ -280,7 +280,9 @@ def validation_sweeps(
 
     out = {}
     for k, t in _summed(rows.select("x", "y", "fold").mapInArrow(sweep, _OUT)).items():
-        point = working_point(t[2 : 2 + bins], t[2 + bins :], thresholds.tolist())
+        # sums come from means, so a count may miss its integer by rounding
+        counts = np.rint(t[2:])
+        point = working_point(counts[:bins], counts[bins:], thresholds.tolist())
         out[k] = {"loss": float(t[1] / t[0]), **point}
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from calorix.functions.distances import distance
 from calorix.operators import clusters as cl
+from calorix.operators import fits
 from calorix.operators.compare import metric_diff
 from calorix.plans.base import query, rounded, table
 from calorix.session import collect_bounded
@@ -105,11 +106,10 @@ def _nearest_center(spark, folder):
 @query(
     "lloyd_step",
     f"""WITH {ASSIGNED},
-    n AS (SELECT cluster, i, avg(x) AS c FROM a JOIN p USING (vec_id) GROUP BY 1, 2)
-    SELECT a.cluster, count(*) AS n_samples, round(sum(sqrt(d2)), 5) AS inertia,
-      any_value(round(n1.c, 6)) AS center_0, any_value(round(n2.c, 6)) AS center_63
-    FROM a JOIN n n1 ON n1.cluster = a.cluster AND n1.i = 1
-    JOIN n n2 ON n2.cluster = a.cluster AND n2.i = 64 GROUP BY a.cluster""",
+    n AS (SELECT cluster, i, avg(x) AS c FROM a JOIN p USING (vec_id) GROUP BY 1, 2),
+    s AS (SELECT cluster, count(*) AS n_samples, round(sum(sqrt(d2)), 5) AS inertia FROM a GROUP BY cluster)
+    SELECT cluster, n_samples, inertia, (i - 1)::INTEGER AS position, round(c, 6) AS center
+    FROM s JOIN n USING (cluster)""",
 )
 def _lloyd_step(spark, folder):
     step = cl.lloyd_step(
@@ -119,10 +119,9 @@ def _lloyd_step(spark, folder):
         "cluster",
         "n_samples",
         "inertia",
-        F.get("center", F.lit(0)).alias("center_0"),
-        F.get("center", F.lit(63)).alias("center_63"),
+        F.posexplode("center").alias("position", "center"),
     )
-    return rounded(rounded(out, 5, "inertia"), 6, "center_0", "center_63")
+    return rounded(rounded(out, 5, "inertia"), 6, "center")
 
 
 def assigned_counts(spark, folder):
@@ -204,6 +203,11 @@ def _calinski_harabasz(spark, folder):
     return rounded(out, 5, "calinski_harabasz_score")
 
 
+def _center_rows(spark, centers):
+    rows = [(i, j, x) for i, c in enumerate(centers) for j, x in enumerate(c)]
+    return spark.createDataFrame(rows, "place int, position int, value double")
+
+
 @query(
     "farthest_point_init",
     """WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x
@@ -217,15 +221,13 @@ def _calinski_harabasz(spark, folder):
            ORDER BY least(d1.d, d2.d) DESC, vec_id LIMIT 1),
     c AS (SELECT 0 AS place, 0 AS vec_id UNION ALL SELECT 1, vec_id FROM c2
           UNION ALL SELECT 2, vec_id FROM c3)
-    SELECT place, embedding[1]::DOUBLE AS first_value, embedding[64]::DOUBLE AS last_value
-    FROM c JOIN embeddings USING (vec_id)""",
+    SELECT place, i::INTEGER - 1 AS position, x AS value FROM c JOIN p USING (vec_id)""",
 )
 def _farthest_point_init(spark, folder):
     centers = cl.farthest_point_init(
         table(spark, folder, "embeddings"), "embedding", "vec_id", 3, 0
     )
-    rows = [(i, c[0], c[-1]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(rows, "place int, first_value double, last_value double")
+    return _center_rows(spark, centers)
 
 
 @query("proportional_init")
@@ -233,8 +235,7 @@ def _proportional_init(spark, folder):
     centers = cl.proportional_init(
         table(spark, folder, "embeddings"), "embedding", "vec_id", 3, 0, seed=7
     )
-    rows = [(i, c[0], c[-1]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(rows, "place int, first_value double, last_value double")
+    return _center_rows(spark, centers)
 
 
 @query(
@@ -295,6 +296,36 @@ def _search_k(spark, folder):
     return cl.search_k(table(spark, folder, "embeddings"), "embedding", [2, 3, 4], max_iter=10)
 
 
+@query(
+    "fold_single_cluster",
+    """WITH p AS (SELECT vec_id % 3 AS fold, vec_id, generate_subscripts(embedding, 1) AS i,
+                   unnest(embedding)::DOUBLE AS x FROM embeddings),
+    f AS (SELECT unnest([0, 1, 2]) AS f),
+    m AS (SELECT f, i, avg(x) AS m FROM p JOIN f ON fold <> f GROUP BY f, i)
+    SELECT f AS fold, 1 AS n_clusters, round(sum(pow(x - m, 2)) FILTER (fold <> f), 4) AS train_inertia,
+      round(sum(pow(x - m, 2)) FILTER (fold = f), 4) AS val_inertia, count(DISTINCT vec_id) FILTER (fold = f) AS n_val
+    FROM p JOIN m USING (i) GROUP BY f""",
+)
+def _fold_single_cluster(spark, folder):
+    """With one cluster a fit has a known end: the mean of the training rows."""
+    rows = table(spark, folder, "embeddings").withColumn("fold", F.col("vec_id") % 3)
+    found = cl.kfold_search(rows, "embedding", [1], id_col="vec_id")
+    return rounded(found, 4, "train_inertia", "val_inertia")
+
+
+@query(
+    "candidate_starts",
+    """SELECT fold, n::BIGINT AS n_rows, 33::BIGINT AS n_candidates, 1 AS nearest_is_own
+    FROM (SELECT unnest([0, 1, 2]) AS fold) f, LATERAL (SELECT count(*) AS n FROM embeddings WHERE vec_id % 3 <> fold)""",
+)
+def _candidate_starts(spark, folder):
+    """Weights of the candidates add up to the fold's rows; every candidate is a row and nearest to itself."""
+    rows = fits.fit_table(table(spark, folder, "embeddings").withColumn("fold", F.col("vec_id") % 3), "embedding", "vec_id", "fold")
+    held = fits.candidates(rows, [0, 1, 2], 4, fits.FitRules())
+    out = [(f, int(w.sum()), len(c), int(w.min() > 0)) for f, (c, w) in held.items()]
+    return spark.createDataFrame(out, "fold int, n_rows long, n_candidates long, nearest_is_own int")
+
+
 @query("kfold_kmeans")
 def _kfold_kmeans(spark, folder):
     rows = table(spark, folder, "embeddings").withColumn("fold", F.col("vec_id") % 3 - 1)
