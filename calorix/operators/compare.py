@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calorix.functions.stats import EXACT_LIMIT, two_sided_normal, two_sided_rank_sum
 from calorix.operators.ordering import with_running_totals
 from calorix.session import few
 
@@ -219,12 +220,22 @@ def signed_rank_counts(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Wilcoxon signed-rank statistic of paired values with its normal approximation.
+    """Wilcoxon signed-rank test of paired values, as one row.
 
     Equal differences share the average of their ranks, found from cumulative counts of the
-    distinct sizes; zero differences are dropped. One row; ``z`` carries the tie correction.
+    distinct sizes; zero differences are dropped. ``z`` carries the tie correction. ``p_value`` is
+    two-sided: from the exact distribution for at most 50 differences without ties and zeros, else
+    from ``z``; NULL without differences.
     """
-    counts = signed_rank_counts(df, x, y).withColumn("_c", F.col("n_pos") + F.col("n_neg"))
+    d = F.col(x).cast("double") - F.col(y).cast("double")
+    counts = df.select(d.alias("_d")).where(F.col("_d").isNotNull() & ~F.isnan("_d")).groupBy(
+        F.abs("_d").alias("size")
+    ).agg(
+        F.count_if(F.col("_d") > 0).alias("n_pos"),
+        F.count_if(F.col("_d") < 0).alias("n_neg"),
+        F.count_if(F.col("_d") == 0).alias("n_zero"),
+    )
+    counts = counts.withColumn("_c", F.col("n_pos") + F.col("n_neg"))
     ranked = with_running_totals(counts, ["size"], {"_c": "_upto"})
     c = F.col("_c").cast("double")
     rank = F.col("_upto") - c + (c + 1) / 2
@@ -233,12 +244,17 @@ def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
         F.coalesce(F.sum(rank * F.col("n_pos")), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum(rank * F.col("n_neg")), F.lit(0.0)).alias("w_minus"),
         F.coalesce(F.sum(c * c * c - c), F.lit(0.0)).alias("_ties"),
+        F.coalesce(F.sum("n_zero"), F.lit(0)).alias("_zeros"),
     )
     n = F.col("n").cast("double")
     statistic = F.least("w_plus", "w_minus")
     variance = (n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24
     z = F.when(variance > 0, (statistic - n * (n + 1) / 4) / F.sqrt(variance))
-    return sums.select("n", "w_plus", "w_minus", statistic.alias("statistic"), z.alias("z"))
+    tested = sums.select("*", statistic.alias("statistic"), z.alias("z"))
+    plain = (F.col("_ties") == 0) & (F.col("_zeros") == 0)
+    exact = two_sided_rank_sum(F.col("n"), F.col("statistic"))
+    p_value = F.when(plain & (F.col("n") <= EXACT_LIMIT), exact).otherwise(two_sided_normal(F.col("z")))
+    return tested.select("n", "w_plus", "w_minus", "statistic", "z", p_value.alias("p_value"))
 
 
 def normal_p_value(z: float) -> float:

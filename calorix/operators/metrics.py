@@ -164,17 +164,38 @@ def exact_roc(df: DataFrame, y: str, score: str) -> DataFrame:
     )
 
 
+def score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Positives and negatives of every distinct score: ``threshold, _pos, _neg``. Counts of parts of
+    the samples add up, and the exact curve, its area, the largest SP and the cross entropy all follow
+    from them. Rows without a score are left out."""
+    return (
+        df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+        .groupBy(F.col(score).cast("double").alias("threshold"))
+        .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
+    )
+
+
 def exact_max_sp(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the exact curve and its working point of the largest SP, as one row.
+    """Area under the exact curve and its working point of the largest SP, as one row."""
+    return max_sp_of_counts(score_counts(df, y, score))
+
+
+def loss_of_counts(counts: DataFrame) -> DataFrame:
+    """Rows, summed and mean binary cross entropy from :func:`score_counts`."""
+    p = F.col("threshold")
+    loss = F.col("_pos") * cross_entropy(F.lit(1.0), p) + F.col("_neg") * cross_entropy(F.lit(0.0), p)
+    total = counts.agg(
+        F.coalesce(F.sum(F.col("_pos") + F.col("_neg")), F.lit(0)).alias("n_samples"), F.sum(loss).alias("sum_loss")
+    )
+    return total.withColumn("mean_loss", F.try_divide("sum_loss", "n_samples"))
+
+
+def max_sp_of_counts(counts: DataFrame) -> DataFrame:
+    """Area and working point of the exact curve from :func:`score_counts`.
 
     The strip that a distinct score adds follows from its own counts and the totals up to it, so the
     area is a plain sum over the scores and no neighbour is looked up.
     """
-    counts = (
-        df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-        .groupBy(F.col(score).cast("double").alias("threshold"))
-        .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
-    )
     summed = with_running_totals(counts, [F.desc("threshold")], {"_pos": "tp", "_neg": "fp"})
     totals = counts.agg(
         F.coalesce(F.sum("_pos"), F.lit(0)).alias("p"),

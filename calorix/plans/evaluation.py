@@ -136,9 +136,7 @@ def _exact_roc(spark, folder):
     return rounded(curve, 6, "threshold", "tpr", "fpr")
 
 
-@query(
-    "exact_max_sp",
-    f"""WITH s AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, {SCORE} AS threshold
+EXACT_MAX_SP_SQL = f"""WITH s AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, {SCORE} AS threshold
                    FROM lineitem),
     g AS (SELECT threshold, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n
           FROM s GROUP BY 1),
@@ -154,8 +152,15 @@ def _exact_roc(spark, folder):
       round(fpr, 6) AS max_sp_fpr, round(tpr, 6) AS max_sp_tpr, tp AS max_sp_tp,
       nn - fp AS max_sp_tn, fp AS max_sp_fp, pp - tp AS max_sp_fn,
       round(threshold, 6) AS max_sp_thresh, (SELECT round(sum(strip), 6) FROM a) AS roc_auc
-    FROM a QUALIFY row_number() OVER (ORDER BY sp DESC, threshold DESC) = 1""",
-)
+    FROM a QUALIFY row_number() OVER (ORDER BY sp DESC, threshold DESC) = 1"""
+#: The same row with the cross entropy of all samples.
+EXACT_POINT_SQL = f"""SELECT p.*, l.* FROM ({EXACT_MAX_SP_SQL}) p,
+    (SELECT count(*) AS n_samples, round(sum(b), 6) AS sum_loss, round(avg(b), 6) AS mean_loss FROM (
+      SELECT CASE WHEN l_returnflag = 'R' THEN -greatest(ln(greatest({SCORE}, 1e-300)), -100)
+        ELSE -greatest(ln(greatest(1 - {SCORE}, 1e-300)), -100) END AS b FROM lineitem)) l"""
+
+
+@query("exact_max_sp", EXACT_MAX_SP_SQL)
 def _exact_max_sp(spark, folder):
     out = me.exact_max_sp(scored_lines(spark, folder), "y", "score")
     return rounded(

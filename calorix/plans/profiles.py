@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from calorix.operators import compare, profile
 from calorix.operators.metrics import trapezoid_area
+from calorix.session import collect_bounded
 from calorix.plans.base import eta, eta_sql, phi, phi_sql, query, rounded, table
 from calorix.plans.samples import prediction_pair
 from calorix.schemas import LEGAL_RING_SIZES
@@ -425,17 +426,29 @@ def _trapezoid(spark, folder):
 
 
 WILCOXON_SQL = """
-WITH d AS (SELECT {diff} AS d FROM {source}),
+WITH RECURSIVE d AS (SELECT {diff} AS d FROM {source}),
 c AS (SELECT abs(d) AS size, count(*) FILTER (d > 0) AS p, count(*) FILTER (d < 0) AS m,
         count(*) AS c FROM d WHERE d <> 0 GROUP BY 1),
 r AS (SELECT *, sum(c) OVER (ORDER BY size) - c + (c + 1) / 2 AS rank FROM c),
 s AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, coalesce(sum(rank * p), 0)::DOUBLE AS w_plus,
         coalesce(sum(rank * m), 0)::DOUBLE AS w_minus,
-        sum(c::DOUBLE * c * c - c) AS ties FROM r)
-SELECT n, w_plus, w_minus, least(w_plus, w_minus) AS statistic,
-  round((least(w_plus, w_minus) - n * (n + 1.0) / 4)
-    / sqrt((n::DOUBLE * (n + 1) * (2 * n + 1) - ties / 2) / 24), 6) AS z
-FROM s
+        sum(c::DOUBLE * c * c - c) AS ties, (SELECT count(*) FROM d WHERE d = 0) AS zeros FROM r),
+t AS (SELECT *, least(w_plus, w_minus) AS statistic, (least(w_plus, w_minus) - n * (n + 1.0) / 4)
+    / sqrt((n::DOUBLE * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM s),
+signs AS (
+    SELECT 0 AS k, 0 AS total, 1::DOUBLE AS ways WHERE (SELECT n <= 50 AND ties = 0 AND zeros = 0 FROM s)
+    UNION ALL
+    SELECT k + 1, total + CASE WHEN plus THEN k + 1 ELSE 0 END, sum(ways)
+    FROM (SELECT DISTINCT k, total, ways FROM signs WHERE k < (SELECT n FROM s)), (VALUES (true), (false)) b(plus)
+    GROUP BY 1, 2),
+p AS (
+    SELECT *, abs(z) / sqrt(2.0) AS x, (SELECT 2 * sum(ways) / pow(2.0, n) FROM signs WHERE k = n AND total <= statistic)
+      AS exact FROM t)
+SELECT n, w_plus, w_minus, statistic, round(z, 6) AS z,
+  round(CASE WHEN n <= 50 AND ties = 0 AND zeros = 0 THEN least(1, exact) WHEN x > 7 THEN 0 ELSE greatest(0, 1 - 2 / sqrt(pi())
+    * exp(-x * x) * list_sum(list_transform(range(0, 300), lambda i: exp(2 * i * ln(2.0) + (2 * i + 1) * ln(greatest(x, 1e-300))
+      + lgamma(i + 1.0) - lgamma(2.0 * i + 2))))) END, 6) + 0.0::DOUBLE AS p_value
+FROM p
 """
 
 
@@ -450,7 +463,7 @@ FROM s
 def _wilcoxon(spark, folder):
     left, right = prediction_pair(spark, folder)
     pairs = left.join(right.withColumnRenamed("predicted_label", "other"), "o_orderkey")
-    return rounded(compare.wilcoxon(pairs, "predicted_label", "other"), 6, "z")
+    return rounded(compare.wilcoxon(pairs, "predicted_label", "other"), 6, "z", "p_value")
 
 
 @query(
@@ -459,13 +472,33 @@ def _wilcoxon(spark, folder):
 )
 def _wilcoxon_values(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn("other", F.col("l_suppkey") * 20)
-    return rounded(compare.wilcoxon(lines, "l_partkey", "other"), 6, "z")
+    return rounded(compare.wilcoxon(lines, "l_partkey", "other"), 6, "z", "p_value")
+
+
+@query(
+    "wilcoxon_daily",
+    WILCOXON_SQL.format(
+        diff="a - b",
+        source="(SELECT CAST(epoch(ts) AS BIGINT) // 86400 AS day, sum(round(value * 100)::BIGINT) FILTER (event_type = 'click')"
+        " AS a, sum(round(value * 100)::BIGINT) FILTER (event_type = 'view') AS b FROM events GROUP BY 1)",
+    ),
+)
+def _wilcoxon_daily(spark, folder):
+    """Daily totals of two kinds of events, few enough days for the exact distribution."""
+    day = F.floor(F.unix_timestamp("ts") / 86400).alias("day")
+    cents = F.round(F.col("value") * 100).cast("long")
+    of = {kind: F.sum(F.when(F.col("event_type") == kind, cents)) for kind in ("click", "view")}
+    daily = table(spark, folder, "events").groupBy(day).agg(*[total.alias(kind) for kind, total in of.items()])
+    return rounded(compare.wilcoxon(daily, "click", "view"), 6, "z", "p_value")
 
 
 @query(
     "training_history",
     """SELECT CAST(epoch(ts) AS BIGINT) // 86400 AS day,
          round(avg(value) FILTER (event_type = 'click'), 5) AS click,
+         round(avg(value) FILTER (event_type = 'error'), 5) AS error,
+         round(avg(value) FILTER (event_type = 'purchase'), 5) AS purchase,
+         round(avg(value) FILTER (event_type = 'signup'), 5) AS signup,
          round(avg(value) FILTER (event_type = 'view'), 5) AS view,
          round(avg(value) FILTER (event_type = 'view') - avg(value) FILTER (event_type = 'click'), 5)
            AS gap
@@ -475,8 +508,9 @@ def _training_history(spark, folder):
     events = table(spark, folder, "events").withColumn(
         "day", F.floor(F.unix_timestamp("ts") / 86400)
     )
-    out = compare.training_history(events, "day", "event_type", "value", ["click", "view"])
-    return rounded(compare.with_gap(out, "click", "view"), 5, "click", "view", "gap")
+    kinds = sorted(r[0] for r in collect_bounded(events.select("event_type").distinct(), 100, "kinds"))
+    out = compare.training_history(events, "day", "event_type", "value", kinds)
+    return rounded(compare.with_gap(out, "click", "view"), 5, *kinds, "gap")
 
 
 @query(
