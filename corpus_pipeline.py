@@ -16,8 +16,8 @@ from calorix.llm.contamination import decontaminate
 from calorix.llm.jaccard_join import similar_documents
 from calorix.llm.packing import pack_documents, public_vocabulary
 from calorix.llm.quality_rules import quality_verdicts
-from calorix.llm.substring_dedup import remove_strings
-from calorix.session import durable
+from calorix.llm.substring_dedup import StringRules, remove_strings
+from calorix.session import durable, few
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,37 +29,59 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; texts without words all stay.
+    """One document of each component of similar texts; texts without words all stay.
 
-    Rows with a null id stay, as no id tells them apart; of rows that share the smallest id all stay.
+    It is the one with the smallest id (a null id comes last), among rows of one id that of the
+    smallest hash. Rows are told apart by a 64-bit hash of id and text, so rows that share an id but not
+    a text are judged each for itself, and of rows equal in both one stays.
     """
-    found = similar_documents(docs)
-    go = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    go = durable(go, "near-duplicates")
-    held = docs.select(F.struct("*").alias("row"))
-    return held.join(go, F.col("row.doc_id") == F.col("_gone"), "left_anti").select("row.*")
+    key = F.xxhash64("doc_id", "text")
+    found = similar_documents(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("k"), "component_id").agg(F.count("*").alias("rows"))
+    found = durable(found, "near-duplicate-keys")
+    named = found.join(docs.select(key.alias("k"), "doc_id").distinct(), "k")
+    first = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "k")
+    least = named.groupBy("component_id").agg(F.min(first).alias("first"), F.count("*").alias("n"))
+    least = few(least.where("n > 1").select("component_id", F.col("first.k").alias("stays")), "near-duplicate-firsts")
+    go = found.join(least, "component_id").where("k != stays").select("k")
+    held = docs.select(F.struct("*").alias("row"), key.alias("k"))
+    left = held.join(few(go, "near-duplicates"), "k", "left_anti")
+    repeated = few(found.where("rows > 1").select("k"), "repeated-rows")
+    if not repeated.limit(1).count():
+        return left.select("row.*")
+    one = left.join(repeated, "k", "left_semi").groupBy("k").agg(F.first("row").alias("row"))
+    others = left.join(repeated, "k", "left_anti")
+    return others.select("row").unionByName(one.select("row")).select("row.*")
+
+
+#: A passage of 50 words rarely has fewer bytes; the query ``op5`` keeps the contract's 400.
+REPEATED = StringRules(size=200)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the byte strings that occur elsewhere; ``n_chars`` follows the text.
+    """All documents without the strings of 200 bytes that occur elsewhere; ``n_chars`` follows the text.
 
-    A cut inside a character drops the rest of that character; null texts stay null.
+    In running text 200 bytes are some 35 words, so every passage of over 50 words that repeats goes,
+    unless its words are shorter than three bytes. A cut inside a character drops the rest of that
+    character; null texts stay null.
     """
     own = [c for c in docs.columns if c != "text"]
-    was_null = F.col("text").isNull().alias("_was_null")
-    marked = docs.withColumn("_was_null", was_null)
-    cut = remove_strings(marked, carry=[*own, "_was_null"], as_text=True)
-    changed = cut.withColumn("text", F.when(~F.col("row._was_null"), F.col("kept")))
+    # the columns of the documents inside one struct, so none of them can clash with the flag
+    marked = docs.select(
+        "doc_id", "text", F.struct(*own).alias("own"), F.col("text").isNull().alias("was_null")
+    )
+    cut = remove_strings(marked, rules=REPEATED, carry=["own", "was_null"], as_text=True)
+    text = F.when(~F.col("row.was_null"), F.col("kept"))
     columns = []
     for name, kind in docs.dtypes:
         if name == "text":
-            columns.append(F.col("text"))
+            columns.append(text.alias("text"))
         elif name == "n_chars":
-            n = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))
+            n = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row.own.n_chars"))
             columns.append(n.cast(kind).alias("n_chars"))
         else:
-            columns.append(F.col("row")[name].alias(name))
-    return changed.select(*columns)
+            columns.append(F.col("row.own")[name].alias(name))
+    return cut.select(*columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
