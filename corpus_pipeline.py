@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from calorix.llm.base import Query, table
 from calorix.llm.contamination import decontaminate
-from calorix.llm.jaccard_join import similar_documents
+from calorix.llm.jaccard_join import JoinRules, similar_documents
 from calorix.llm.packing import pack_documents, public_vocabulary
 from calorix.llm.quality_rules import quality_verdicts
 from calorix.llm.substring_dedup import StringRules, remove_strings
@@ -28,6 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select("row.*")
 
 
+#: Shingles that a task gathers: workers keep their memory for the later stages.
+SIMILAR = JoinRules(flush=1_000_000)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar texts; texts without words all stay.
 
@@ -36,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     a text are judged each for itself, and of rows equal in both one stays.
     """
     key = F.xxhash64("doc_id", "text")
-    found = similar_documents(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
+    found = similar_documents(docs.select(key.alias("doc_id"), "text"), rules=SIMILAR).where("n_shingles > 0")
     found = found.groupBy(F.col("doc_id").alias("k"), "component_id").agg(F.count("*").alias("rows"))
     found = durable(found, "near-duplicate-keys")
     named = found.join(docs.select(key.alias("k"), "doc_id").distinct(), "k")
