@@ -207,7 +207,25 @@ def remove_phrases(
     return near.applyInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
-@query("op9_substring_dedup")
+#: Words of every text, windows of 35 words that start twice, and the words outside all of them.
+SQL = """
+WITH texts AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w FROM documents),
+    starts AS MATERIALIZED (
+        SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s
+        FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM texts WHERE len(w) >= 35)),
+    again AS (SELECT s FROM starts GROUP BY s HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM starts SEMI JOIN again USING (s)),
+    lost AS (SELECT r, list(i) AS places FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(CASE WHEN places IS NULL THEN w
+        ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM texts LEFT JOIN lost USING (r)
+"""
+
+
+@query("op9_substring_dedup", SQL)
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What every document loses of its repeated passages."""
     docs = table(spark, folder, "documents").select("doc_id", "text")

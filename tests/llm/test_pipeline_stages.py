@@ -29,7 +29,7 @@ def test_many_equal_rows_leave_one(spark):
 
 @pytest.mark.parametrize(("size", "goes"), [(20, False), (51, True), (60, True), (120, True)])
 def test_passages_of_over_fifty_words_go(spark, size, goes):
-    passage = " ".join(words(("p", size).__repr__(), size, 90))
+    passage = " ".join(words(f"p{size}", size))
     rows = [(k, " ".join(words(f"left{k}", 70)) + " " + passage + " " + " ".join(words(f"right{k}", 70))) for k in range(6)]
     rows += [(10, " ".join(words("clean", 150))), (11, None), (12, "")]
     left = {r["doc_id"]: r for r in cp.repeated_strings(spark, frame(spark, rows, ["_was_null", "was_null", "own", "kept"]), "").collect()}
