@@ -5,8 +5,8 @@ are fitted to some of them, and the documents are sorted into shards by topic an
 their heaviest terms by BM25 over the corpus, so related ones lie together; a topic or key of any
 size is cut over shards. A shard holds a BM25 index of its documents, weighted by the counts of the
 corpus; neighbours in other shards are not seen (the README has their share):
-each seed document, the longest first, asks it for its unused neighbours, which greedily fill the
-seed's window; the neighbour that no longer fits is cut, and its rest stays unused. So every
+each seed document, the longest first, asks it for its unused neighbours, which fill the seed's
+window in the order of their scores; the one that no longer fits is cut, and its rest stays unused. So every
 window is full; what is left at the end of a shard is cut at powers of two.
 """
 
@@ -20,13 +20,14 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorix.llm.base import query, shard_count, table
-from calorix.llm.text import CHUNK, text_bytes
+from calorix.llm.text import CHUNK, mix, ranges, text_bytes
 from calorix.session import collect_bounded, durable
 
 
@@ -34,8 +35,8 @@ from calorix.session import collect_bounded, durable
 class PackRules:
     """window: tokens of a sequence; end_id: added to every document; shard_bytes: text of a shard;
     topics, topic_rows, topic_width: number of topics, documents they are fitted to, size of their
-    vectors; key_terms: terms of a lexical key; k1, b: of BM25; memo: words whose ids a task
-    remembers."""
+    vectors; key_terms: terms of a lexical key; border_rows: documents a shard that its borders are
+    drawn from; k1, b: of BM25; memo: words whose ids a task remembers."""
 
     window: int = 4096
     end_id: int = 2
@@ -44,6 +45,7 @@ class PackRules:
     topic_rows: int = 8_000
     topic_width: int = 256
     key_terms: int = 4
+    border_rows: int = 64
     k1: float = 1.2
     b: float = 0.75
     memo: int = 800_000
@@ -172,10 +174,10 @@ def token_ids(
                 lo = hi
 
     texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
     )
-    return texts.mapInArrow(run, "doc_id long, ids binary")
+    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, ids binary")
 
 
 @dataclass(frozen=True)
@@ -228,27 +230,46 @@ def _weights(tf: np.ndarray, terms: np.ndarray, lengths: np.ndarray, corpus: Cor
     return np.log1p((corpus.n - df + 0.5) / (df + 0.5)) * tf * (rules.k1 + 1) / (tf + norm)
 
 
-def lexical_keys(docs: list[np.ndarray], corpus: Corpus, rules: PackRules) -> list[bytes]:
-    """The heaviest terms of every document that another one holds too, as bytes in their order."""
-    doc, terms, tf = _postings(docs)
-    weight = _weights(tf, terms, np.array([len(d) for d in docs])[doc], corpus, rules)
-    kept = corpus.df[terms] > 1
-    doc, terms, weight = doc[kept], terms[kept], weight[kept]
-    order = np.lexsort((terms, -weight, doc))
-    first = np.searchsorted(doc, np.arange(len(docs) + 1))
-    heavy = terms[order].astype(">u4")
-    return [heavy[a : min(b, a + rules.key_terms)].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+def lexical_keys(docs: list[np.ndarray], corpus: Corpus, rules: PackRules) -> np.ndarray:
+    """The heaviest terms of every document that another one holds too, plus 1, in a row of
+    ``key_terms``: the heaviest first, the smaller of equals; 0 where there are no more."""
+    return _keys(*_weighted(docs, corpus, rules), len(docs), corpus, rules)
 
 
-def _vectors(docs: list[np.ndarray], corpus: Corpus, rules: PackRules) -> np.ndarray:
-    """BM25 weights of the terms, hashed to ``topic_width`` places with signs, of length 1."""
+def _weighted(docs: list[np.ndarray], corpus: Corpus, rules: PackRules) -> tuple[np.ndarray, ...]:
+    """Document, term and weight."""
     doc, terms, tf = _postings(docs)
-    weight = _weights(tf, terms, np.array([len(d) for d in docs])[doc], corpus, rules)
+    return doc, terms, _weights(tf, terms, np.array([len(d) for d in docs])[doc], corpus, rules)
+
+
+def _keys(
+    doc: np.ndarray, terms: np.ndarray, weight: np.ndarray, n: int, corpus: Corpus, rules: PackRules
+) -> np.ndarray:
+    kept = corpus.df[terms] > 1
+    doc, terms, weight = doc[kept], terms[kept], weight[kept]
+    out = np.zeros((n, rules.key_terms), np.int64)
+    if not len(doc):
+        return out
+    held, first = np.unique(doc, return_index=True)
+    sizes = np.diff(np.append(first, len(doc)))
+    for k in range(rules.key_terms):
+        most = np.maximum.reduceat(weight, first)
+        hit = np.flatnonzero(weight == np.repeat(most, sizes))
+        hit = hit[np.searchsorted(hit, first)]
+        out[held, k] = np.where(most > 0, terms[hit] + 1, 0)
+        weight[hit] = 0
+    return out
+
+
+def _vectors(
+    doc: np.ndarray, terms: np.ndarray, weight: np.ndarray, n: int, rules: PackRules
+) -> np.ndarray:
+    """Weights of the terms, hashed to ``topic_width`` places with signs, of length 1."""
     mixed = terms * 2654435761 % (1 << 32)
     place = (mixed >> 8) % rules.topic_width
     sign = np.where(mixed >> 31, 1, -1)
-    shape = len(docs), rules.topic_width
-    held = np.bincount(doc * shape[1] + place, weight * sign, shape[0] * shape[1]).reshape(shape)
+    shape = n, rules.topic_width
+    held = np.bincount(doc * shape[1] + place, weight * sign, n * shape[1]).reshape(shape)
     return held / np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-9)
 
 
@@ -261,7 +282,8 @@ def fit_topics(ids: DataFrame, corpus: Corpus, kind: np.dtype, rules: PackRules)
     rows = some.orderBy("h").limit(rules.topic_rows).collect()
     if not rows:
         return np.zeros((1, rules.topic_width))
-    points = _vectors([np.frombuffer(r.rest, kind).astype(np.int64) for r in rows], corpus, rules)
+    docs = [np.frombuffer(r.rest, kind).astype(np.int64) for r in rows]
+    points = _vectors(*_weighted(docs, corpus, rules), len(docs), rules)
     centres = points[: rules.topics]  # in the order of a hash
     for _ in range(8):
         near = (points @ centres.T).argmax(1)
@@ -275,31 +297,75 @@ def fit_topics(ids: DataFrame, corpus: Corpus, kind: np.dtype, rules: PackRules)
     return centres[chain]
 
 
+def _places(
+    ids: pa.Array, corpus: Corpus, topics: np.ndarray, kind: np.dtype, salt: np.ndarray, rules: PackRules
+) -> np.ndarray:
+    """Where documents stand in the order of topic, lexical key and salt: bytes to be compared."""
+    docs = _rests(ids, kind, rules.window)
+    held = _weighted(docs, corpus, rules)
+    topic = (_vectors(*held, len(docs), rules) @ topics.T).argmax(1)
+    parts = [topic.astype(">u2"), _keys(*held, len(docs), corpus, rules).astype(">u4"), salt.astype(">u8")]
+    width = 2 + 4 * rules.key_terms + 8
+    rows = [np.ascontiguousarray(x).view(np.uint8).reshape(len(docs), -1) for x in parts]
+    return np.ascontiguousarray(np.hstack(rows)).view(f"S{width}").ravel()
+
+
+def _salts(n: int, row: int) -> np.ndarray:
+    """A number for each of the task's rows from ``row`` on, so that equal documents are spread."""
+    return mix(np.arange(row, row + n, dtype=np.uint64) + (np.uint64(TaskContext.get().partitionId()) << np.uint64(40)))
+
+
 def in_shards(ids: DataFrame, corpus: Corpus, kind: np.dtype, shards: int, rules: PackRules) -> DataFrame:
-    """``shard, doc_id, ids``, a shard a partition, by topic and lexical key; equal rows are spread."""
-    topics = fit_topics(ids, corpus, kind, rules)
-    sent = ids.sparkSession.sparkContext.broadcast((corpus, topics))
+    """``shard, doc_id, ids``, a shard a partition, by topic and lexical key; equal rows are spread.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Shards are ranges of about the same number of bytes. Their borders come from some
+    ``border_rows`` documents a shard; every document is then placed between them.
+    """
+    context = ids.sparkSession.sparkContext
+    sent = context.broadcast((corpus, fit_topics(ids, corpus, kind, rules)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        row = 0
         for batch in batches:
             corpus, topics = sent.value
-            docs = _rests(batch.column(1), kind, rules.window)
-            topic = (_vectors(docs, corpus, rules) @ topics.T).argmax(1)
-            keys = lexical_keys(docs, corpus, rules)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(topic), pa.array(keys, pa.binary())],
-                names=["doc_id", "ids", "topic", "key"],
-            )
-
-    keyed = ids.mapInArrow(run, "doc_id long, ids binary, topic long, key binary")
-    salt = F.xxhash64(F.monotonically_increasing_id())
-    return keyed.repartitionByRange(shards, "topic", "key", salt).select(
-        F.spark_partition_id().alias("shard"), "doc_id", "ids"
-    )
+            salt = _salts(len(batch), row)
+            row += len(batch)
+            yield batch, _places(batch.column(1), corpus, topics, kind, salt, rules)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, place in placed(batches):
+            size = pc.binary_length(batch.column(1)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(place.tolist(), pa.binary()), size], names=["place", "size"])
+
+    borders = np.zeros(0, "S1")
+    if shards > 1:
+        most = rules.border_rows * shards
+        h = F.xxhash64(F.monotonically_increasing_id())
+        some = ids.where(F.pmod(h, F.lit(max(1, corpus.n // most))) == 0)
+        rows = collect_bounded(some.mapInArrow(sample, "place binary, size long"), 4 * most + 1000, "borders")
+        place = np.array([bytes(r[0]) for r in rows], f"S{2 + 4 * rules.key_terms + 8}")
+        order = np.argsort(place, kind="stable")
+        size = np.cumsum(np.array([r[1] for r in rows], np.int64)[order])
+        if len(order):
+            share = np.arange(1, shards) * (size[-1] / shards)
+            borders = place[order][np.minimum(np.searchsorted(size, share), len(order) - 1)]
+    cuts = context.broadcast(borders)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, place in placed(batches):
+            shard = np.searchsorted(cuts.value, place, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", "doc_id", "ids"])
+
+    kept = dict(ids.dtypes)["doc_id"]
+    return ids.mapInArrow(deal, f"shard int, doc_id {kept}, ids binary").repartitionById(shards, "shard")
 
 
 class Neighbours:
-    """BM25 index of a shard's documents, by the counts of ``corpus`` or else of the shard."""
+    """Inverted BM25 index of documents, by the counts of ``corpus`` or else of these documents.
+
+    Each term has a list of documents and weights. A seed reads the lists of its own terms; those
+    that hold over an eighth of the documents are rows of a matrix, which it sums by a product.
+    """
 
     def __init__(self, docs: list[np.ndarray], rules: PackRules, corpus: Corpus | None = None):
         lengths = np.array([len(d) for d in docs])
@@ -309,24 +375,61 @@ class Neighbours:
         weight = _weights(tf, terms, lengths[doc], corpus, rules)
         # a term of one document here finds nothing
         shared = df[terms] > 1
-        self.doc, self.terms, self.weight = doc[shared], terms[shared], weight[shared]
-        self.first = np.searchsorted(self.doc, np.arange(len(docs) + 1))
-        self.asked = np.zeros(len(df), bool)
-        self.n = len(docs)
+        number = np.cumsum(df > 1) - 1
+        self.members = self.place = np.arange(len(docs))
+        self._fill(doc[shared], number[terms[shared]], weight[shared])
+
+    def _fill(self, doc: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
+        n = len(self.members)
+        df = np.bincount(terms, minlength=1)
+        self.doc, self.terms, self.own_weight = doc, terms, weight
+        self.first = np.searchsorted(doc, np.arange(n + 1))
+        wide = 8 * df > n
+        self.row = np.where(wide, np.cumsum(wide) - 1, -1)
+        held = wide[terms]
+        self.matrix = np.zeros((int(wide.sum()), n))
+        self.matrix[self.row[terms[held]], doc[held]] = weight[held]
+        doc, terms, weight = doc[~held], terms[~held], weight[~held]
+        order = np.argsort(terms.astype(np.uint16) if len(df) <= 1 << 16 else terms, kind="stable")
+        self.listed, self.weight = doc[order], weight[order]
+        self.at = np.concatenate([[0], np.cumsum(np.where(wide, 0, df))])
+
+    def among(self, unused: np.ndarray) -> Neighbours:
+        """The same index of its unused documents only."""
+        kept = unused[self.members]
+        out = object.__new__(Neighbours)
+        out.members = self.members[kept]
+        out.place = np.full(len(unused), -1)
+        out.place[out.members] = np.arange(len(out.members))
+        held = kept[self.doc]
+        number = np.cumsum(kept) - 1
+        out._fill(number[self.doc[held]], self.terms[held], self.own_weight[held])
+        return out
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of every document with all terms of the seed."""
-        own = self.terms[self.first[seed] : self.first[seed + 1]]
-        self.asked[own] = True
-        found = np.bincount(self.doc, self.weight * self.asked[self.terms], self.n)
-        self.asked[own] = False
-        return found
-
-    def of(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a common term, the best match first."""
+        """Of every member with all terms of the seed."""
+        at = self.place[seed]
+        own = self.terms[self.first[at] : self.first[at + 1]]
+        rows = self.row[own]
+        asked = np.zeros(len(self.matrix))
+        asked[rows[rows >= 0]] = 1
+        own = own[rows < 0]
+        some = ranges(self.at[own], self.at[own + 1] - self.at[own])
+        return asked @ self.matrix + np.bincount(self.listed[some], self.weight[some], len(self.members))
+
+    def of(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents with a common term, the best match first, the first of equals."""
         score = self.scores(seed)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        score[~unused[self.members]] = 0
+        many, done = 64, 0
+        while True:
+            least = -np.partition(-score, many)[many] if many < len(score) else 0.0
+            top = np.flatnonzero((score >= least) & (score > 0))
+            top = top[np.argsort(-score[top], kind="stable")]
+            yield from self.members[top[done:]].tolist()
+            if least <= 0:
+                return
+            many, done = 8 * many, len(top)
 
 
 def pack_shard(
@@ -340,40 +443,36 @@ def pack_shard(
         while left[d] >= window:
             pieces.append((int(d), int(start[d]), window, sequence, 0))
             start[d], left[d], sequence = start[d] + window, left[d] - window, sequence + 1
-    index = Neighbours([x[s:] for x, s in zip(docs, start, strict=True)], rules, corpus)
+    index = Neighbours([x[s:].astype(np.int64) for x, s in zip(docs, start, strict=True)], rules, corpus)
     unused = left > 0
-    seeds = np.argsort(-left, kind="stable")
+    seeds = np.argsort(-left, kind="stable").tolist()
     total, at = int(left.sum()), 0
+    start, left = start.tolist(), left.tolist()
 
     def put(d: int, size: int, offset: int) -> None:
-        pieces.append((int(d), int(start[d]), int(size), sequence, offset))
+        pieces.append((d, start[d], size, sequence, offset))
         start[d], left[d] = start[d] + size, left[d] - size
         unused[d] = left[d] > 0
 
     while total >= window:
         while not unused[seeds[at]]:
             at += 1
-        seed, used = seeds[at], 0
-        put(seed, left[seed], 0)
-        used, passed = int(pieces[-1][2]), -1
+        if 4 * np.count_nonzero(unused) < 3 * len(index.members):
+            index = index.among(unused)
+        seed, used = seeds[at], left[seeds[at]]
+        put(seed, used, 0)
         for d in index.of(seed, unused):
+            size = min(left[d], window - used)
+            put(d, size, used)
+            used += size
             if used == window:
                 break
-            if left[d] <= window - used:
-                size = int(left[d])
-                put(d, size, used)
-                used += size
-            elif passed < 0:
-                passed = d
-        if used < window and passed >= 0:
-            put(passed, window - used, used)
-            used = window
         rest = at
         while used < window:
             # nothing left that shares a term: the next documents in order
             while not unused[seeds[rest]]:
                 rest += 1
-            size = min(int(left[seeds[rest]]), window - used)
+            size = min(left[seeds[rest]], window - used)
             put(seeds[rest], size, used)
             used += size
         total -= window
@@ -382,7 +481,7 @@ def pack_shard(
     size, used = 1 << max(0, total.bit_length() - 1), 0
     for d in seeds:
         while unused[d]:
-            some = min(int(left[d]), size - used)
+            some = min(left[d], size - used)
             put(d, some, used)
             used, total = used + some, total - some
             if used == size:
@@ -391,8 +490,8 @@ def pack_shard(
 
 
 PIECES = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long,"
-    " offset long, token_ids binary"
+    "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
+    " token_ids binary"
 )
 
 
@@ -403,12 +502,13 @@ def pack_documents(
     text_col: str = "text",
     rules: PackRules | None = None,
 ) -> DataFrame:
-    """One row per piece: a run of a document's ids and its place in a sequence.
+    """One row per piece: ``doc_id`` (of the type of ``id_col``), a run of a document's ids and its
+    place in a sequence.
 
     ``vocabulary`` is the text of a tokenizers file. Every id of every row lies in one piece;
-    null and empty texts consist of the end id. Repeated rows are packed each for itself. Sequences
-    hold ``window`` ids, the last ones of a shard a power of two. ``token_ids`` holds the ids (16
-    or 32 bits, little-endian). An empty table gives no pieces.
+    null and empty texts consist of the end id. Repeated rows are packed each for itself, rows with
+    a null id too. Sequences hold ``window`` ids, the last ones of a shard a power of two.
+    ``token_ids`` holds the ids (16 or 32 bits, little-endian). An empty table gives no pieces.
     """
     rules = rules or PackRules()
     shards = shard_count(docs, text_col, rules.shard_bytes)
@@ -418,32 +518,34 @@ def pack_documents(
     corpus = corpus_statistics(ids, kind, size, rules)
     sent = docs.sparkSession.sparkContext.broadcast(corpus)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(frames)
-        if any(map(len, held)):
-            yield pack(pd.concat(held))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "ids"], kind="stable", ignore_index=True)
-        held = [np.frombuffer(x, kind).astype(np.int64) for x in frame["ids"]]
-        pieces = pack_shard(held, rules, sent.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield pack(pa.Table.from_batches(held))
+
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        shard = rows.column("shard")[0].as_py()
+        rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("ids", "ascending")]))
+        data, offsets = text_bytes(rows.column("ids"))
+        flat, at = data.view(kind), offsets // kind.itemsize
+        pieces = pack_shard([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], rules, sent.value)
         d, start, length, sequence, offset = np.array(pieces, np.int64).reshape(-1, 5).T
-        sizes = np.array([len(x) for x in held])
-        cut = [held[i][a : a + n] for i, a, n in zip(d, start, length, strict=True)]
-        return pd.DataFrame(
-            {
-                "doc_id": frame["doc_id"].take(d).array,
-                "start": start,
-                "length": length,
-                "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in cut],
-                "doc_tokens": sizes[d],
-                "sequence_id": (int(frame["shard"].iloc[0]) << 32) + sequence,
-                "offset": offset,
-                "token_ids": [x.astype(kind).tobytes() for x in cut],
-            }
-        )
-
-    return in_shards(ids, corpus, kind, shards, rules).mapInPandas(run, PIECES)
+        ends = at[d] + start + length
+        cut = [flat[a:b] for a, b in zip(ends - length, ends, strict=True)]
+        columns = {
+            "doc_id": rows.column("doc_id").combine_chunks().take(pa.array(d)),
+            "start": pa.array(start),
+            "length": pa.array(length),
+            "ids_crc32": pa.array([zlib.crc32(x.astype("<u4")) for x in cut], pa.int64()),
+            "doc_tokens": pa.array(np.diff(at)[d]),
+            "sequence_id": pa.array((shard << 32) + sequence),
+            "offset": pa.array(offset),
+            "token_ids": pa.array([x.tobytes() for x in cut], pa.binary()),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    dealt = in_shards(ids, corpus, kind, shards, rules)
+    return dealt.mapInArrow(run, f"doc_id {dict(ids.dtypes)['doc_id']}, {PIECES}")
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
