@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorix.llm.base import query, shard_count, table
-from calorix.llm.text import CHUNK, mix, ranges, text_bytes
+from calorix.llm.text import chunks, mix, ranges, span_hashes, text_bytes, word_spans
 from calorix.session import collect_bounded, durable
 
 
@@ -64,20 +65,22 @@ def _byte_letters() -> dict[int, str]:
 
 _BYTE_LETTERS = _byte_letters()
 _TAIL = b".,;:!?*#$%&|\"()"
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
-class WordIds(dict):
-    """Token ids, as bytes, of the words of texts.
+class WordIds:
+    """Token ids of the words of texts.
 
     Words are told apart by ASCII white space, which the vocabulary's pre-tokenizer drops, so a
     text's ids are those of its words in a row. Its pre-tokenizer also cuts between a letter or
-    digit and marks, and it folds case, so a word is looked up in lower case and as core and tail.
+    digit and marks, and it folds case, so a new word is looked up in lower case and as core and
+    tail. Words that are known stand in a sorted array of 64-bit hashes with their ids: two of
+    ``limit`` = 800,000 words share one with a chance of 2e-8.
     """
 
     def __init__(self, vocabulary: str, limit: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -89,6 +92,13 @@ class WordIds(dict):
             for x in ('"Lowercase"', '"ByteLevel"', "[\\\\p{L}]+", "[^\\\\s\\\\p{L}\\\\p{N}]+")
         )
         self.model = self.tokenizer.model
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: dict[bytes, bytes] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.begin = self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
@@ -96,46 +106,77 @@ class WordIds(dict):
         plain = [self.folds and _LATIN(t) is not None for t in texts]
         rest = [t for t, p in zip(texts, plain, strict=True) if not p]
         asked = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
-        kind, tokenize = self.kind, self.model.tokenize
+        tokenize, code = self.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
         out = []
         for text, p in zip(texts, plain, strict=True):
-            if p:
-                letters = text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = [t.id for t in tokenize(letters)]
-            else:
-                ids = next(asked).ids
-            out.append(np.array(ids, kind).tobytes())
+            if not p:
+                out.append(array(code, next(asked).ids).tobytes())
+                continue
+            letters = text.lower()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            out.append(array(code, [t.id for t in tokenize(letters)]).tobytes())
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        """Add the words that are not known yet, all encoded at once."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(words)
-        if not self.folds:
-            self.update(zip(new, self._encode(new), strict=True))
-            return
-        split, ask = [], set()
-        for word in new:
-            core = word.rstrip(_TAIL)
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, those of their parts in a row; unknown parts are encoded at once."""
+        cut, ask = [], set()
+        for word in words:
+            core = word.rstrip(_TAIL) if self.folds else word
             if core and core != word and core[-1:].isalnum() and b"<|" not in word:
-                split.append((word, core, word[len(core) :]))
-                ask.update(x for x in split[-1][1:] if x not in self)
+                cut.append((core, word[len(core) :]))
             else:
-                ask.add(word)
-        asked = list(ask)
-        self.update(zip(asked, self._encode(asked), strict=True))
-        for word, core, tail in split:
-            self[word] = self[core] + self[tail]
+                cut.append((word,))
+            ask.update(x for x in cut[-1] if x not in self.parts)
+        new = list(ask)
+        self.parts.update(zip(new, self._encode(new), strict=True))
+        parts = self.parts
+        return [parts[x[0]] if len(x) == 1 else parts[x[0]] + parts[x[1]] for x in cut]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Add words, which are not known, by their sorted keys."""
+        found = self._of_words(words)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), self.kind)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = (
+            np.insert(x, at, y)
+            for x, y in ((self.keys, keys), (self.begin, begin), (self.size, size))
+        )
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of every text."""
-        cut = [
-            (t.lower() if self.folds and b"<|" not in t else t).split() for t in texts
-        ]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys stand among the known ones, and which of them do."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return at, known
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids before each text (and in total)."""
+        if self.folds:
+            lower = _LOWER[data]
+            marked = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+            for text in np.unique(np.searchsorted(offsets, marked, "right") - 1):
+                lower[offsets[text] : offsets[text + 1]] = data[offsets[text] : offsets[text + 1]]
+            data = lower
+        starts, ends, first = word_spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        keys = span_hashes(data, starts, ends) + (ends - starts).astype(np.uint64)
+        keys, place, number = np.unique(keys, return_index=True, return_inverse=True)
+        at, known = self._places(keys)
+        if not known.all():
+            if len(self.keys) + int((~known).sum()) > self.limit:
+                self.clear()
+                known[:] = False
+            new = place[~known]
+            words = [data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            self._learn(keys[~known], words)
+            at, _ = self._places(keys)
+        counts = self.size[at][number]
+        ids = self.ids[ranges(self.begin[at][number], counts)]
+        return ids, np.concatenate([[0], np.cumsum(counts)])[first]
 
 
 _known: dict[int, WordIds] = {}
@@ -158,20 +199,19 @@ def token_ids(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(sent.value, rules.memo)
-        last = np.array([end], words.kind).tobytes()
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            raw = data.tobytes()
-            lo = 0
-            while lo < len(offsets) - 1:
-                # about 1 MB of text at a time
-                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
-                spans = zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)
-                ids = [x + last for x in words.of([raw[a:b] for a, b in spans])]
+            for lo, hi in chunks(offsets):
+                some = data[offsets[lo] : offsets[hi]]
+                ids, at = words.of(some, offsets[lo : hi + 1] - offsets[lo])
+                ids = np.insert(ids, at[1:], end)
+                at = (at + np.arange(len(at))) * words.kind.itemsize
+                out = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), hi - lo, [None, pa.py_buffer(at), pa.py_buffer(ids)]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(ids, pa.binary())], names=["doc_id", "ids"]
+                    [batch.column(0)[lo:hi], out.cast(pa.binary())], names=["doc_id", "ids"]
                 )
-                lo = hi
 
     texts = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -290,11 +330,11 @@ def fit_topics(ids: DataFrame, corpus: Corpus, kind: np.dtype, rules: PackRules)
         sums = [points[near == k].sum(0) for k in range(len(centres))]
         sizes = [max(np.linalg.norm(x), 1e-9) for x in sums]
         centres = np.array([x / n for x, n in zip(sums, sizes, strict=True)])
-    chain, left = [0], set(range(1, len(centres)))
+    order, left = [0], set(range(1, len(centres)))
     while left:
-        chain.append(max(sorted(left), key=lambda k: centres[chain[-1]] @ centres[k]))
-        left.remove(chain[-1])
-    return centres[chain]
+        order.append(max(sorted(left), key=lambda k: centres[order[-1]] @ centres[k]))
+        left.remove(order[-1])
+    return centres[order]
 
 
 def _places(

@@ -168,6 +168,45 @@ def test_packing(spark):
     assert pack_documents(empty(spark), public_vocabulary()).count() == 0
 
 
+def test_packing_keeps_ids(spark):
+    """Large ids beside null ones, and ids that are texts."""
+    big = [(2**60 + 1, "one two"), (None, "three"), (2**60 + 3, "four"), (None, None)]
+    schema = "doc_id long, text string"
+    check_pieces(big, pack_documents(spark.createDataFrame(big, schema), public_vocabulary()).collect())
+    named = [("a", "one two"), (None, "three"), ("b" * 40, "four")]
+    out = pack_documents(spark.createDataFrame(named, "doc_id string, text string"), public_vocabulary())
+    check_pieces(named, out.collect())
+
+
+def test_word_ids_forget():
+    """A task that may remember few words gives the same ids."""
+    data = [" ".join(words(f"w{k}", 30)) + " X. <|A b" * (k % 3) for k in range(40)]
+    raw = np.frombuffer("".join(data).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(x.encode()) for x in data])])
+    whole, few = (packing.WordIds(public_vocabulary(), n) for n in (10_000, 50))
+    ids, first = whole.of(raw, at)
+    for k in range(40):
+        some, _ = few.of(raw[at[k] : at[k + 1]], at[k : k + 2] - at[k])
+        assert np.array_equal(some, ids[first[k] : first[k + 1]])
+        assert some.tolist() == whole.tokenizer.encode(data[k], add_special_tokens=False).ids
+
+
+def test_best_match_first():
+    """Unused documents in falling order of their scores, also after used ones left the index."""
+    draw = np.random.default_rng(5)
+    docs = [draw.integers(0, 400, 30) for _ in range(300)]
+    index, unused = packing.Neighbours(docs, PackRules()), np.ones(300, bool)
+    for dropped in ([], range(0, 300, 3)):
+        unused[list(dropped)] = False
+        smaller = index.among(unused)
+        for seed in (1, 50, 298):
+            score = np.where(unused, index.scores(seed), 0)
+            want = [d for d in np.argsort(-score, kind="stable").tolist() if score[d] > 0]
+            assert list(index.of(seed, unused)) == want
+            assert np.allclose(smaller.scores(seed), index.scores(seed)[unused])
+            assert sorted(smaller.of(seed, unused)) == sorted(want)
+
+
 def test_packing_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     check_pieces([tuple(r) for r in docs], packing.op8_packing(spark, folder).collect())
