@@ -231,16 +231,22 @@ class Corpus:
 
 
 def _postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term and count, sorted."""
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    terms = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    both, tf = np.unique((doc.astype(np.int64) << 32) | terms, return_counts=True)
+    """Document, term and count, sorted; about a million ids at a time."""
+    lengths = np.array([len(d) for d in docs], np.int64)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, hi in chunks(np.concatenate([[0], np.cumsum(lengths)])):
+        both = np.repeat(np.arange(lo, hi) << 32, lengths[lo:hi])
+        both |= np.concatenate(docs[lo:hi]).astype(np.int64)
+        parts.append(np.unique(both, return_counts=True))
+    both, tf = map(np.concatenate, zip(*parts, strict=True))
     return both >> 32, both & 0xFFFFFFFF, tf
 
 
 def _rests(ids: pa.Array, kind: np.dtype, window: int) -> list[np.ndarray]:
-    held = [np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x in ids]
-    return [x[len(x) // window * window :] for x in held]
+    data, offsets = text_bytes(ids)
+    flat, at = data.view(kind), offsets // kind.itemsize
+    full = (at[1:] - at[:-1]) // window * window
+    return [flat[a + n : b] for a, b, n in zip(at[:-1], at[1:], full, strict=True)]
 
 
 def corpus_statistics(ids: DataFrame, kind: np.dtype, size: int, rules: PackRules) -> Corpus:
@@ -322,7 +328,7 @@ def fit_topics(ids: DataFrame, corpus: Corpus, kind: np.dtype, rules: PackRules)
     rows = some.orderBy("h").limit(rules.topic_rows).collect()
     if not rows:
         return np.zeros((1, rules.topic_width))
-    docs = [np.frombuffer(r.rest, kind).astype(np.int64) for r in rows]
+    docs = [np.frombuffer(r.rest, kind) for r in rows]
     points = _vectors(*_weighted(docs, corpus, rules), len(docs), rules)
     centres = points[: rules.topics]  # in the order of a hash
     for _ in range(8):
@@ -483,7 +489,7 @@ def pack_shard(
         while left[d] >= window:
             pieces.append((int(d), int(start[d]), window, sequence, 0))
             start[d], left[d], sequence = start[d] + window, left[d] - window, sequence + 1
-    index = Neighbours([x[s:].astype(np.int64) for x, s in zip(docs, start, strict=True)], rules, corpus)
+    index = Neighbours([x[s:] for x, s in zip(docs, start, strict=True)], rules, corpus)
     unused = left > 0
     seeds = np.argsort(-left, kind="stable").tolist()
     total, at = int(left.sum()), 0
