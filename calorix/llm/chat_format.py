@@ -15,7 +15,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -177,34 +176,37 @@ def digests(pieces: DataFrame) -> DataFrame:
     """Digest of every conversation, read back from its pieces, which are streamed in order."""
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
-        for frame in frames:
+        for batch in batches:
             done = []
-            for p in frame.itertuples(index=False):
-                conv = None if pd.isna(p.conv_id) else int(p.conv_id)
+            columns = (batch.column(name) for name in ("conv_id", "formatted", "loss_start", "loss_length"))
+            for conv, formatted, starts, lengths in zip(*columns, strict=True):
+                conv, formatted = conv.as_py(), formatted.as_py()
                 if now is None or now[0] != conv:
                     done += [now] if now else []
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in read_back(p.formatted):
+                for role, text in read_back(formatted):
                     now[1] += 1
                     now[2].update(f"{role}\n{text}\n".encode())
-                raw = p.formatted.encode()
-                for start, length in zip(p.loss_start, p.loss_length, strict=True):
+                raw = formatted.encode()
+                for start, length in zip(starts.as_py(), lengths.as_py(), strict=True):
                     text = unescaped(raw[start : start + length].decode())
                     now[3] += len(text)
                     now[4].update(text.encode())
-                now[5] += len(p.formatted)
-            yield _digest_frame(done)
-        yield _digest_frame([now] if now else [])
+                now[5] += len(formatted)
+            yield _digest_batch(done)
+        yield _digest_batch([now] if now else [])
 
-    return ordered.mapInPandas(run, DIGEST)
+    return ordered.mapInArrow(run, DIGEST)
 
 
-def _digest_frame(done: list[list]) -> pd.DataFrame:
-    names = [f.split()[0] for f in DIGEST.split(", ")]
+def _digest_batch(done: list[list]) -> pa.RecordBatch:
     rows = [[d[0], d[1], d[2].hexdigest(), d[3], d[4].hexdigest(), d[5]] for d in done]
-    return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+    fields = [f.split() for f in DIGEST.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    columns = [pa.array([row[i] for row in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
+    return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
 @query("op1_chat_format")

@@ -13,7 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,22 +201,22 @@ def extract_pages(
         .select("page_id", "url", "_host", "html")
     )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = now = None  # (id, url, host, lines)
-        for frame in frames:
-            out = []
-            for page_id, url, at, page in frame.itertuples(index=False):
-                then = (page_id, url, at, page_lines(page or ""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = now = None  # (id in Arrow, url, host, lines)
+        for batch in batches:
+            out, ids = [], batch.column(0)
+            rest = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            for k, (url, at, page) in enumerate(zip(*rest, strict=True)):
+                then = (ids[k], url, at, page_lines(page or ""))
                 if now:
                     out.append(_extracted(before, now, then))
                 before, now = now, then
-            yield _frame(out, frame)
-            kind = frame
+            yield _batch(out, ids.type)
         if now:
-            yield _frame([_extracted(before, now, None)], kind)
+            yield _batch([_extracted(before, now, None)], now[0].type)
 
     schema = f"page_id {dict(pages.dtypes)[id_col]}, url string, text string, n_chars long"
-    return near.mapInPandas(run, schema)
+    return near.mapInArrow(run, schema)
 
 
 def _extracted(before, now, then) -> tuple:
@@ -228,11 +228,10 @@ def _extracted(before, now, then) -> tuple:
     return now[0], now[1], text, len(text)
 
 
-def _frame(rows: list[tuple], like: pd.DataFrame) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"])
-    if frame["page_id"].isna().any():
-        frame["page_id"] = frame["page_id"].astype("Int64" if like["page_id"].dtype.kind in "fi" else object)
-    return frame
+def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = {"page_id": id_type, "url": pa.string(), "text": pa.string(), "n_chars": pa.int64()}
+    columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds.values())]
+    return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
 
 @query("op6_html_extraction")

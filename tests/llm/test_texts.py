@@ -72,6 +72,23 @@ PAGES = [
 ]
 
 
+def test_ids_beside_null(spark):
+    """Large ids keep all their digits in a batch that also holds null ones."""
+    ids = [2**60 + 1, None, 2**60 + 3]
+    turns = [(i, t, "user", f"text {i}") for i in ids for t in (0, 1)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1)
+    found = {r.conv_id: r for r in digests(format_conversations(frame)).collect()}
+    assert set(found) == set(ids)
+    for i, r in found.items():
+        want = "".join(f"user\ntext {i}\n" for _ in (0, 1))
+        assert r.n_turns == 2 and r.turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    pages = [(i, f"http://h/{k}", f"<article><p>page {i}</p></article>") for k, i in enumerate(ids)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id: r.text for r in extract_pages(frame).collect()} == {i: f"page {i}" for i in ids}
+    named = frame.withColumn("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    assert {r.page_id for r in extract_pages(named).collect()} == {f"p{ids[0]}", None, f"p{ids[2]}"}
+
+
 def test_pages(spark):
     rows = [(k, f"http://h{k}.com/", p, "clash") for k, (p, _) in enumerate(PAGES)] + [(90, None, "<p>x", "c"), (90, None, "<p>x", "c")]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, _host string")
