@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 # The functions' names and parameters, which users' SQL calls.
 FUNCTIONS = (
@@ -22,23 +26,40 @@ FUNCTIONS = (
 )
 
 
+#: Mean and population spread of every numeric column whose name matches, one row per column.
+SCALING_PARAMS = """SELECT key AS name, avg(x) AS mean, stddev_pop(x) AS std
+  FROM (SELECT e.key, try_variant_get(e.value, '$', 'double') AS x
+        FROM (SELECT to_variant_object(struct(*)) AS v FROM IDENTIFIER(:source)) t,
+             LATERAL variant_explode(t.v) e
+        WHERE e.key RLIKE :pattern)
+  GROUP BY key"""
+
+
 def register_functions(spark: SparkSession) -> None:
-    """Create the temporary SQL functions on this session."""
+    """Create the temporary SQL functions and the statement ``scaling_params`` on this session.
+
+    A function's table and result columns are fixed when it is made, so ``scaling_params`` is a
+    variable that holds a statement; table and column pattern are its arguments::
+
+        EXECUTE IMMEDIATE scaling_params USING 'lines' AS source, '^l_' AS pattern
+    """
     for statement in FUNCTIONS:
         spark.sql(statement)
+    spark.sql(f'DECLARE OR REPLACE VARIABLE scaling_params STRING DEFAULT "{SCALING_PARAMS}"')
 
 
-def register_scaling_params(spark: SparkSession, table: str, columns: list[str]) -> str:
-    """Create a SQL table function with the mean and population spread of ``columns``.
+def scaling_params(spark: SparkSession, source: str, pattern: str) -> DataFrame:
+    """``avg_<c>, std_<c>`` (population) of the numeric columns of any table whose names match.
 
-    A table function's result columns are fixed when it is made, so there is one function per
-    table and column list; its name is returned.
+    The names are matched before the query is made, so only these columns are read.
     """
-    name = "_".join(["scaling_params", table, *columns])
-    outputs = ", ".join(f"avg_{c} DOUBLE, std_{c} DOUBLE" for c in columns)
-    exprs = ", ".join(f"avg({c}), stddev_pop({c})" for c in columns)
-    spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}() RETURNS TABLE({outputs})"
-        f" RETURN SELECT {exprs} FROM {table}"
+    fields = spark.table(source).schema.fields
+    chosen = [
+        f.name for f in fields if isinstance(f.dataType, NumericType) and re.search(pattern, f.name)
+    ]
+    if not chosen:
+        raise ValueError(f"no numeric column of {source} matches {pattern!r}")
+    return spark.table(source).agg(
+        *[F.avg(F.col(f"`{c}`").cast("double")).alias(f"avg_{c}") for c in chosen],
+        *[F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(f"std_{c}") for c in chosen],
     )
-    return name

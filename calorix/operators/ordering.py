@@ -24,10 +24,7 @@ def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     The salt only separates rows that agree on the order key and on every hashable column, so
     swapping two of them on a retry changes nothing.
     """
-    hashable = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    keyed = df.withColumn("_tie", F.xxhash64(*hashable)).withColumn(
-        "_salt", F.monotonically_increasing_id()
-    )
+    keyed = df.withColumn("_tie", _tie(df)).withColumn("_salt", F.monotonically_increasing_id())
     keys = [F.col(c) if isinstance(c, str) else c for c in order] + [F.col("_tie"), F.col("_salt")]
     return (
         keyed.repartitionByRange(*keys)
@@ -78,30 +75,68 @@ def with_scan_index(df: DataFrame, index_col: str = "id", start: int = 1) -> Dat
     return _numbered(placed, df.columns, index_col, start)
 
 
+#: Rows of a group beyond which its ranks are taken from global positions.
+HOT_ROWS = 1_000_000
+
+
+def _tie(df: DataFrame) -> Column:
+    """A hash of the row that settles ties of an order key."""
+    return F.xxhash64(
+        *[f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    )
+
+
 def with_group_rank(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str | Column],
     rank_col: str = "rank",
     count_col: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 1-based rank inside ``group``, safe when one group holds most rows.
 
-    Sorting globally by (group, order) makes a rank the distance from the group's first
-    position, so a hot group is cut into ranges like any other run of rows.
+    A group of at most ``hot_rows`` rows is ranked by a window, after one exchange on the group.
+    Larger groups, found by a count of the keys, are sorted globally by (group, order): a rank is
+    then the distance from the group's first position, so such a group is cut into ranges like
+    any other run of rows. Both ways order rows alike, so ranks do not hang on ``hot_rows``.
     """
-    placed = with_position(df, [*group, *order], "_position")
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows)
+    hot = few(sizes, "hot-groups")
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"h.{g}")) for g in group]
+    if hot.isEmpty():
+        return _window_rank(df, df, group, keys, rank_col, count_col)
+    cold = df.alias("r").join(hot.alias("h"), same, "left_anti")
+    placed = with_position(
+        df.alias("r").join(hot.alias("h"), same, "left_semi"), [*group, *order], "_position"
+    )
     starts = placed.groupBy(*group).agg(
         F.min("_position").alias("_first"), F.count("*").alias("_size")
     )
-    starts = few(starts, "group-starts")
-    same = [F.col(f"p.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
-    joined = placed.alias("p").join(starts.alias("s"), same, "left")
-    out = [F.col(f"p.{c}") for c in df.columns]
+    # one row per hot group
+    joined = placed.alias("r").join(few(starts, "group-starts").alias("h"), same)
+    out = [F.col(f"r.{c}") for c in df.columns]
     out.append((F.col("_position") - F.col("_first") + 1).alias(rank_col))
     if count_col:
         out.append(F.col("_size").alias(count_col))
-    return joined.select(*out)
+    return _window_rank(cold, df, group, keys, rank_col, count_col).unionByName(joined.select(*out))
+
+
+def _window_rank(
+    rows: DataFrame,
+    df: DataFrame,
+    group: Sequence[str],
+    keys: Sequence[Column],
+    rank_col: str,
+    count_col: str | None,
+) -> DataFrame:
+    """Ranks (and sizes) of ``rows`` with the columns of ``df``, each group in one task."""
+    in_group = Window.partitionBy(*group)
+    out = [F.row_number().over(in_group.orderBy(*keys, "_tie")).cast("long").alias(rank_col)]
+    if count_col:
+        out.append(F.count("*").over(in_group).alias(count_col))
+    return rows.withColumn("_tie", _tie(df)).select(*df.columns, *out)
 
 
 def with_running_totals(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from calorix.functions.physics import delta_r, in_box, ratio
 from calorix.functions.vectors import l1_normalise, layer_slices, vector_sum
 from calorix.schemas import RING_LAYERS
-from calorix.session import few
+from calorix.session import durable, few
 
 
 def linear_edges(low: float, high: float, nbins: int) -> list[float]:
@@ -301,16 +301,21 @@ def energy_ratio(
         )
         .where("n_clusters = 1")
     )
+    base = durable(base, "cluster-sums")  # one row per cluster, read three times
     # a particle id may stand under several seeds of one cluster id: only those are counted apart
     several = base.where("n_seeds > 1").select("id")
-    apart = (
-        rows.select("id", "seed_id")
-        .join(several, "id")
-        .join(listed.select("seed_id"), "seed_id")
-        .join(particles.select("seed_id", F.col("id").alias("_particle")).distinct(), "seed_id")
-        .groupBy("id")
-        .agg(F.count_distinct("_particle").alias("_apart"))
-    )
+    if several.isEmpty():
+        base = base.withColumn("_apart", F.lit(None).cast("long"))
+    else:
+        apart = (
+            rows.select("id", "seed_id")
+            .join(several, "id")
+            .join(listed.select("seed_id"), "seed_id")
+            .join(particles.select("seed_id", F.col("id").alias("_particle")).distinct(), "seed_id")
+            .groupBy("id")
+            .agg(F.count_distinct("_particle").alias("_apart"))
+        )
+        base = base.join(apart, "id", "left")
 
     def at(value: Column) -> Column:
         return F.floor(value.cast("double") / cell)
@@ -343,7 +348,7 @@ def energy_ratio(
         .groupBy("id")
         .agg(F.sum(F.col("_hits") * F.col("_times")).alias("in_cluster"))
     )
-    joined = base.join(inside, "id", "left").join(apart, "id", "left")
+    joined = base.join(inside, "id", "left")
     total_et, total_e = F.col("_et") * 1000, F.col("_e") * 1000
     return joined.select(
         F.col("id").alias("cluster_id"),

@@ -5,6 +5,7 @@ from calorix.plans import (
     evaluation,
     events,
     ingest,
+    layouts,
     models,
     profiles,
     samples,
@@ -18,6 +19,7 @@ __all__ = [
     "evaluation",
     "events",
     "ingest",
+    "layouts",
     "models",
     "profiles",
     "samples",

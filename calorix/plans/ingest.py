@@ -14,13 +14,13 @@ from calorix.functions.names import (
     run_number_before_extension,
     unflatten_columns,
 )
-from calorix.functions.sql import register_functions, register_scaling_params
+from calorix.functions.sql import register_functions, scaling_params
 from calorix.functions.vectors import open_vector
 from calorix.operators.compare import run_records
 from calorix.operators.samples import cast_features, tag_and_filter
 from calorix.plans.base import eta, eta_sql, query, rounded, table
 from calorix.schemas import SAMPLING_NAMES
-from calorix.session import checkpoint_root
+from calorix.session import checkpoint_root, collect_bounded
 from calorix.sources.legacy import conf_to_rows, explode_references, glue_blocks
 from calorix.sources.readers import (
     files_read,
@@ -267,16 +267,15 @@ def _explode_references(spark, folder):
 @query(
     "open_vector",
     "SELECT vec_id, "
-    + ", ".join(f"embedding[{i}]::DOUBLE AS embedding_{i - 1}" for i in (1, 2, 3, 4))
-    + ", embedding[80]::DOUBLE AS past_the_end FROM embeddings",
+    + ", ".join(f"embedding[{i + 1}]::DOUBLE AS embedding_{i}" for i in range(80))
+    + " FROM embeddings",
 )
 def _open_vector(spark, folder):
     opened = open_vector("embedding", 80)
     rows = table(spark, folder, "embeddings").select("vec_id", *opened)
     return rows.select(
         "vec_id",
-        *[F.col(f"embedding_{i}").cast("double").alias(f"embedding_{i}") for i in range(4)],
-        F.col("embedding_79").cast("double").alias("past_the_end"),
+        *[F.col(f"embedding_{i}").cast("double").alias(f"embedding_{i}") for i in range(80)],
     )
 
 
@@ -379,6 +378,8 @@ def _decode_params(spark, folder):
 @query(
     "run_records",
     """SELECT user_id, max(value) FILTER (event_type = 'click') AS "metric.click",
+         max(value) FILTER (event_type = 'purchase') AS "metric.purchase",
+         max(value) FILTER (event_type = 'signup') AS "metric.signup",
          max(value) FILTER (event_type = 'view') AS "metric.view",
          max(value) FILTER (event_type = 'error') AS "tag.error"
        FROM events GROUP BY user_id""",
@@ -386,7 +387,8 @@ def _decode_params(spark, folder):
 def _run_records(spark, folder):
     kind = F.when(F.col("event_type") == "error", "tag").otherwise("metric")
     events = table(spark, folder, "events").withColumn("kind", kind)
-    names = {"metric": ["click", "view"], "tag": ["error"]}
+    kinds = collect_bounded(events.select("kind", "event_type").distinct(), 1000, "kinds of events")
+    names = {k: sorted(r["event_type"] for r in kinds if r["kind"] == k) for k in ("metric", "tag")}
     return run_records(events, ["user_id"], "kind", "event_type", "value", names)
 
 
@@ -420,8 +422,7 @@ def _sql_functions(spark, folder):
     lines = table(spark, folder, "lineitem")
     lines = lines.withColumns({"eta1": eta("l_partkey"), "eta2": eta("l_suppkey")})
     lines.createOrReplaceTempView("lines_source")
-    params = register_scaling_params(spark, "lines_source", ["l_quantity"])
-    p = spark.sql(f"SELECT * FROM {params}()").first()
+    p = scaling_params(spark, "lines_source", "^l_quantity$").first()
     rows = spark.sql(
         "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity,"
         " standard_scaler(l_quantity, :mean, :std) AS scaled,"
@@ -429,3 +430,31 @@ def _sql_functions(spark, folder):
         args={"mean": p["avg_l_quantity"], "std": p["std_l_quantity"]},
     )
     return rounded(rows, 6, "scaled", "dr")
+
+
+_ANY_TABLE = " UNION ALL ".join(
+    f"SELECT '{t}' AS source, '{c}' AS name, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6)"
+    f" AS std FROM {t}"
+    for t, columns in (
+        ("lineitem", ("l_quantity", "l_extendedprice", "l_tax", "l_linenumber")),
+        ("orders", ("o_custkey", "o_totalprice")),
+    )
+    for c in columns
+)
+
+
+@query("sql_scaling_params", _ANY_TABLE)
+def _sql_scaling_params(spark, folder):
+    """The same SQL statement over two tables with different columns."""
+    register_functions(spark)
+    parts = []
+    for name, pattern in (
+        ("lineitem", "^l_(quantity|extendedprice|tax|linenumber)$"),
+        ("orders", "^o_(custkey|totalprice)$"),
+    ):
+        table(spark, folder, name).createOrReplaceTempView(f"{name}_source")
+        found = spark.sql(
+            f"EXECUTE IMMEDIATE scaling_params USING '{name}_source' AS source, '{pattern}' AS pattern"
+        )
+        parts.append(found.select(F.lit(name).alias("source"), "name", "mean", "std"))
+    return rounded(parts[0].unionByName(parts[1]), 6, "mean", "std")

@@ -262,21 +262,19 @@ def _constant_scale(spark, folder):
 @query(
     "ring_norm",
     """WITH n AS (SELECT vec_id, embedding,
-           abs(list_sum(list_transform(embedding, lambda x: x::DOUBLE))) AS s FROM embeddings)
-       SELECT vec_id, round(CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS norm,
-         round(embedding[1]::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END, 4) + 0.0::DOUBLE
-           AS first_ring,
-         round(embedding[64]::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END, 4) + 0.0::DOUBLE
-           AS last_ring FROM n""",
+           abs(list_sum(list_transform(embedding, lambda x: x::DOUBLE))) AS s FROM embeddings),
+       d AS (SELECT *, CASE WHEN s = 0 THEN 1 ELSE s END AS norm FROM n)
+       SELECT vec_id, round(norm, 6) AS norm, (i - 1)::INTEGER AS position,
+         round(embedding[i]::DOUBLE / norm, 4) + 0.0::DOUBLE AS ring
+       FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM d)""",
 )
 def _ring_norm(spark, folder):
-    normal = l1_normalise("embedding")
-    return table(spark, folder, "embeddings").select(
+    rings = table(spark, folder, "embeddings").select(
         "vec_id",
         F.round(l1_norm("embedding"), 6).alias("norm"),
-        F.round(F.get(normal, F.lit(0)), 4).alias("first_ring"),
-        F.round(F.get(normal, F.lit(63)), 4).alias("last_ring"),
+        F.posexplode(l1_normalise("embedding")).alias("position", "ring"),
     )
+    return rings.withColumn("ring", F.round("ring", 4))
 
 
 @query(

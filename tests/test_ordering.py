@@ -33,8 +33,9 @@ def test_position_start(skewed):
     )
 
 
-def test_group_rank_matches_sorting(skewed):
-    ranked = with_group_rank(skewed, ["k"], ["v"], "r", "n").collect()
+@pytest.mark.parametrize("hot_rows", [1_000_000, 500, 1])
+def test_group_rank_matches_sorting(skewed, hot_rows):
+    ranked = with_group_rank(skewed, ["k"], ["v"], "r", "n", hot_rows).collect()
     by_key = {}
     for k, v in sorted((r["k"], r["v"]) for r in skewed.collect()):
         by_key.setdefault(k, []).append(v)
@@ -45,9 +46,17 @@ def test_group_rank_matches_sorting(skewed):
     assert found == by_key
 
 
-def test_group_rank_keeps_null_groups(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1, 0])
+def test_group_rank_keeps_null_groups(spark, hot_rows):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "g string, v int")
-    assert rows(with_group_rank(df, ["g"], ["v"], "r")) == [("a", 5, 1), (None, 1, 1), (None, 2, 2)]
+    ranked = with_group_rank(df, ["g"], ["v"], "r", hot_rows=hot_rows)
+    assert rows(ranked) == [("a", 5, 1), (None, 1, 1), (None, 2, 2)]
+
+
+def test_small_groups_are_ranked_by_one_exchange(skewed):
+    plan = with_group_rank(skewed, ["k"], ["v"], "r")._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("Exchange hashpartitioning") == 1
+    assert "rangepartitioning" not in plan.toString()
 
 
 def test_running_totals(spark):
