@@ -396,7 +396,10 @@ def tied_sets(sets: DataFrame, rules: JoinRules) -> DataFrame:
                     [pa.array(sig.view(np.int64)), pa.array(sid)], names=["sig", "sid"]
                 )
 
-    signed = sets.mapInArrow(sign, "sig long, sid long")
+    # sets too small to differ by one element and still be similar have no partner but their equal,
+    # which is the same set here
+    n = F.col("n").cast("long")
+    signed = sets.where(n * rules.den >= (n + 1) * rules.num).mapInArrow(sign, "sig long, sid long")
     ordered = signed.repartition("sig").sortWithinPartitions("sig", "sid")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +433,7 @@ def block_links(
     code, owner = (np.cumsum(shared) - 1)[code[shared[code]]], owner[shared[code]]
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    common = np.zeros((len(n), len(n)), np.float32)
+    common = np.zeros((len(n), len(n)))  # counts and their products stay exact below 2^53
     width = 2048
     for lo in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(code, [lo, lo + width])

@@ -119,6 +119,28 @@ def test_links_that_no_pivot_sees(spark):
     same(similar_documents(documents(spark, rows)).collect(), brute_components(rows))
 
 
+def test_tiny_sets_are_compared_with_no_other(spark):
+    """Sets of one or two elements are similar to their equals only; larger ones still meet."""
+    sets = []
+    for size in (1, 2, 3):
+        for k in range(300):
+            elements = np.arange(size, dtype=np.uint64) + np.uint64(1000 * size + 3 * k)
+            sets.append((len(sets) + 1, size, bytearray(elements.tobytes())))
+    held = np.arange(4, dtype=np.uint64) + np.uint64(3000)  # holds the first set of three
+    sets.append((len(sets) + 1, 4, bytearray(held.tobytes())))
+    df = spark.createDataFrame(sets, "sid long, n int, elements binary")
+    tied = jaccard_join.tied_sets(df, JoinRules()).collect()
+    assert all(r["pivot"] > 600 and r["sid"] > 600 for r in tied)
+    assert (601, 901) in {(r["pivot"], r["sid"]) for r in tied}
+
+
+def test_similar_texts_of_few_shingles(spark):
+    """All texts of five to nine words over three words, so that small sets meet in every way."""
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(draw.choice(["a", "b", "c"], draw.integers(1, 10)))) for i in range(400)]
+    same(similar_documents(documents(spark, rows)).collect(), brute_components(rows))
+
+
 def test_similar_sets_share_a_signature():
     rules = JoinRules()
     draw = np.random.default_rng(3)
