@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from calorix.functions.vectors import l1_normalise
 from calorix.operators.folds import class_weight_map, fold_values, train_rows, validation_rows
 from calorix.operators.metrics import log_loss, max_sp_metrics
+from calorix.session import durable_model
 
 
 def with_weights(df: DataFrame, label: str, weights: dict, out: str = "weight") -> DataFrame:
@@ -80,6 +81,7 @@ def train_folds(
                 ready = with_weights(train, "_y", weights)
             for init in range(inits):
                 model = _learner(kind, width, hidden, max_iter, seed + init).fit(ready)
+                model = durable_model(df.sparkSession, model, f"model-{kind}")
                 scored = model.transform(val).select(
                     F.col("_y").cast("int").alias("y"),
                     F.get(vector_to_array("probability"), F.lit(1)).alias("p"),

@@ -39,8 +39,20 @@ def durable(df: DataFrame, label: str, schema: StructType | None = None) -> Data
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def durable_model(spark: SparkSession, model, label: str):
+    """Write a fitted Spark ML model once and read it back: the same parameters, no training summary.
+
+    The summary of a binary model refers to the session, which tasks cannot receive once any query of
+    the session has been observed.
+    """
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    model.write().save(path)
+    _written.append(path)
+    return type(model).load(path)
+
+
 def release_durable(spark: SparkSession) -> int:
-    """Delete the tables :func:`durable` has written in this process; frames on them are gone."""
+    """Delete what :func:`durable` and :func:`durable_model` have written in this process; frames on it are gone."""
     conf = spark._jsc.hadoopConfiguration()
     for path in _written:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

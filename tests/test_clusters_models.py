@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from calorix.functions import distances as di
@@ -194,6 +195,16 @@ def test_training_learns(spark):
     assert out.agg(F.min("max_sp")).first()[0] > 0.9
 
 
+def test_training_after_an_observed_query(spark):
+    seen = Observation()
+    assert spark.range(5).observe(seen, F.count("*").alias("n")).count() == 5 and seen.get == {"n": 5}
+    data = [([i % 7 + 3.0 * (i % 2), 1.0, 2.0], i % 2, i // 2 % 2) for i in range(60)]
+    df = spark.createDataFrame(data, "v array<double>, y int, fold int")
+    for kind in ("logistic", "mlp"):
+        found = train_folds(df, "v", "y", kind=kind, max_iter=5).select("fold", "init").collect()
+        assert sorted(map(tuple, found)) == [(0, 0), (1, 0)]
+
+
 def test_fit_skips_unusable_vectors_and_takes_the_spread_from_the_data(spark):
     draw = np.random.default_rng(5)
     data = draw.normal(0, [1.0, 10.0, 0.1], (60, 3))
