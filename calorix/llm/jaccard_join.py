@@ -182,6 +182,19 @@ def _lists(
     return rows
 
 
+def _runs(
+    values: np.ndarray, lo: int, hi: int, most: int = 1 << 18
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of values from ``lo`` to before ``hi`` and the places of theirs, about ``most`` each if
+    values are spread evenly: what is sorted range by range needs no copies of everything."""
+    n = max(1, min(hi - lo, 32, len(values) // most + 1))
+    edges = [lo + (hi - lo) * k // n for k in range(n + 1)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        place = np.flatnonzero((values >= a) & (values <= b - 1))
+        if len(place):
+            yield a, b, place
+
+
 def _blocks(
     sids: np.ndarray, sizes: np.ndarray, elements: np.ndarray, buckets: int
 ) -> pa.RecordBatch:
@@ -191,64 +204,72 @@ def _blocks(
     keep, first = np.unique(sids, return_index=True)
     first = first[keep != 0]
     begin = np.cumsum(sizes) - sizes
-    owner = run_of(sizes[first])
+    owner = np.repeat(np.arange(len(first), dtype=np.uint16), sizes[first])
     # 48 bits of an element are kept: a chance meeting only keeps a set a little longer
     e = elements[ranges(begin[first], sizes[first])] & ~U(0xFFFF)
     sids, sizes = sids[first], sizes[first]
-    order = np.argsort(e, kind="stable")
-    e, owner = e[order], owner[order]
-    start = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else owner
-    length = np.diff(np.append(start, len(e)))
-    several = np.repeat(length > 1, length)
-    rows = [
-        (*r, None) for r in _lists(sids, sizes, owner[several], e[several], buckets)
-    ]
-    e, owner = e[start], np.where(length > 1, _MANY, owner[start])
-    bucket = ((e >> U(32)) * U(buckets)) >> U(32)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        cut = slice(edges[b], edges[b + 1])
-        # only the sets this bucket refers to
-        used, number = np.unique(owner[cut], return_inverse=True)
-        real = used[used != _MANY]
-        number = np.where(owner[cut] == _MANY, _MANY, number).astype(np.uint16)
-        rows.append(
-            (b, sids[real].tobytes(), sizes[real].astype(np.int32).tobytes(), None,
-             _planes(e[cut]), number.tobytes())
-        )
+    bucket = (((e >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
+    rows, local = [], [(owner[:0], e[:0])]
+    for lo, hi, place in _runs(bucket, 0, buckets):
+        place = place[np.argsort(e[place], kind="stable")]
+        some, of = e[place], owner[place]
+        start = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        length = np.diff(np.append(start, len(some)))
+        several = np.repeat(length > 1, length)
+        local.append((of[several], some[several]))
+        some, of = some[start], np.where(length > 1, _MANY, of[start])
+        edges = np.searchsorted(bucket[place[start]], np.arange(lo, hi + 1))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            cut = slice(edges[b], edges[b + 1])
+            # only the sets this bucket refers to
+            used, number = np.unique(of[cut], return_inverse=True)
+            real = used[used != _MANY]
+            number = np.where(of[cut] == _MANY, _MANY, number).astype(np.uint16)
+            rows.append(
+                (lo + b, sids[real].tobytes(), sizes[real].astype(np.int32).tobytes(), None,
+                 _planes(some[cut]), number.tobytes())
+            )
+    del e, owner, bucket
+    owner, e = map(np.concatenate, zip(*local, strict=True))
+    rows += [(*r, None) for r in _lists(sids, sizes, owner, e, buckets)]
     return _batch(rows, _BLOCKS)
 
 
 def _shared_entries(rows: pa.Table) -> tuple[np.ndarray, ...]:
     """Set ids, sizes, owners and elements of the entries whose element several sets hold."""
-    e, at, many, sids, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [], []
-    base = 0
-    for planes, owner, ids, each in zip(
+    held, sids, sizes = [], [], []
+    for planes, number, ids, each in zip(
         *(rows[c] for c in ("elements", "owner", "sids", "sizes")), strict=True
     ):
-        number = np.frombuffer(owner.as_buffer(), np.uint16)
-        e.append(_numbers(planes.as_py()))
-        many.append(number == _MANY)
-        at.append(number + np.int64(base))
-        sids.append(np.frombuffer(ids.as_buffer(), U))
-        sizes.append(np.frombuffer(each.as_buffer(), np.int32))
-        base += len(sids[-1])
-    e, at, many = map(np.concatenate, (e, at, many))
+        if number.is_valid:
+            held.append((planes.as_buffer(), np.frombuffer(number.as_buffer(), np.uint16)))
+            sids.append(np.frombuffer(ids.as_buffer(), U))
+            sizes.append(np.frombuffer(each.as_buffer(), np.int32))
     # the same set from several tasks is one owner; a mark belongs to none
     known, first, same = np.unique(
         np.concatenate([np.zeros(0, U), *sids]), return_index=True, return_inverse=True
     )
     sizes = np.concatenate([np.zeros(0, np.int32), *sizes])[first]
-    owner = np.where(many, -1, same[np.where(many, 0, at)] if len(same) else -1)
-    order = np.argsort(e, kind="stable")
-    e, owner = e[order], owner[order]
-    if not len(e):
-        return known, sizes, owner, e
-    start = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-    length = np.diff(np.append(start, len(e)))
-    least, most = np.minimum.reduceat(owner, start), np.maximum.reduceat(owner, start)
-    keep = np.repeat(least != most, length) & (owner >= 0)
-    return known, sizes, owner[keep], e[keep]
+    n = sum(len(number) for _, number in held)
+    e, owner = np.empty(n, U), np.full(n, -1, np.int32)
+    at = base = 0
+    for (planes, number), ids in zip(held, sids, strict=True):
+        cut = slice(at, at + len(number))
+        e[cut] = _numbers(planes)
+        real = number != _MANY
+        owner[cut][real] = same[number[real] + np.int64(base)]
+        at, base = cut.stop, base + len(ids)
+    kept = [(owner[:0], e[:0])]
+    for _, _, place in _runs(e, int(e.min()), int(e.max()) + 1) if n else ():
+        place = place[np.argsort(e[place], kind="stable")]
+        some, of = e[place], owner[place]
+        start = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        length = np.diff(np.append(start, len(some)))
+        least, most = np.minimum.reduceat(of, start), np.maximum.reduceat(of, start)
+        keep = np.repeat(least != most, length) & (of >= 0)
+        kept.append((of[keep], some[keep]))
+    owner, e = map(np.concatenate, zip(*kept, strict=True))
+    return known, sizes, owner, e
 
 
 def shared_sets(docs: DataFrame, text_col: str, rules: JoinRules) -> DataFrame:
@@ -274,6 +295,7 @@ def shared_sets(docs: DataFrame, text_col: str, rules: JoinRules) -> DataFrame:
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         elements, counts, sids = (np.concatenate([h[i] for h in held]) for i in range(3))
+        held.clear()
         # owners are numbered with 16 bits
         for lo in range(0, len(counts), _MANY - 1):
             cut = slice(lo, lo + _MANY - 1)
@@ -283,7 +305,7 @@ def shared_sets(docs: DataFrame, text_col: str, rules: JoinRules) -> DataFrame:
 
     def shared(found: pa.Table) -> pa.Table:
         local = found.filter(found["counts"].is_valid()).drop_columns(["owner"])
-        entries = _shared_entries(found.filter(found["owner"].is_valid()))
+        entries = _shared_entries(found)
         made = _batch(_lists(*entries, buckets), _LISTS)
         return pa.concat_tables([local, pa.Table.from_batches([made])])
 

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from calorix.llm import jaccard_join, phrase_dedup, substring_dedup
@@ -246,3 +248,39 @@ def test_recurring_columns(seed):
 
 def test_passage_has_no_repeats():
     assert len(set(PASSAGE.split())) > 80
+
+
+def test_gathered_shingles_are_counted_without_copies_of_all():
+    """What a task of the shingle join holds beside its entries: no sorted copies of all of them."""
+    draw = np.random.default_rng(3)
+    sizes = np.full(1_500, 400)
+    elements = draw.integers(0, 1 << 63, 600_000, dtype=np.uint64) * np.uint64(2)
+    # each set shares its last hundred with the next one
+    grid = elements.reshape(1_500, 400)
+    grid[1:, :100] = grid[:-1, 300:]
+    grid.sort(axis=1)
+    elements, sids = grid.ravel(), np.arange(1, 1_501, dtype=np.uint64)
+
+    def halves(buckets):
+        return [
+            jaccard_join._blocks(sids[i::2], sizes[i::2], grid[i::2].ravel(), buckets) for i in (0, 1)
+        ]
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most / len(elements)
+
+    one, held = peak(lambda: jaccard_join._blocks(sids, sizes, elements, 7))
+    assert held < 60  # bytes an entry; 65 with sorted copies
+    found = pa.Table.from_batches(halves(1))
+    (known, n, owner, e), held = peak(lambda: jaccard_join._shared_entries(found))
+    assert held < 45  # 66 with sorted copies
+    kept = {(int(known[o]), int(x)) for o, x in zip(owner, e, strict=True)}
+    wide = grid & ~np.uint64(0xFFFF)
+    value, times = np.unique(wide, return_counts=True)
+    several = set(value[times > 1].tolist())
+    assert kept == {(s, x) for s, row in zip(sids.tolist(), wide.tolist(), strict=True) for x in row if x in several}
+    assert set(n.tolist()) == {400} and one.num_rows > 7
