@@ -284,3 +284,61 @@ def test_gathered_shingles_are_counted_without_copies_of_all():
     several = set(value[times > 1].tolist())
     assert kept == {(s, x) for s, row in zip(sids.tolist(), wide.tolist(), strict=True) for x in row if x in several}
     assert set(n.tolist()) == {400} and one.num_rows > 7
+
+
+def crowded(n=60):
+    """A passage in many different texts, a line repeated in many, and copies."""
+    passage, line = " ".join(words("crowd", 30)), "Is onhe. " * 12
+    rows = []
+    for k in range(n):
+        own = [" ".join(words(f"{side}{k}", 8)) for side in ("left", "right")]
+        rows += [(k, f"{own[0]} {passage} {own[1]}"), (100 + k, f"{own[1]}! {line}{own[0]}.")]
+        rows.append((200 + k, passage[: 40 + 2 * k] if k % 2 else "copied " * 9))
+    return rows
+
+
+@pytest.mark.parametrize("widths", [(6, 1), (5, 2, 1), (1,), ()])
+def test_large_groups_of_fragments_are_split(spark, widths):
+    rows = crowded() + texts()[2:8] + [(300 + k, t) for k, t in enumerate(["b" * 90, "ab" * 50, "", None])]
+    rules = StringRules(size=30, gram=8, shard_bytes=3_000, batch=50, many=5, widths=widths)
+    same(remove_strings(documents(spark, rows), rules=rules).collect(), brute_strings(rows, 30))
+
+
+def test_no_task_gets_a_large_group_of_fragments(spark):
+    """What is left under a key is few fragments, or one window for each shard."""
+    rules = StringRules(size=30, gram=8, many=8, widths=(6, 1))
+    shards = 3
+    dealt = substring_dedup.sharded(documents(spark, crowded()), "doc_id", "text", shards)
+    keys = substring_dedup.recurring_keys(dealt, rules, rules.many).collect()
+    assert {r["level"] for r in keys if r["split"]} == {0, 1} and any(r["level"] == 2 for r in keys)
+    known = substring_dedup.levels(pa.Table.from_pylist([r.asDict() for r in keys if r["shard"] == 0]), 3)
+    raw = [(t or "").encode() for _, t in crowded()]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    kept, rest = substring_dedup.located(data, offsets, known, rules)
+    for level, runs in enumerate(kept):
+        found = collections.Counter()
+        for key, _, _ in {(k, p - a, data[a : b + 30].tobytes()) for p, k, a, b in zip(*runs, strict=True)}:
+            found[key] += 1
+        assert max(found.values()) <= (rules.many if level < 2 else 1)
+
+
+def test_fragments_are_lined_up_in_little_memory():
+    """3,000 fragments of one anchor: numbers of all their places would take 18 MB three times."""
+    rng, rules, n = np.random.default_rng(5), StringRules(), 3_000
+    size = rules.reach + rules.size
+    table = pa.table(
+        {
+            "key": pa.array([7] * n, pa.int64()),
+            "shard": pa.array([0] * n, pa.int32()),
+            "left": pa.array([rules.reach] * n, pa.int32()),
+            "bytes": pa.array([rng.bytes(size) for _ in range(n)], pa.binary()),
+            "uids": pa.array([[k] for k in range(n)], pa.list_(pa.int64())),
+            "starts": pa.array([[0]] * n, pa.list_(pa.int64())),
+        }
+    )
+    tracemalloc.start()
+    try:
+        assert substring_dedup._spans(table, rules).num_rows == 0
+        assert tracemalloc.get_traced_memory()[1] < 11 * n * size
+    finally:
+        tracemalloc.stop()
